@@ -1,0 +1,82 @@
+"""Registered keys: discretizer, preparation, metrics and trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import discretize as Z
+from ..operators import split as S
+from ..sources import fixtures as X
+from ..sources import sqlgen as g
+from .registry import register
+
+L_DISC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+L_SPLIT_U = g.u("duckdb", 13, "split", *X.LINEITEM_KEY)
+
+
+def sql_cuts(source: str, cols: list, nb: int = 10) -> str:
+    """Cut table (column, split_idx, value) in DuckDB: rank ⌈(j/B)·n⌉."""
+    vals = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, CAST({g.qi(c, 'duckdb')} AS DOUBLE) AS x FROM {source}" for c in cols)
+    return f"""(WITH v AS ({vals}),
+      c AS (SELECT col, x FROM v WHERE x IS NOT NULL AND NOT isnan(x)),
+      r AS (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) AS rn,
+                   count(*) OVER (PARTITION BY col) AS n FROM c),
+      p AS (SELECT unnest(range(1, {nb})) AS j),
+      q AS (SELECT r.col, r.x + 0.0 AS x FROM r JOIN p
+              ON r.rn = CAST(ceil((CAST(p.j AS DOUBLE) / {float(nb)!r}) * CAST(r.n AS DOUBLE)) AS BIGINT)),
+      e AS (SELECT col, x FROM q UNION SELECT DISTINCT col, CAST('-inf' AS DOUBLE) FROM v
+            UNION SELECT DISTINCT col, CAST('inf' AS DOUBLE) FROM v)
+      SELECT col AS "column", CAST(row_number() OVER (PARTITION BY col ORDER BY x) - 1 AS INTEGER) AS split_idx,
+             x AS value FROM e)"""
+
+
+L_TRAIN = f"(SELECT * FROM lineitem WHERE {L_SPLIT_U} < 0.8)"
+
+
+def l_train(spark, sf):
+    train, _ = S.split_train_test(X.read(spark, sf, "lineitem"), X.LINEITEM_KEY, seed=13)
+    return train
+
+
+def l_splits(spark, sf):
+    return Z.fit_splits(l_train(spark, sf), L_DISC, num_buckets=10)
+
+
+@register("quantile_cuts", "SELECT * FROM " + sql_cuts(L_TRAIN, L_DISC))
+def q_quantile_cuts(spark, sf):
+    return Z.quantile_cuts(l_train(spark, sf), L_DISC, num_buckets=10)
+
+
+def sql_bucket(c: str, cuts_cte: str = "cuts") -> str:
+    lst = f"(SELECT list(value ORDER BY split_idx) FROM {cuts_cte} WHERE \"column\" = '{c}')"
+    x = f"CAST({g.qi(c, 'duckdb')} AS DOUBLE)"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN CAST(len({lst}) - 1 AS DOUBLE) "
+            f"ELSE CAST(len(list_filter({lst}[2:len({lst}) - 1], lambda s: s <= {x})) AS DOUBLE) END")
+
+
+@register("bucketize",
+          f"WITH cuts AS {sql_cuts(L_TRAIN, L_DISC)} SELECT {', '.join(X.LINEITEM_KEY)}, "
+          + ", ".join(f"{sql_bucket(c)} AS {c}__binned" for c in L_DISC) + " FROM lineitem")
+def q_bucketize(spark, sf):
+    li = X.read(spark, sf, "lineitem").select(*X.LINEITEM_KEY, *L_DISC)
+    return Z.bucketize(li, l_splits(spark, sf)).drop(*L_DISC)
+
+
+L_KEEP = X.LINEITEM_KEY + ["l_linestatus", "l_shipdate"]
+
+
+@register("discretize_project",
+          f"WITH cuts AS {sql_cuts(L_TRAIN, L_DISC)} SELECT l_returnflag, {', '.join(L_KEEP)}, "
+          + ", ".join(f"{sql_bucket(c)} AS {c}__binned" for c in L_DISC) + " FROM lineitem")
+def q_discretize_project(spark, sf):
+    li = X.read(spark, sf, "lineitem")
+    binned = Z.bucketize(li, l_splits(spark, sf))
+    return Z.discretize_project(binned, "l_returnflag", L_KEEP + L_DISC, L_DISC)
+
+
+@register("splits_manifest",
+          f"SELECT \"column\", 10 AS num_buckets, list(value ORDER BY split_idx) AS splits "
+          f"FROM {sql_cuts(L_TRAIN, L_DISC)} GROUP BY 1")
+def q_splits_manifest(spark, sf):
+    return Z.splits_manifest(l_splits(spark, sf), 10, spark)
