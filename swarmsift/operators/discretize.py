@@ -88,22 +88,38 @@ def fit_splits(df: DataFrame, cols: list, num_buckets: int = 10,
 
     cuts = {i: [None] * len(probs) for i in range(len(cols))}
     if brackets:
-        below_row = xs.agg(*[F.count_if(F.col(f"__x{i}") < F.lit(lo)).alias(f"b{i}_{j}")
-                             for (i, j), (_, lo, _) in brackets.items()]).first()
-        need = {(i, j): r - int(below_row[f"b{i}_{j}"]) for (i, j), (r, _, _) in brackets.items()}
-        members = F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(lo).alias("lo"),
-                     F.lit(hi).alias("hi"), F.col(f"__x{i}").alias("x"))
-            for (i, j), (_, lo, hi) in brackets.items()
-        ])
-        inside = F.filter(members, lambda m: (m["x"] >= m["lo"]) & (m["x"] <= m["hi"]))
-        need_df = df.sparkSession.createDataFrame(
-            [(i, j, int(v)) for (i, j), v in need.items()], "i int, j int, need long")
+        spark = df.sparkSession
+        # long format: one (column, value) row per non-NULL value
+        long = (xs.select(F.posexplode(F.array(*[F.col(f"__x{i}") for i in range(len(cols))]))
+                          .alias("i", "x"))
+                .filter(F.col("x").isNotNull()))
+        lows = [[brackets[(i, j)][1] if (i, j) in brackets else POS_INF for j in range(len(probs))]
+                for i in range(len(cols))]
+        br = [[F.struct(F.lit(j).alias("j"), F.lit(brackets[(i, j)][1]).alias("lo"),
+                        F.lit(brackets[(i, j)][2]).alias("hi")) for j in range(len(probs))
+               if (i, j) in brackets] for i in range(len(cols))]
+        lows_col = F.array(*[F.array(*[F.lit(v) for v in row]) for row in lows])
+        br_col = F.array(*[F.array(*row) if row else F.array().cast(
+            "array<struct<j:int,lo:double,hi:double>>") for row in br])
+        # k = number of bracket lows ≤ x (lows ascend in j), so x < lo_j ⇔ k ≤ j
+        below_hist = (long.select("i", F.size(F.filter(lows_col[F.col("i")],
+                                                       lambda lo: lo <= F.col("x"))).alias("k"))
+                      .groupBy("i", "k").count().collect())  # ≤ columns × (B+1) rows
+        hist = {}
+        for r in below_hist:
+            hist.setdefault(r["i"], {})[r["k"]] = r["count"]
+        need = {}
+        for (i, j), (rank, _, _) in brackets.items():
+            below = sum(c for k, c in hist.get(i, {}).items() if k <= j)
+            need[(i, j)] = rank - below
+        need_df = spark.createDataFrame([(i, j, int(v)) for (i, j), v in need.items()],
+                                        "i int, j int, need long")
         w = Window.partitionBy("i", "j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
         found = (
-            xs.select(F.explode(inside).alias("m"))
-            .groupBy(F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.x").alias("x"))
-            .agg(F.count(F.lit(1)).alias("cnt"))
+            long.select("i", "x", F.explode(F.filter(br_col[F.col("i")],
+                                                     lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
+                        .alias("m"))
+            .groupBy("i", F.col("m.j").alias("j"), "x").agg(F.count(F.lit(1)).alias("cnt"))
             .withColumn("cum", F.sum("cnt").over(w))
             .join(F.broadcast(need_df), ["i", "j"])  # ≤ columns × buckets rows
             .filter(F.col("cum") >= F.col("need"))

@@ -80,3 +80,128 @@ def q_discretize_project(spark, sf):
           f"FROM {sql_cuts(L_TRAIN, L_DISC)} GROUP BY 1")
 def q_splits_manifest(spark, sf):
     return Z.splits_manifest(l_splits(spark, sf), 10, spark)
+
+
+# ------------------------------------------------------------------ prepare / score / tree
+from ..functions.rng import uniform  # noqa: E402
+from ..operators import masks as M  # noqa: E402
+from ..operators import metrics as ME  # noqa: E402
+from ..operators import prepare as PR  # noqa: E402
+from ..operators import tree as TR  # noqa: E402
+from . import sql_tree as ST  # noqa: E402
+from .queries_clean import DL_CTE, NUMERIC  # noqa: E402
+
+D_SPLIT_U = g.u("duckdb", 13, "split", "doc_id")
+
+
+def d_is_train():
+    return uniform(13, "split", F.col("doc_id")) < F.lit(0.8)
+
+
+@register("impute_zero",
+          DL_CTE + "SELECT \"Label\", " + ", ".join(f"{ST.impute(n)} AS {g.qi(n, 'duckdb')}" for n in NUMERIC)
+          + " FROM dl")
+def q_impute_zero(spark, sf):
+    df = X.dirty_lineitem(spark, sf).select("Label", *[F.col(f"`{n}`") for n in NUMERIC])
+    return PR.impute_zero(df, NUMERIC)
+
+
+@register("assemble_features",
+          "WITH d AS (" + X.doc_features_sql() + ") SELECT doc_id, ["
+          + ", ".join(ST.impute(c) for c in X.D_FEATURES) + "] AS features FROM d")
+def q_assemble_features(spark, sf):
+    d = PR.impute_zero(X.doc_features(spark, sf), X.D_FEATURES)
+    return PR.to_array(PR.assemble_vector(d, X.D_FEATURES)).select("doc_id", "features")
+
+
+@register("label_index",
+          f"WITH d AS ({X.doc_features_sql()}) SELECT \"Target\" AS label, "
+          f"CAST(row_number() OVER (ORDER BY count(*) DESC, \"Target\") - 1 AS DOUBLE) AS label_idx "
+          f"FROM d WHERE {D_SPLIT_U} < 0.8 AND \"Target\" IS NOT NULL GROUP BY \"Target\"")
+def q_label_index(spark, sf):
+    d = X.doc_features(spark, sf).filter(d_is_train())
+    return PR.label_index(d, "Target")
+
+
+_CACHE: dict = {}
+
+
+def d_tree(spark, sf, depth=1):
+    """Prepared documents table + the depth-``depth`` trees of the hashed
+    population (cached per session/sf so several keys share one fit)."""
+    key = (id(spark), sf, depth)
+    if key not in _CACHE:
+        data = TR.prepare_tree_data(X.doc_features(spark, sf), X.D_FEATURES, "Target", d_is_train())
+        pop = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED)
+        cands = TR.dense_candidates(pop)
+        nodes = TR.grow_trees(data, cands.select("cand", "feats"), depth, ST.POP)
+        _CACHE[key] = (data, cands, nodes)
+    return _CACHE[key]
+
+
+@register("tree_histogram", ST.with_all() + "SELECT cand, node, f, b, c0, c1 FROM hist")
+def q_tree_histogram(spark, sf):
+    data, cands, _ = d_tree(spark, sf)
+    train = data.rows.filter("is_train").select("label", "bins")
+    c = cands.select("cand", "feats")
+    return TR.level_histogram(train, TR.empty_trees(c), c, 0, ST.POP, data.n_labels)
+
+
+@register("tree_fit_batched", ST.with_all() + """
+SELECT cand, 1 AS node, 0 AS depth, n, CASE WHEN is_split THEN f END AS f, CASE WHEN is_split THEN b END AS b,
+       CASE WHEN is_split THEN gain END AS gain, root_pred AS pred FROM model
+UNION ALL SELECT cand, 2, 1, l0 + l1, NULL, NULL, NULL, left_pred FROM model WHERE is_split
+UNION ALL SELECT cand, 3, 1, (t0 - l0) + (t1 - l1), NULL, NULL, NULL, right_pred FROM model WHERE is_split""")
+def q_tree_fit_batched(spark, sf):
+    _, _, nodes = d_tree(spark, sf)
+    return nodes.select("cand", "node", "depth", "n", "f", "b", "gain", "pred")
+
+
+@register("tree_predict", ST.with_all() + "SELECT cand, label, prediction FROM pred")
+def q_tree_predict(spark, sf):
+    data, _, nodes = d_tree(spark, sf)
+    return TR.predict(data, nodes, 1, ST.POP)
+
+
+@register("confusion_matrix", ST.with_all() + "SELECT cand, label, prediction, count FROM conf")
+def q_confusion_matrix(spark, sf):
+    data, _, nodes = d_tree(spark, sf)
+    return ME.confusion_matrix(TR.predict(data, nodes, 1, ST.POP), by=["cand"])
+
+
+@register("classification_metrics", ST.with_all() + "SELECT * FROM met")
+def q_classification_metrics(spark, sf):
+    data, _, nodes = d_tree(spark, sf)
+    return ME.classification_metrics(TR.predict(data, nodes, 1, ST.POP), by=["cand"])
+
+
+@register("feature_importance", ST.with_all() + "SELECT cand, f AS feature_idx, CAST(1.0 AS DOUBLE) AS importance FROM model WHERE is_split")
+def q_feature_importance(spark, sf):
+    _, _, nodes = d_tree(spark, sf)
+    return TR.importances(nodes, X.D_FEATURES)
+
+
+@register("population_fitness", ST.with_all() + f"""
+SELECT c.member, CAST(len(c.feats) AS INTEGER) AS k, m.f1,
+       CASE WHEN len(c.feats) = 0 THEN -1.0 ELSE m.f1 - {ST.LAM} * len(c.feats) / {float(ST.N)} END AS obj
+FROM cands c JOIN met m USING (cand)""")
+def q_population_fitness(spark, sf):
+    from ..operators import fitness as FT
+    data = d_tree(spark, sf)[0]
+    pop = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED)
+    return FT.population_fitness(pop, data, max_depth=1, lam=ST.LAM).select("member", "k", "f1", "obj")
+
+
+@register("majority_baseline", "WITH " + ST.base_ctes() + """,
+conf AS (SELECT CAST(label AS DOUBLE) AS label, 0.0 AS prediction, count(*) AS count FROM rows WHERE NOT is_train GROUP BY 1),
+act AS (SELECT label AS cls, sum(count) AS support, sum(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp FROM conf GROUP BY 1),
+per AS (SELECT a.cls, a.support, a.tp, CASE WHEN a.cls = 0.0 THEN a.tp / (SELECT sum(count) FROM conf) ELSE 0.0 END AS prec,
+               a.tp / a.support AS rec FROM act a),
+per2 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1c FROM per)
+SELECT sum(tp) / sum(support) AS accuracy, sum(f1c * support) / sum(support) AS f1,
+       sum(prec * support) / sum(support) AS "weightedPrecision", sum(rec * support) / sum(support) AS "weightedRecall",
+       avg(f1c) AS macro_f1 FROM per2""")
+def q_majority_baseline(spark, sf):
+    data = d_tree(spark, sf)[0]
+    r = data.rows.select(F.col("label").cast("double").alias("label"), "is_train")
+    return ME.majority_baseline(r.filter("is_train"), r.filter("not is_train"))
