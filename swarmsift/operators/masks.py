@@ -35,6 +35,15 @@ def random_masks(spark: SparkSession, n_members: int, n_features: int, p: float,
     return members.select("member", ensure_one_bit(bits, n_features, seed, tag, *keys).alias("mask"))
 
 
+def random_masks_over(members: DataFrame, n_features: int, p: float, seed: int,
+                      tag: str = "init", gen: int = 0) -> DataFrame:
+    """One Bernoulli(p) mask per row of ``members`` (column ``member``)."""
+    keys = (F.lit(gen), F.col("member"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)),
+                       lambda j: F.when(uniform(seed, tag, *keys, j) < F.lit(p), 1).otherwise(0))
+    return members.select("member", ensure_one_bit(bits, n_features, seed, tag, *keys).alias("mask"))
+
+
 def selected_features(pop: DataFrame, features: DataFrame) -> DataFrame:
     """(member, feature_idx, name) for every set bit: posexplode ⋈ features
     (the feature table is one row per column — broadcast)."""
