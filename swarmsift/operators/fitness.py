@@ -19,25 +19,30 @@ from . import tree as TR
 
 def population_fitness(pop: DataFrame, data: TR.TreeData, max_depth: int, lam: float = 0.01,
                        metric: str = "f1") -> DataFrame:
-    """pop (member, mask, …) → pop + (k, f1, accuracy, obj).
+    """pop (member, mask, …) → pop + (k, f1, accuracy, macro_f1, obj).
 
-    All members are grown together (one job per tree level).  The
-    population table is small (members × features); only it passes through
-    ``dense_candidates``'s global ordering."""
+    All members are grown together (one job per tree level) and scored in
+    one prediction job.  The population (members × feature bits) is small
+    by construction; it is read once to assign dense candidate ids."""
+    spark = pop.sparkSession
     n = len(data.features)
-    cands = TR.dense_candidates(pop)
-    cands = cands.select("member", "cand", "feats", *[c for c in pop.columns if c != "member"])
-    from ..session import cut_lineage
-    cands = cut_lineage(cands)
-    n_cands = cands.count()
-    nodes = TR.grow_trees(data, cands.select("cand", "feats"), max_depth, n_cands)
-    met = ME.classification_metrics(TR.predict(data, nodes, max_depth, n_cands), by=["cand"])
-    k = F.size("feats")
-    out = (cands.join(met, "cand", "left")
-           .withColumn("k", k.cast("int"))
-           .withColumn("f1", F.when(k == 0, F.lit(0.0)).otherwise(F.col(metric)))
-           .withColumn("obj", M.penalised_objective(F.col("f1"), F.col("k"), n, lam)))
-    return out.drop("cand", "feats", "weightedPrecision", "weightedRecall")
+    rows = sorted(pop.select("member", "mask").collect(), key=lambda r: r["member"])  # population-sized
+    cands = [(i, r["member"], [j for j, b in enumerate(r["mask"]) if b == 1]) for i, r in enumerate(rows)]
+    cdf = spark.createDataFrame([(i, f) for i, _, f in cands], "cand int, feats array<int>")
+    nodes = TR.grow_trees(data, cdf, max_depth)
+    met = ME.classification_metrics(TR.predict(data, nodes, max_depth, len(cands)), by=["cand"]).collect()
+    by = {r["cand"]: r for r in met}
+    out = []
+    for i, member, feats in cands:
+        r = by.get(i)
+        k = len(feats)
+        f1 = float(r[metric]) if (r is not None and k) else 0.0
+        acc = float(r["accuracy"]) if (r is not None and k) else 0.0
+        mf1 = float(r["macro_f1"]) if (r is not None and k) else 0.0
+        obj = -1.0 if k == 0 else f1 - lam * k / n
+        out.append((member, k, f1, acc, mf1, obj))
+    scored = spark.createDataFrame(out, "member int, k int, f1 double, accuracy double, macro_f1 double, obj double")
+    return pop.join(F.broadcast(scored), "member")
 
 
 def mllib_fitness(pop_rows: list, prepared: DataFrame, features: list, max_depth: int,

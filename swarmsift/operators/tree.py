@@ -96,29 +96,39 @@ def _entropy(counts: list, n: Column) -> Column:
     return F.when(n > 0, out).otherwise(F.lit(0.0))
 
 
-def _walk(tree: Column, bins: Column, steps: int, with_pred: bool = False) -> Column:
-    """Fold ``steps`` levels down the heap-indexed node array.  Returns
-    struct(n: node id, go: still at an open node[, pred])."""
-    init = F.struct(F.lit(1).alias("n"), F.lit(True).alias("go"))
+TREE_TYPE = "array<struct<node:int,f:int,b:int,pred:int,l:int,r:int,depth:int>>"
+
+
+def _walk(tree: Column, bins: Column, steps: int) -> Column:
+    """Fold ``steps`` levels down a compact tree (1-based child pointers);
+    returns the entry where the row stops."""
     if steps == 0:
-        return init
+        return tree[0]
+
+    def step(i, _k):
+        e = tree[i - 1]
+        return F.when(e["f"].isNull(), i).otherwise(
+            F.when(bins[e["f"]] > e["b"], e["r"]).otherwise(e["l"]))
 
-    def step(acc, _i):
-        e = tree[acc["n"] - 1]
-        has = acc["go"] & e.isNotNull() & e["f"].isNotNull()
-        nxt = 2 * acc["n"] + F.when(bins[e["f"]] > e["b"], 1).otherwise(0)
-        return F.when(has, F.struct(nxt.alias("n"), F.lit(True).alias("go"))).otherwise(
-            F.struct(acc["n"].alias("n"), F.lit(False).alias("go")))
+    idx = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1), step)
+    return tree[idx - 1]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
 
+def _compact(nodes: dict) -> list:
+    """{heap id: (f, b, pred, depth)} → compact entry list in heap order
+    with child pointers (entries are few: ≤ 2 × splits + 1)."""
+    ids = sorted(nodes)
+    pos = {n: i + 1 for i, n in enumerate(ids)}
+    out = []
+    for n in ids:
+        f, b, pred, depth = nodes[n]
+        out.append((n, f, b, pred, pos.get(2 * n, 0), pos.get(2 * n + 1, 0), depth))
+    return out
 
-def _tree_arrays(nodes: DataFrame, size: int) -> DataFrame:
-    """(cand, node, f, b, pred) → (cand, tree) with tree[n-1] = entry of node n."""
-    m = nodes.groupBy("cand").agg(F.map_from_entries(F.collect_list(
-        F.struct("node", F.struct("f", "b", "pred")))).alias("m"))
-    return m.select("cand", F.transform(F.sequence(F.lit(1), F.lit(size)),
-                                        lambda n: F.try_element_at(F.col("m"), n)).alias("tree"))
+
+def _trees_df(spark, per_cand: dict) -> DataFrame:
+    rows = [(c, _compact(nd)) for c, nd in sorted(per_cand.items())]
+    return spark.createDataFrame(rows, f"cand int, tree {TREE_TYPE}")
 
 
 def _argmax(counts: list) -> Column:
@@ -130,67 +140,73 @@ def _argmax(counts: list) -> Column:
     return best_i
 
 
+def _py_argmax(counts) -> int:
+    best = 0
+    for i, c in enumerate(counts):
+        if c > counts[best]:
+            best = i
+    return best
+
+
+NODE_SCHEMA = ("cand int, node int, depth int, n long, counts array<long>, f int, b int, "
+               "gain double, pred int")
+
+
 def grow_trees(data: TreeData, cands: DataFrame, max_depth: int, n_cands: int | None = None) -> DataFrame:
     """Grow one tree per row of ``cands`` (cand int, feats array<int>).
 
-    Returns the node table (cand, node, depth, n, counts, f, b, gain, pred);
-    ``f``/``b`` are NULL on leaves."""
+    One Spark job per level: walk → histogram → best split per node.  The
+    level's node records (≤ P·2^ℓ rows, independent of the data size) come
+    back to the driver, as MLlib's per-level split statistics do, and the
+    next level's compact trees are broadcast.  Returns the node table
+    (cand, node, depth, n, counts, f, b, gain, pred); f/b NULL on leaves."""
     L = data.n_labels
-    n_cands = n_cands if n_cands is not None else cands.count()
+    spark = data.rows.sparkSession
+    crow = [r for r in cands.select("cand", "feats").collect() if r["feats"]]  # population-sized
+    if not crow:
+        return spark.createDataFrame([], NODE_SCHEMA)
+    n_ids = max(r["cand"] for r in crow) + 1
+    cands_df = spark.createDataFrame([(r["cand"], list(r["feats"])) for r in crow], "cand int, feats array<int>")
     train = data.rows.filter("is_train").select("label", "bins")
-    cands = cands.select(F.col("cand").cast("int").alias("cand"), "feats")
-    done = []           # checkpointed per-level node tables
-    split_nodes = None  # (cand, node, f, b, pred) for walking
-    trees = empty_trees(cands)
+    known = {r["cand"]: {1: (None, None, 0, 0)} for r in crow}   # heap id -> (f, b, pred, depth)
+    records = []
+    last_splits = []
     for level in range(max_depth):
-        size = 2 ** level - 1
-        hist = level_histogram(train, trees, cands, level, n_cands, L)
-        level_nodes = _best_splits(hist, L).withColumn("depth", F.lit(level))
-        level_nodes = cut_lineage(level_nodes)
-        done.append(level_nodes)
-        n_split = level_nodes.filter(F.col("f").isNotNull()).count()
-        if n_split == 0:
+        trees = _trees_df(spark, known)
+        hist = level_histogram(train, trees, cands_df, level, n_ids, L)
+        lvl = _best_splits(hist, L).collect()  # ≤ P·2^level rows
+        last_splits = []
+        for r in lvl:
+            records.append((r["cand"], r["node"], level, int(r["n"]), list(r["counts"]), r["f"], r["b"],
+                            r["gain"], int(r["pred"])))
+            nd = known[r["cand"]]
+            nd[r["node"]] = (r["f"], r["b"], int(r["pred"]), level)
+            if r["f"] is not None:
+                lc, rc = list(r["left_counts"]), list(r["right_counts"])
+                nd[2 * r["node"]] = (None, None, _py_argmax(lc), level + 1)
+                nd[2 * r["node"] + 1] = (None, None, _py_argmax(rc), level + 1)
+                last_splits.append((r["cand"], r["node"], level, lc, rc))
+        if not last_splits:
             break
-        internal = level_nodes.filter(F.col("f").isNotNull()).select("cand", "node", "f", "b", "pred")
-        split_nodes = internal if split_nodes is None else split_nodes.unionByName(internal)
-        split_nodes = cut_lineage(split_nodes)
-        trees = _tree_arrays(split_nodes, 2 ** (level + 1) - 1)
-    nodes = done[0]
-    for d in done[1:]:
-        nodes = nodes.unionByName(d)
-    # children of the last level's splits are leaves whose counts are known
-    last = done[-1].filter(F.col("f").isNotNull())
-    if last.limit(1).count():
-        kids = []
-        for side, arr in (("0", "left_counts"), ("1", "right_counts")):
-            kids.append(last.select(
-                "cand", (2 * F.col("node") + int(side)).alias("node"),
-                (F.col("depth") + 1).alias("depth"), F.col(arr).alias("counts")))
-        leaves = kids[0].unionByName(kids[1])
-        leaves = leaves.select(
-            "cand", "node", "depth", "counts",
-            F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("n"),
-            F.lit(None).cast("int").alias("f"), F.lit(None).cast("int").alias("b"),
-            F.lit(None).cast("double").alias("gain"),
-            _argmax([F.col("counts")[i] for i in range(L)]).alias("pred"),
-            F.lit(None).cast("array<long>").alias("left_counts"),
-            F.lit(None).cast("array<long>").alias("right_counts"))
-        nodes = nodes.unionByName(leaves)
-    return nodes.select("cand", "node", "depth", "n", "counts", "f", "b", "gain", "pred")
+    # splits on the last level: their children are depth-D leaves whose
+    # counts are already known from the split
+    for c, node, lv, lc, rc in last_splits:
+        for child, cnt in ((2 * node, lc), (2 * node + 1, rc)):
+            records.append((c, child, lv + 1, int(sum(cnt)), cnt, None, None, None, _py_argmax(cnt)))
+    return spark.createDataFrame(records, NODE_SCHEMA)
 
 
 def level_histogram(train: DataFrame, trees: DataFrame, cands: DataFrame, level: int,
                     n_cands: int, L: int) -> DataFrame:
-    """(cand, node, f, b, c0..c{L-1}) for rows at open nodes of depth ``level``."""
-    size = 2 ** level - 1
+    """(cand, node, f, b, c0..c{L-1}) for rows at open nodes of depth
+    ``level``.  rows × candidates is a narrow explode over the dense ids;
+    the trees/feature table (population-sized) is broadcast."""
     t = trees.join(cands, "cand")
-    bound = n_cands * max(size, 1)
     pairs = _explode_candidates(train, n_cands)
-    walked = (pairs.join(maybe_broadcast(t, bound), "cand")
-              .select("cand", "label", "bins", "feats",
-                      _walk(F.col("tree"), F.col("bins"), level).alias("w"))
-              .filter(F.col("w.go"))
-              .select("cand", F.col("w.n").alias("node"), "label", "bins", "feats"))
+    walked = (pairs.join(F.broadcast(t), "cand")
+              .select("cand", "label", "bins", "feats", _walk(F.col("tree"), F.col("bins"), level).alias("e"))
+              .filter((F.col("e.depth") == level) & F.col("e.f").isNull())
+              .select("cand", F.col("e.node").alias("node"), "label", "bins", "feats"))
     return (walked.select("cand", "node", "label", F.explode("feats").alias("f"), "bins")
             .select("cand", "node", "f", F.col("bins")[F.col("f")].alias("b"), "label")
             .groupBy("cand", "node", "f", "b")
@@ -198,22 +214,29 @@ def level_histogram(train: DataFrame, trees: DataFrame, cands: DataFrame, level:
 
 
 def empty_trees(cands: DataFrame) -> DataFrame:
-    return cands.select("cand", F.array().cast("array<struct<f:int,b:int,pred:int>>").alias("tree"))
+    root = F.array(F.struct(F.lit(1).alias("node"), F.lit(None).cast("int").alias("f"),
+                            F.lit(None).cast("int").alias("b"), F.lit(0).alias("pred"),
+                            F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("depth")))
+    return cands.select("cand", root.alias("tree"))
 
 
 def _explode_candidates(train: DataFrame, n_cands: int) -> DataFrame:
-    """rows × candidate ids as a narrow explode (no join): the ids are the
-    dense range 0..P-1 after :func:`dense_candidates`."""
+    """rows × candidate ids as a narrow explode over 0..P-1 (no join)."""
     return train.select(F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1))).alias("cand"),
                         "label", "bins")
 
 
 def _best_splits(hist: DataFrame, L: int) -> DataFrame:
+    """Best split per (cand, node).  The histogram is hash-partitioned by
+    (cand, node) once; both windows (cumulative over bins per feature, and
+    the ranking per node) then run without further shuffles.  Groups are
+    bounded: ≤ features × bins rows per node."""
+    h = hist.repartition("cand", "node")
     w_cum = Window.partitionBy("cand", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy("cand", "node", "f")
-    h = hist
-    for i in range(L):
-        h = h.withColumn(f"l{i}", F.sum(f"c{i}").over(w_cum)).withColumn(f"t{i}", F.sum(f"c{i}").over(w_all))
+    h = h.select("cand", "node", "f", "b",
+                 *[F.sum(f"c{i}").over(w_cum).alias(f"l{i}") for i in range(L)],
+                 *[F.sum(f"c{i}").over(w_all).alias(f"t{i}") for i in range(L)])
     left = [F.col(f"l{i}") for i in range(L)]
     tot = [F.col(f"t{i}") for i in range(L)]
     right = [F.col(f"t{i}") - F.col(f"l{i}") for i in range(L)]
@@ -221,15 +244,13 @@ def _best_splits(hist: DataFrame, L: int) -> DataFrame:
     nl = sum(left[1:], left[0]) if L > 1 else left[0]
     nr = n - nl
     gain = (_entropy(tot, n) - (nl / n) * _entropy(left, nl) - (nr / n) * _entropy(right, nr))
-    h = h.select("cand", "node", "f", "b",
-                 F.array(*tot).alias("counts"), n.alias("n"),
+    valid = (nl >= 1) & (nr >= 1)
+    rgain = F.round(gain, GAIN_DIGITS)
+    w_best = Window.partitionBy("cand", "node").orderBy(F.desc("valid"), F.desc("gain"), F.asc("f"), F.asc("b"))
+    h = h.select("cand", "node", "f", "b", F.array(*tot).alias("counts"), n.alias("n"),
                  F.array(*left).alias("left_counts"), F.array(*right).alias("right_counts"),
-                 F.round(gain, GAIN_DIGITS).alias("gain"),
-                 ((nl >= 1) & (nr >= 1)).alias("valid"),
-                 _argmax(tot).alias("pred"))
-    w_best = Window.partitionBy("cand", "node").orderBy(
-        F.desc("valid"), F.desc("gain"), F.asc("f"), F.asc("b"))
-    best = h.withColumn("rk", F.row_number().over(w_best)).filter("rk = 1")
+                 rgain.alias("gain"), valid.alias("valid"), _argmax(tot).alias("pred"))
+    best = h.select("*", F.row_number().over(w_best).alias("rk")).filter("rk = 1")
     splits = F.col("valid") & (F.col("gain") > 0)
     return best.select(
         "cand", "node", "n", "counts", "pred",
@@ -241,15 +262,23 @@ def _best_splits(hist: DataFrame, L: int) -> DataFrame:
 
 def predict(data: TreeData, nodes: DataFrame, max_depth: int, n_cands: int,
             which: str = "test") -> DataFrame:
-    """(cand, label, prediction) for every test (or train) row × candidate."""
-    size = 2 ** (max_depth + 1) - 1
-    trees = _tree_arrays(nodes.select("cand", "node", "f", "b", "pred"), size)
+    """(cand, label, prediction) for every test (or train) row × candidate.
+    The node table is model-sized; it is compacted on the driver and
+    broadcast."""
+    spark = data.rows.sparkSession
+    per = {}
+    for r in nodes.select("cand", "node", "f", "b", "pred", "depth").collect():
+        per.setdefault(r["cand"], {})[r["node"]] = (r["f"], r["b"], r["pred"], r["depth"])
+    if not per:
+        return spark.createDataFrame([], "cand int, label double, prediction double")
+    trees = _trees_df(spark, per)
+    n_ids = max(per) + 1
     rows = data.rows.filter(F.col("is_train") if which == "train" else ~F.col("is_train"))
-    pairs = _explode_candidates(rows.select("label", "bins"), n_cands)
-    walked = pairs.join(maybe_broadcast(trees, n_cands * size), "cand").select(
-        "cand", "label", "tree", _walk(F.col("tree"), F.col("bins"), max_depth).alias("w"))
+    pairs = _explode_candidates(rows.select("label", "bins"), n_ids)
+    walked = pairs.join(F.broadcast(trees), "cand").select(
+        "cand", "label", _walk(F.col("tree"), F.col("bins"), max_depth).alias("e"))
     return walked.select("cand", F.col("label").cast("double").alias("label"),
-                         F.col("tree")[F.col("w.n") - 1]["pred"].cast("double").alias("prediction"))
+                         F.col("e.pred").cast("double").alias("prediction"))
 
 
 def importances(nodes: DataFrame, features: list) -> DataFrame:

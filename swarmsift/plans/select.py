@@ -34,7 +34,8 @@ class Scorer:
     ``objective``: "penalised" (F1 − λ·k/N) or "hardcap"
     (F1 − λ·k − big·max(0, k − cap)).  ``evaluations`` counts every
     candidate handed in (the reference's budget unit), ``fits`` only the
-    distinct new masks actually grown."""
+    distinct new masks actually grown.  The memo maps mask → score; it is
+    bounded by the number of evaluations (population-sized per call)."""
 
     def __init__(self, data: TR.TreeData, max_depth: int, lam: float = 0.01,
                  objective: str = "penalised", k_cap: int = 9, big_penalty: float = 0.10,
@@ -42,27 +43,28 @@ class Scorer:
         self.data, self.depth, self.lam = data, max_depth, lam
         self.objective, self.k_cap, self.big = objective, k_cap, big_penalty
         self.metric = metric
-        self.memo: DataFrame | None = None
+        self.memo: dict = {}
         self.evaluations = 0
         self.fits = 0
 
     def __call__(self, cands: DataFrame) -> DataFrame:
-        cands = cut_lineage(cands)
-        self.evaluations += cands.count()
-        new = FT.new_candidates(cands, self.memo)
-        new = cut_lineage(dense(new, "mask", "member").select("member", "mask"))
-        n_new = new.count()
-        if n_new:
-            self.fits += n_new
-            fit = FT.population_fitness(new, self.data, self.depth, self.lam, self.metric)
-            fit = fit.select("mask", "k", "f1", "obj")
-            if self.objective == "hardcap":
-                fit = fit.withColumn("obj", M.hardcap_objective(F.col("f1"), F.col("k"), self.lam,
-                                                                self.k_cap, self.big))
-            self.memo = fit if self.memo is None else self.memo.unionByName(fit)
-            self.memo = cut_lineage(self.memo)
-        # memo has one row per distinct mask scored so far (≤ evaluations)
-        return cands.join(self.memo, "mask", "left")
+        spark = cands.sparkSession
+        rows = cands.select("member", "mask").collect()  # population-sized
+        self.evaluations += len(rows)
+        new = sorted({tuple(r["mask"]) for r in rows} - set(self.memo))
+        if new:
+            self.fits += len(new)
+            pop = spark.createDataFrame([(i, list(m)) for i, m in enumerate(new)], "member int, mask array<int>")
+            fit = FT.population_fitness(pop, self.data, self.depth, self.lam, self.metric)
+            for r in fit.select("mask", "k", "f1", "obj").collect():
+                obj = r["obj"]
+                if self.objective == "hardcap":
+                    k = r["k"]
+                    obj = r["f1"] - self.lam * k - self.big * max(0, k - self.k_cap)
+                self.memo[tuple(r["mask"])] = (float(obj), float(r["f1"]), int(r["k"]))
+        out = [(r["member"], *self.memo[tuple(r["mask"])]) for r in rows]
+        sc = spark.createDataFrame(out, "member int, obj double, f1 double, k int")
+        return cands.join(F.broadcast(sc), "member")
 
 
 def _best(pop: DataFrame) -> dict:
