@@ -19,6 +19,16 @@ def col(name: str) -> Column:
     return F.col(q(name))
 
 
+def tolerant_double_typed(c: Column, is_double: bool) -> Column:
+    """:func:`tolerant_double` specialised by input type.  On a double the
+    string form matches an infinity spelling exactly when the value is ±∞
+    (NaN prints as "nan", finite values never match), so the string
+    round-trip is replaced by two comparisons — same result, far cheaper."""
+    if is_double:
+        return F.when(c.isin(float("inf"), float("-inf")), F.lit(None).cast("double")).otherwise(c)
+    return tolerant_double(c)
+
+
 def tolerant_double(c: Column) -> Column:
     """Infinity spellings → NULL, then ``try_cast(… AS double)``.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col, tolerant_double
+from ..functions.numeric import col, tolerant_double, tolerant_double_typed
 
 # Fixed values that must equal the reference (column names of the flow
 # table it cleans), in the reference's order.
@@ -51,7 +51,8 @@ def drop_columns(df: DataFrame, names=None) -> DataFrame:
 def try_cast_double(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
         return df
-    return df.withColumn(name, tolerant_double(col(name)))
+    is_double = dict(df.dtypes)[name] == "double"
+    return df.withColumn(name, tolerant_double_typed(col(name), is_double))
 
 
 def filter_nonneg(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import split as S
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, shuffle_partitions
 from ..sources import csvio
 from ..sources import fixtures as X
 from ..sources.sqlgen import qi
@@ -53,10 +53,17 @@ def sql_clean(source, spec=None, present=None):
     return cur
 
 
+_DL: dict = {}
+
+
 def dl(spark, sf):
-    """The dirty string view stands in for a raw CSV scan: materialise it
-    (reliable checkpoint) so the cleaning plan runs over a plain scan."""
-    return cut_lineage(X.dirty_lineitem(spark, sf))
+    """The dirty string view stands in for a raw CSV scan: it is written
+    once per session (parquet under the checkpoint folder, spread over the
+    shuffle width) so the cleaning plans run over a plain scan."""
+    key = (id(spark), sf)
+    if key not in _DL:
+        _DL[key] = cut_lineage(X.dirty_lineitem(spark, sf).repartition(shuffle_partitions(spark)), "dl")
+    return _DL[key]
 
 
 def dl_clean_input(spark, sf):

@@ -131,7 +131,8 @@ def d_tree(spark, sf, depth=1):
     population (cached per session/sf so several keys share one fit)."""
     key = (id(spark), sf, depth)
     if key not in _CACHE:
-        data = TR.prepare_tree_data(X.doc_features(spark, sf), X.D_FEATURES, "Target", d_is_train())
+        from .runs import docs
+        data = TR.prepare_tree_data(docs(spark, sf), X.D_FEATURES, "Target", d_is_train())
         pop = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED)
         cands = TR.dense_candidates(pop)
         nodes = TR.grow_trees(data, cands.select("cand", "feats"), depth, ST.POP)

@@ -35,8 +35,21 @@ def sample(df, frac, tag="sample"):
     return df.filter(uniform(13, tag, F.col("doc_id")) < F.lit(frac))
 
 
+_DOCS: dict = {}
+
+
+def docs(spark, sf):
+    """Documents fixture, materialised once per session (text features are
+    regex passes over whole texts; later jobs read the written table)."""
+    key = (id(spark), sf)
+    if key not in _DOCS:
+        from ..session import cut_lineage, shuffle_partitions
+        _DOCS[key] = cut_lineage(X.doc_features(spark, sf).repartition(shuffle_partitions(spark)), "docs")
+    return _DOCS[key]
+
+
 def search_data(spark, sf, frac):
-    d = X.doc_features(spark, sf)
+    d = docs(spark, sf)
     return TR.prepare_tree_data(sample(d, frac), FEATS, "Target", is_train())
 
 
@@ -57,7 +70,7 @@ def warm(names):
 def report(spark, sf, res: dict, extra: dict | None = None):
     """One-row run report: search result + final retrain (depth 12, full)."""
     sel = [f for f, b in zip(FEATS, res["best_mask"]) if b == 1]
-    fin = SEL.final_retrain(X.doc_features(spark, sf), sel, "Target", is_train(), 12, 13)
+    fin = SEL.final_retrain(docs(spark, sf), sel, "Target", is_train(), 12, 13)
     m = fin["metrics"]
     row = {
         "algo": res["algo"], "subset_size": len(sel), "selected_features": sel,
@@ -162,25 +175,25 @@ def _metrics_df(spark, fin, algo):
 
 @register("tree_fit_mllib")
 def q_tree_fit_mllib(spark, sf):
-    fin = SEL.final_retrain(X.doc_features(spark, sf), FEATS, "Target", is_train(), 4, 13)
+    fin = SEL.final_retrain(docs(spark, sf), FEATS, "Target", is_train(), 4, 13)
     return fin["predictions"].select("label", "prediction")
 
 
 @register("baseline_tree")
 def q_baseline_tree(spark, sf):
-    fin = SEL.final_retrain(X.doc_features(spark, sf), FEATS, "Target", is_train(), 12, 13)
+    fin = SEL.final_retrain(docs(spark, sf), FEATS, "Target", is_train(), 12, 13)
     return _metrics_df(spark, fin, "baseline_depth12")
 
 
 @register("final_retrain")
 def q_final_retrain(spark, sf):
     sel = [f for f, b in zip(FEATS, warm(FPA_WARM)) if b]
-    fin = SEL.final_retrain(X.doc_features(spark, sf), sel, "Target", is_train(), 12, 13)
+    fin = SEL.final_retrain(docs(spark, sf), sel, "Target", is_train(), 12, 13)
     return _metrics_df(spark, fin, "retrain_depth12")
 
 
 def _depth1_all(spark, sf):
-    data = TR.prepare_tree_data(X.doc_features(spark, sf), FEATS, "Target", is_train())
+    data = TR.prepare_tree_data(docs(spark, sf), FEATS, "Target", is_train())
     cands = spark.createDataFrame([(0, list(range(len(FEATS))))], "cand int, feats array<int>")
     nodes = TR.grow_trees(data, cands, 1, 1)
     imp = TR.importances(nodes, FEATS).filter("cand = 0")

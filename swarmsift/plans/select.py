@@ -247,7 +247,10 @@ def final_retrain(df: DataFrame, features: list, label: str, is_train, max_depth
     base = PR.impute_zero(df, features).withColumn("is_train", is_train)
     labels = PR.label_index(base.filter("is_train"), label)
     base = PR.apply_label_index(base, label, labels, "label")
-    base = PR.assemble_vector(base, features)
+    base = PR.assemble_vector(base, features).select("features", "label", "is_train")
+    # MLlib makes one pass per level: read a written table, not the
+    # upstream plan (which would be recomputed on every pass)
+    base = cut_lineage(base, "retrain_input")
     t1 = time.time()
     model = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity="entropy",
                                    maxDepth=max_depth, seed=seed).fit(base.filter("is_train"))

@@ -45,10 +45,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
+    """Cut lineage by writing a parquet table under the shared checkpoint
+    folder and reading it back (never localCheckpoint): the result survives
+    executor loss, and later scans get vectorised reads, column pruning
+    and filter pushdown — which Java-serialised RDD checkpoints do not."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, row_bound: int, limit: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -60,10 +60,10 @@ def dirty_lineitem_exprs(dialect: str, stage: int = 2) -> list:
         out = [(k, k) for k in LINEITEM_KEY] + [(c, c) for c in (
             "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
             "l_linestatus", "l_shipdate")]
-        out.append(("__u_hdr", g.u(dialect, 7, "dl.hdr", *_lkey())))
-        out.append(("__u_file", g.u(dialect, 7, "dl.file", *_lkey())))
+        out.append(("__u_hdr", g.u_chunk(dialect, 7, "dl.meta", 0, *_lkey())))
+        out.append(("__u_file", g.u_chunk(dialect, 7, "dl.meta", 1, *_lkey())))
         for i, (name, _) in enumerate(DL_NUMERIC):
-            out.append((f"__u_{i}", g.u(dialect, 7, "dl.dirt." + name, *_lkey())))
+            out.append((f"__u_{i}", g.u_chunk(dialect, 7, f"dl.dirt{i // 4}", i % 4, *_lkey())))
         return out
     label = ("CASE WHEN __u_hdr < 0.004 THEN 'Label' WHEN __u_hdr < 0.008 THEN NULL "
              "WHEN l_returnflag = 'N' THEN 'Benign' WHEN l_returnflag = 'R' THEN 'DoS' ELSE 'Bot' END")

@@ -20,6 +20,21 @@ def u(dialect: str, seed: int, tag: str, *keys: str) -> str:
     return f"(({h} + 0.5) / 4294967296.0)"
 
 
+def u_chunk(dialect: str, seed: int, tag: str, chunk: int, *keys: str) -> str:
+    """The ``chunk``-th (0..3) 32-bit slice of one md5 as a uniform: four
+    independent uniforms per digest (the digest is computed once per row —
+    common-subexpression elimination)."""
+    inner_parts = [f"'{seed}'", f"'{tag}'"] + [f"CAST({k} AS STRING)" if dialect == "spark"
+                                               else f"CAST({k} AS VARCHAR)" for k in keys]
+    inner = "concat_ws(':', " + ", ".join(inner_parts) + ")"
+    start = 1 + 8 * chunk
+    if dialect == "spark":
+        h = f"CAST(conv(substring(md5({inner}), {start}, 8), 16, 10) AS DOUBLE)"
+    else:
+        h = f"CAST(('0x' || substr(md5({inner}), {start}, 8)) AS BIGINT)"
+    return f"(({h} + 0.5) / 4294967296.0)"
+
+
 def randint(dialect: str, seed: int, tag: str, n: str, *keys: str) -> str:
     return f"CAST(floor({u(dialect, seed, tag, *keys)} * ({n})) AS INT)"
 
