@@ -47,7 +47,7 @@ def population_fitness(pop: DataFrame, data: TR.TreeData, max_depth: int, lam: f
 
 def mllib_fitness(pop_rows: list, prepared: DataFrame, features: list, max_depth: int,
                   lam: float = 0.01, seed: int = 13, parallelism: int = 4,
-                  label: str = "label") -> list:
+                  label: str = "label", metric: str = "f1") -> list:
     """Evaluator A: one MLlib DecisionTreeClassifier per mask, submitted as
     concurrent Spark jobs.  ``pop_rows`` is a list of (member, mask) — the
     population (members × features bits) is small by construction.
@@ -67,7 +67,7 @@ def mllib_fitness(pop_rows: list, prepared: DataFrame, features: list, max_depth
         model = DecisionTreeClassifier(featuresCol="sub", labelCol=label, impurity="entropy",
                                        maxDepth=max_depth, seed=seed).fit(sl.filter("is_train"))
         pred = model.transform(sl.filter("not is_train"))
-        f1 = ME.classification_metrics(pred, label, "prediction").first()["f1"]
+        f1 = ME.classification_metrics(pred, label, "prediction").first()[metric]
         return member, len(idx), f1, f1 - lam * len(idx) / n
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:

@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ class TreeData:
     features: list
     splits: dict
     labels: DataFrame      # (label string, label_idx double)
+    ml_rows: DataFrame | None = None  # features vector, label double, is_train (MLlib evaluator)
 
 
 def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Column,
@@ -64,12 +66,16 @@ def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Colum
     n_labels = labels.count()
     splits = Z.fit_splits(train, features, num_buckets=max_bins)
     bins = F.array(*[tree_bin(col(c), splits[c]) for c in features])
-    rows = (PR.apply_label_index(base, label, labels, "__lab")
-            .select(F.col("__is_train").alias("is_train"),
-                    F.col("__lab").cast("int").alias("label"), bins.alias("bins")))
+    indexed = PR.apply_label_index(base, label, labels, "__lab")
+    rows = indexed.select(F.col("__is_train").alias("is_train"),
+                          F.col("__lab").cast("int").alias("label"), bins.alias("bins"))
+    ml = PR.assemble_vector(indexed, list(features)).select(
+        "features", F.col("__lab").alias("label"), F.col("__is_train").alias("is_train"))
     if checkpoint:
-        rows = cut_lineage(rows)
-    return TreeData(rows, n_labels, list(features), splits, labels)
+        rows = cut_lineage(rows, "tree_rows")
+        # MLlib makes several passes per fit; keep its input in memory/disk
+        ml = cut_lineage(ml, "ml_rows").persist(StorageLevel.MEMORY_AND_DISK)
+    return TreeData(rows, n_labels, list(features), splits, labels, ml)
 
 
 def tree_bin(x: Column, splits: list) -> Column:
