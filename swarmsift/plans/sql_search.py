@@ -73,3 +73,52 @@ add("pso_start",
     P_CTE + ", M AS " + masks_sql("P", 0.3, "pso.init", ("'0'",))
     + f" SELECT 0 AS restart, member, mask, list_transform(range({N}), "
     f"lambda j: {U('pso.vel', chr(39) + '0' + chr(39), 'member', 'j')} * 2.0 - 1.0) AS vel FROM M")
+
+# ---------------------------------------------------------------- second batch
+G = f"'{GEN}'"
+PD = P_CTE + ", PD AS (SELECT *, CAST(row_number() OVER (ORDER BY member) - 1 AS INTEGER) AS idx, " \
+    "count(*) OVER () AS np FROM P)"
+BEST = "(SELECT mask FROM P ORDER BY obj DESC, member ASC LIMIT 1)"
+
+add("fpa_local",
+    PD + ", J AS (SELECT a.member, a.mask AS ma, b.mask AS mb FROM PD a JOIN PD b ON (b.idx + 1) % b.np = a.idx) "
+    f"SELECT member, list_transform(range({N}), lambda i: CASE WHEN {U('fpa.loc', G, 'member', 'i')} < 0.5 "
+    "THEN ma[i + 1] ELSE mb[i + 1] END) AS cand FROM J")
+
+_STEP = (f"(({g.gauss('duckdb', SEED, 'fpa.levy.u', G, 'member')} / "
+         f"(pow(abs({g.gauss('duckdb', SEED, 'fpa.levy.v', G, 'member')}), {1.0 / 1.5!r}) + 1e-12)) * 0.25)")
+_Z = "(CAST(gb[i + 1] - mask[i + 1] AS DOUBLE) * step)"
+_SIG = f"(CASE WHEN {_Z} >= 35 THEN 1.0 WHEN {_Z} <= -35 THEN 0.0 ELSE 1.0 / (1.0 + exp(-{_Z})) END)"
+add("fpa_global",
+    P_CTE + f", S AS (SELECT member, mask, {_STEP} AS step, {BEST} AS gb FROM P) "
+    f"SELECT member, list_transform(range({N}), lambda i: CASE WHEN {U('fpa.flip', G, 'member', 'i')} "
+    f"< abs({_SIG} - 0.5) * 2.0 THEN 1 - mask[i + 1] ELSE mask[i + 1] END) AS cand FROM S")
+
+add("aco_ants",
+    _PHER + ", pr AS (SELECT list(least(greatest(score / (SELECT max(score) FROM sc), 1e-6), 1 - 1e-6) "
+    "ORDER BY feature_idx) AS p FROM sc) "
+    f"SELECT CAST(a.range AS INTEGER) AS member, list_transform(range({N}), lambda j: CASE WHEN "
+    f"{U('aco.ant', G, 'a.range', 'j')} < pr.p[j + 1] THEN 1 ELSE 0 END) AS mask FROM range(10) a, pr")
+
+add("aco_update",
+    _PHER + ", b AS (SELECT mask AS bm, obj AS bo FROM P ORDER BY obj DESC, member ASC LIMIT 1), "
+    "dep AS (SELECT CAST(i - 1 AS INTEGER) AS feature_idx, sum(1.0 * obj * bit) AS dep "
+    "FROM (SELECT obj, unnest(mask) AS bit, unnest(range(1, 65)) AS i FROM P WHERE obj > 0) GROUP BY i) "
+    "SELECT ph.feature_idx, least(greatest(ph.tau * 0.75 + coalesce(dep.dep, 0.0) + "
+    "(CASE WHEN b.bo > 0 THEN 0.5 * 1.0 * b.bo ELSE 0.0 END) * b.bm[ph.feature_idx + 1], 1e-6), 1e6) AS tau, ph.eta "
+    "FROM ph LEFT JOIN dep USING (feature_idx), b")
+
+_K = (G, "'emp'", "idx")
+_J = f"CAST(floor({U('abc.nb.j', *_K)} * {N}) AS INTEGER)"
+_K2 = f"CAST(floor({U('abc.nb.k', *_K)} * {N}) AS INTEGER)"
+_FIX = f"CAST(floor({U('abc.nb.fix', *_K)} * {N}) AS INTEGER)"
+add("abc_neighbors",
+    PD + ", Q AS (SELECT a.member, a.idx, a.mask AS x, b.mask AS y FROM PD a JOIN PD b ON b.idx = "
+    f"CAST((a.idx + 1 + CAST(floor({U('abc.emp.k', G, chr(39) + 'emp' + chr(39), 'a.idx')} * (a.np - 1)) AS INTEGER)) "
+    "% a.np AS INTEGER)), "
+    f"V1 AS (SELECT member, idx, list_transform(range({N}), lambda i: CASE WHEN i = {_J} THEN "
+    f"(CASE WHEN {U('abc.nb.c', *_K)} < 0.5 THEN y[i + 1] ELSE 1 - x[i + 1] END) ELSE x[i + 1] END) AS v FROM Q), "
+    f"V2 AS (SELECT member, idx, CASE WHEN {U('abc.nb.p', *_K)} < 0.1 THEN list_transform(range({N}), "
+    f"lambda i: CASE WHEN i = {_K2} THEN 1 - v[i + 1] ELSE v[i + 1] END) ELSE v END AS v FROM V1) "
+    f"SELECT member, CASE WHEN list_sum(v) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN i = {_FIX} "
+    "THEN 1 ELSE v[i + 1] END) ELSE v END AS cand FROM V2")
