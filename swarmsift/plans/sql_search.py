@@ -122,3 +122,65 @@ add("abc_neighbors",
     f"lambda i: CASE WHEN i = {_K2} THEN 1 - v[i + 1] ELSE v[i + 1] END) ELSE v END AS v FROM V1) "
     f"SELECT member, CASE WHEN list_sum(v) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN i = {_FIX} "
     "THEN 1 ELSE v[i + 1] END) ELSE v END AS cand FROM V2")
+
+# ---------------------------------------------------------------- third batch
+PO = (FE + ", po AS (SELECT fe.feature_idx, CAST(row_number() OVER (ORDER BY pr.prio IS NULL, "
+      "coalesce(pr.prio, 10000), fe.feature_idx) - 1 AS INTEGER) AS ord FROM fe LEFT JOIN pr USING (name)), "
+      "O AS (SELECT list(ord ORDER BY feature_idx) AS o FROM po)")
+
+
+def _rank(bit):
+    return (f"len(list_filter(range({N}), lambda j: mask[j + 1] = {bit} AND o[j + 1] < o[i + 1]))")
+
+
+def repair_sql(kmin, kmax):
+    tmin = max(1, kmin)
+    return (f"CASE WHEN k > {kmax} THEN list_transform(range({N}), lambda i: CAST(mask[i + 1] = 1 AND "
+            f"{_rank(1)} < {kmax} AS INTEGER)) WHEN k < {tmin} THEN list_transform(range({N}), lambda i: "
+            f"CAST(mask[i + 1] = 1 OR {_rank(0)} < ({tmin} - k) AS INTEGER)) ELSE mask END")
+
+
+def cap_sql(cap):
+    return (f"CASE WHEN k = 0 THEN list_transform(range({N}), lambda i: CAST({_rank(0)} < {cap} AS INTEGER)) "
+            f"WHEN k > {cap} THEN list_transform(range({N}), lambda i: CAST(mask[i + 1] = 1 AND {_rank(1)} < {cap} "
+            "AS INTEGER)) ELSE mask END")
+
+
+add("repair_by_priority",
+    P_CTE + ", " + PO + f" SELECT member, {repair_sql(5, 9)} AS mask FROM P, O")
+add("repair_by_importance",
+    P_CTE + ", imp AS (SELECT CAST(i - 1 AS INTEGER) AS feature_idx, avg(abs(v)) AS importance FROM "
+    "(SELECT unnest(embedding) AS v, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i), "
+    "rk AS (SELECT feature_idx, CAST(row_number() OVER (ORDER BY importance DESC, feature_idx) - 1 AS INTEGER) AS ord "
+    "FROM imp), O AS (SELECT list(ord ORDER BY feature_idx) AS o FROM rk) "
+    f"SELECT member, {cap_sql(9)} AS mask FROM P, O")
+
+add("abc_roulette",
+    PD + ", st AS (SELECT min(obj) AS mn FROM PD), sh AS (SELECT idx, obj - st.mn + 1e-9 AS s FROM PD, st), "
+    "tot AS (SELECT sum(s) AS t, count(*) AS n FROM sh), "
+    "pb AS (SELECT idx, CASE WHEN tot.t = 0 THEN 1.0 / tot.n ELSE s / tot.t END AS prob FROM sh, tot), "
+    "cum AS (SELECT idx, prob, sum(prob) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi "
+    "FROM pb), cl AS (SELECT idx, hi - prob AS lo, hi FROM cum), "
+    f"ons AS (SELECT CAST(range AS INTEGER) AS onlooker, {U('abc.onl.r', G, 'range')} AS r FROM range((SELECT n FROM tot))) "
+    "SELECT onlooker, coalesce(min(cl.idx), 0) AS idx FROM ons LEFT JOIN cl ON ons.r > cl.lo AND ons.r <= cl.hi "
+    "GROUP BY onlooker")
+
+_SW = (P_CTE + ", M AS " + masks_sql("P", 0.3, "pso.init", ("'0'",))
+       + f", SW AS (SELECT 0 AS restart, M.member, M.mask, P.obj, P.k, list_transform(range({N}), "
+       f"lambda j: {U('pso.vel', chr(39) + '0' + chr(39), 'M.member', 'j')} * 2.0 - 1.0) AS vel "
+       "FROM M JOIN P USING (member)), "
+       "GB AS (SELECT mask AS gb FROM SW ORDER BY obj DESC, k ASC, member ASC LIMIT 1), "
+       f"VEL AS (SELECT SW.member, list_transform(range({N}), lambda d: least(greatest(0.7 * vel[d + 1] "
+       f"+ 1.4 * {U('pso.r1', 'restart', G, 'member', 'd')} * (mask[d + 1] - mask[d + 1]) "
+       f"+ 1.4 * {U('pso.r2', 'restart', G, 'member', 'd')} * (gb[d + 1] - mask[d + 1]), -4.0), 4.0)) AS vel, "
+       "restart FROM SW, GB)")
+add("pso_velocity", _SW + " SELECT member, vel FROM VEL")
+_V = "vel[d + 1]"
+_SIGV = f"(CASE WHEN {_V} >= 0 THEN 1.0 / (1.0 + exp(-{_V})) ELSE exp({_V}) / (1.0 + exp({_V})) END)"
+add("pso_binarize",
+    _SW + f", RAW AS (SELECT member, restart, list_transform(range({N}), lambda d: CASE WHEN "
+    f"{U('pso.bit', 'restart', G, 'member', 'd')} < {_SIGV} THEN 1 ELSE 0 END) AS raw "
+    "FROM VEL) "
+    f"SELECT member, CASE WHEN list_sum(raw) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN i = "
+    f"CAST(floor({U('pso.bit.fix', 'restart', G, 'member')} * {N}) AS INTEGER) THEN 1 ELSE raw[i + 1] END) "
+    "ELSE raw END AS cand FROM RAW")
