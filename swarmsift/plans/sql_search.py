@@ -184,3 +184,42 @@ add("pso_binarize",
     f"SELECT member, CASE WHEN list_sum(raw) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN i = "
     f"CAST(floor({U('pso.bit.fix', 'restart', G, 'member')} * {N}) AS INTEGER) THEN 1 ELSE raw[i + 1] END) "
     "ELSE raw END AS cand FROM RAW")
+
+# ---------------------------------------------------------------- fourth batch
+_NB_SELECT = _SQL["abc_neighbors"]
+add("abc_employed",
+    _NB_SELECT.replace(" SELECT member, CASE WHEN list_sum(v) = 0", ", NB AS (SELECT member, CASE WHEN list_sum(v) = 0", 1)
+    .replace("ELSE v END AS cand FROM V2", "ELSE v END AS cand FROM V2)", 1)
+    + f", SC AS (SELECT NB.member, NB.cand, round({U('abc.emp.obj', G, 'NB.member')}, 6) AS cand_obj, "
+    "CAST(list_sum(NB.cand) AS INTEGER) AS cand_k FROM NB), "
+    "AC AS (SELECT PD.member, PD.idx, PD.mask, PD.obj, PD.k, PD.trials, SC.cand, SC.cand_obj, SC.cand_k, "
+    "(SC.cand_obj > PD.obj) OR (abs(SC.cand_obj - PD.obj) < 1e-12 AND SC.cand_k < PD.k) AS acc "
+    "FROM PD JOIN SC USING (member)) "
+    "SELECT member, idx, CASE WHEN acc THEN cand ELSE mask END AS mask, CASE WHEN acc THEN cand_obj ELSE obj END AS obj, "
+    "CASE WHEN acc THEN cand_k ELSE k END AS k, CASE WHEN acc THEN 0 ELSE trials + 1 END AS trials FROM AC")
+
+_US = lambda tag, *k: U(tag, *k)
+add("aco_start",
+    "WITH J AS (SELECT CAST(range AS INTEGER) AS j, " + _US("aco.start", "range") + " AS u FROM range(64)), "
+    "S AS (SELECT list(j) AS js FROM (SELECT j FROM J ORDER BY u, j LIMIT 5)), "
+    f"P AS (SELECT 0 AS member, list_transform(range({N}), lambda i: CAST(list_contains(js, i) AS INTEGER)) AS mask FROM S), "
+    "P2 AS (SELECT *, CAST(list_sum(mask) AS INTEGER) AS k FROM P), " + PO
+    + f" SELECT member, {repair_sql(5, 10)} AS mask FROM P2, O")
+
+_UI = _US("fpa.init", "member", "i")
+_UJ = _US("fpa.init", "member", "j")
+add("fpa_start",
+    P_CTE + f", M AS (SELECT member, list_transform(range({N}), lambda i: CAST(len(list_filter(range({N}), "
+    f"lambda j: {_UJ} < {_UI} OR ({_UJ} = {_UI} AND j < i))) < 9 AS INTEGER)) AS mask FROM P), "
+    "M2 AS (SELECT *, CAST(list_sum(mask) AS INTEGER) AS k FROM M), " + PO
+    + f" SELECT member, {repair_sql(5, 9)} AS mask FROM M2, O")
+
+add("pso_best_update",
+    _SQL["pso_binarize"].replace(" SELECT member, CASE WHEN list_sum(raw) = 0", ", CD AS (SELECT member, CASE WHEN list_sum(raw) = 0", 1)
+    + ")"
+    + f", SC AS (SELECT CD.member, CD.cand, round({U('pso.obj', G, 'CD.member')}, 6) AS cand_obj, "
+    "CAST(list_sum(CD.cand) AS INTEGER) AS cand_k FROM CD), "
+    "AC AS (SELECT SW.member, SW.mask AS pbest, SW.obj AS pbest_obj, SW.k AS pbest_k, SC.cand, SC.cand_obj, SC.cand_k, "
+    "(SC.cand_obj > SW.obj) OR (abs(SC.cand_obj - SW.obj) < 1e-12 AND SC.cand_k < SW.k) AS pb FROM SW JOIN SC USING (member)) "
+    "SELECT member, cand AS mask, cand_obj AS obj, cand_k AS k, CASE WHEN pb THEN cand ELSE pbest END AS pbest, "
+    "CASE WHEN pb THEN cand_obj ELSE pbest_obj END AS pbest_obj, CASE WHEN pb THEN cand_k ELSE pbest_k END AS pbest_k FROM AC")
