@@ -223,3 +223,37 @@ add("pso_best_update",
     "(SC.cand_obj > SW.obj) OR (abs(SC.cand_obj - SW.obj) < 1e-12 AND SC.cand_k < SW.k) AS pb FROM SW JOIN SC USING (member)) "
     "SELECT member, cand AS mask, cand_obj AS obj, cand_k AS k, CASE WHEN pb THEN cand ELSE pbest END AS pbest, "
     "CASE WHEN pb THEN cand_obj ELSE pbest_obj END AS pbest_obj, CASE WHEN pb THEN cand_k ELSE pbest_k END AS pbest_k FROM AC")
+
+# ---------------------------------------------------------------- onlooker phase
+
+
+def _nb_ctes(src: str, keys: tuple, sfx: str) -> str:
+    """ABC neighbour move over ``src`` (columns x, y + keys) as CTEs."""
+    j = f"CAST(floor({U('abc.nb.j', *keys)} * {N}) AS INTEGER)"
+    k2 = f"CAST(floor({U('abc.nb.k', *keys)} * {N}) AS INTEGER)"
+    fix = f"CAST(floor({U('abc.nb.fix', *keys)} * {N}) AS INTEGER)"
+    return (f"A{sfx} AS (SELECT *, list_transform(range({N}), lambda i: CASE WHEN i = {j} THEN "
+            f"(CASE WHEN {U('abc.nb.c', *keys)} < 0.5 THEN y[i + 1] ELSE 1 - x[i + 1] END) ELSE x[i + 1] END) AS v1 "
+            f"FROM {src}), "
+            f"B{sfx} AS (SELECT *, CASE WHEN {U('abc.nb.p', *keys)} < 0.1 THEN list_transform(range({N}), "
+            f"lambda i: CASE WHEN i = {k2} THEN 1 - v1[i + 1] ELSE v1[i + 1] END) ELSE v1 END AS v2 FROM A{sfx}), "
+            f"C{sfx} AS (SELECT *, CASE WHEN list_sum(v2) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN "
+            f"i = {fix} THEN 1 ELSE v2[i + 1] END) ELSE v2 END AS cand FROM B{sfx})")
+
+
+_ROUL = _SQL["abc_roulette"].replace(" SELECT onlooker, coalesce(min(cl.idx), 0) AS idx",
+                                     ", PK AS (SELECT onlooker, coalesce(min(cl.idx), 0) AS idx", 1) + ")"
+_OK = (G, "'onl'", "onlooker")
+add("abc_onlooker",
+    _ROUL + ", OC AS (SELECT PK.onlooker, PK.idx, a.mask AS x, b.mask AS y FROM PK JOIN PD a ON a.idx = PK.idx "
+    f"JOIN PD b ON b.idx = CAST((PK.idx + 1 + CAST(floor({U('abc.onl.k', G, chr(39) + 'onl' + chr(39), 'PK.onlooker')} "
+    "* (a.np - 1)) AS INTEGER)) % a.np AS INTEGER)), "
+    + _nb_ctes("OC", _OK, "o")
+    + f", SC AS (SELECT onlooker, idx, cand, round({U('abc.onl.obj', G, 'onlooker')}, 6) AS cand_obj, "
+    "CAST(list_sum(cand) AS INTEGER) AS cand_k FROM Co), "
+    "BW AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY cand_obj DESC, cand_k ASC, onlooker ASC) AS rk, "
+    "count(*) OVER (PARTITION BY idx) AS hits FROM SC) WHERE rk = 1), "
+    "AC AS (SELECT PD.*, BW.cand, BW.cand_obj, BW.cand_k, BW.hits, BW.cand IS NOT NULL AND ((BW.cand_obj > PD.obj) OR "
+    "(abs(BW.cand_obj - PD.obj) < 1e-12 AND BW.cand_k < PD.k)) AS acc FROM PD LEFT JOIN BW USING (idx)) "
+    "SELECT member, idx, CASE WHEN acc THEN cand ELSE mask END AS mask, CASE WHEN acc THEN cand_obj ELSE obj END AS obj, "
+    "CASE WHEN acc THEN cand_k ELSE k END AS k, CASE WHEN acc THEN 0 ELSE trials + coalesce(hits, 0) END AS trials FROM AC")
