@@ -257,3 +257,32 @@ add("abc_onlooker",
     "(abs(BW.cand_obj - PD.obj) < 1e-12 AND BW.cand_k < PD.k)) AS acc FROM PD LEFT JOIN BW USING (idx)) "
     "SELECT member, idx, CASE WHEN acc THEN cand ELSE mask END AS mask, CASE WHEN acc THEN cand_obj ELSE obj END AS obj, "
     "CASE WHEN acc THEN cand_k ELSE k END AS k, CASE WHEN acc THEN 0 ELSE trials + coalesce(hits, 0) END AS trials FROM AC")
+
+# ---------------------------------------------------------------- FPA generation
+_SK = (G, "slot")
+_STEP_S = (f"(({g.gauss('duckdb', SEED, 'fpa.levy.u', *_SK)} / "
+           f"(pow(abs({g.gauss('duckdb', SEED, 'fpa.levy.v', *_SK)}), {1.0 / 1.5!r}) + 1e-12)) * 0.25)")
+_ZS = "(CAST(gb[i + 1] - x[i + 1] AS DOUBLE) * step)"
+_SIGS = f"(CASE WHEN {_ZS} >= 35 THEN 1.0 WHEN {_ZS} <= -35 THEN 0.0 ELSE 1.0 / (1.0 + exp(-{_ZS})) END)"
+add("fpa_generation",
+    PD + ", GB AS (SELECT mask AS gb FROM P ORDER BY obj DESC, member ASC LIMIT 1), "
+    "NP AS (SELECT count(*) AS np FROM P), "
+    f"S2 AS (SELECT CAST(range AS INTEGER) AS slot, CAST(floor({U('fpa.parent', G, 'range')} * np) AS INTEGER) AS parent, "
+    f"{U('fpa.glob', G, 'range')} < 0.8 AS is_glob, CAST(floor({U('fpa.a', G, 'range')} * np) AS INTEGER) AS a, np "
+    "FROM range(1, (SELECT np FROM NP)), NP), "
+    f"S3 AS (SELECT *, CAST((a + 1 + CAST(floor({U('fpa.b', *_SK)} * (np - 1)) AS INTEGER)) % np AS INTEGER) AS b FROM S2), "
+    "J AS (SELECT S3.slot, S3.is_glob, pp.mask AS x, pp.obj AS parent_obj, pp.k AS parent_k, pa.mask AS ma, pb.mask AS mb, "
+    f"{_STEP_S} AS step, GB.gb FROM S3 JOIN PD pp ON pp.idx = S3.parent JOIN PD pa ON pa.idx = S3.a "
+    "JOIN PD pb ON pb.idx = S3.b, GB), "
+    f"CD AS (SELECT slot, x, parent_obj, parent_k, CASE WHEN is_glob THEN list_transform(range({N}), lambda i: CASE WHEN "
+    f"{U('fpa.flip', G, 'slot', 'i')} < abs({_SIGS} - 0.5) * 2.0 THEN 1 - x[i + 1] ELSE x[i + 1] END) "
+    f"ELSE list_transform(range({N}), lambda i: CASE WHEN {U('fpa.loc', G, 'slot', 'i')} < 0.5 THEN ma[i + 1] "
+    "ELSE mb[i + 1] END) END AS mask FROM J), "
+    "CD2 AS (SELECT *, CAST(list_sum(mask) AS INTEGER) AS k FROM CD), " + PO + ", "
+    f"RP AS (SELECT slot, x, parent_obj, parent_k, {repair_sql(5, 9)} AS mask FROM CD2, O), "
+    f"SC AS (SELECT *, round({U('fpa.obj', G, 'slot')}, 6) AS obj, CAST(list_sum(mask) AS INTEGER) AS kk FROM RP), "
+    "OFF AS (SELECT slot AS member, CASE WHEN obj > parent_obj THEN mask ELSE x END AS mask, "
+    "CASE WHEN obj > parent_obj THEN obj ELSE parent_obj END AS obj, "
+    "CASE WHEN obj > parent_obj THEN kk ELSE parent_k END AS k FROM SC), "
+    "EL AS (SELECT 0 AS member, mask, obj, k FROM P ORDER BY obj DESC, member ASC LIMIT 1) "
+    "SELECT * FROM EL UNION ALL SELECT * FROM OFF")
