@@ -60,22 +60,32 @@ def fit_splits(df: DataFrame, cols: list, num_buckets: int = 10,
     probs = [j / num_buckets for j in range(1, num_buckets)]
     xs = df.select(*[F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"__x{i}")
                      for i, c in enumerate(cols)])
-    n_row = xs.agg(*[F.count(f"__x{i}").alias(f"n{i}") for i in range(len(cols))]).first()
-    ns = [int(n_row[f"n{i}"]) for i in range(len(cols))]
-
     if not exact:
         acc = max(1, int(round(1.0 / relative_error)))
-        aggs = [F.percentile_approx(f"__x{i}", probs, acc).alias(f"p{i}") for i in range(len(cols))]
+        aggs = [F.count(f"__x{i}").alias(f"n{i}") for i in range(len(cols))] + \
+            [F.percentile_approx(f"__x{i}", probs, acc).alias(f"p{i}") for i in range(len(cols))]
         r = xs.agg(*aggs).first()
-        return {c: (_splits_from_cuts(list(r[f"p{i}"])) if ns[i] else [NEG_INF, POS_INF])
+        return {c: (_splits_from_cuts(list(r[f"p{i}"])) if r[f"n{i}"] else [NEG_INF, POS_INF])
                 for i, c in enumerate(cols)}
 
-    acc = _accuracy(max(ns) if ns else 0)
+    # counts and the sketch in one scan; the accuracy is sized from n, so a
+    # second sketch pass happens only when n is too large for the default
+    def sketch_pass(acc, with_counts):
+        d = 3.0 / acc
+        lo_p = [max(p - d, 0.0) for p in probs]
+        hi_p = [min(p + d, 1.0) for p in probs]
+        aggs = [F.percentile_approx(f"__x{i}", lo_p + hi_p, acc).alias(f"s{i}") for i in range(len(cols))]
+        if with_counts:
+            aggs = [F.count(f"__x{i}").alias(f"n{i}") for i in range(len(cols))] + aggs
+        return xs.agg(*aggs).first()
+
+    acc = _accuracy(0)
+    sketch = sketch_pass(acc, True)
+    ns = [int(sketch[f"n{i}"]) for i in range(len(cols))]
+    if _accuracy(max(ns) if ns else 0) != acc:
+        acc = _accuracy(max(ns))
+        sketch = sketch_pass(acc, False)
     delta = 3.0 / acc
-    lows = [max(p - delta, 0.0) for p in probs]
-    highs = [min(p + delta, 1.0) for p in probs]
-    sketch = xs.agg(*[F.percentile_approx(f"__x{i}", lows + highs, acc).alias(f"s{i}")
-                      for i in range(len(cols))]).first()
     brackets = {}  # (i, j) -> (rank, lo, hi)
     for i in range(len(cols)):
         if ns[i] == 0:

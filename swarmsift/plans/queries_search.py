@@ -290,3 +290,16 @@ def q_pso_best_update(spark, sf):
 # ------------------------------------------------------------------ full runs on documents
 
 from . import runs  # noqa: E402,F401
+
+
+@register("selected_features_text")
+def q_selected_features_text(spark, sf):
+    """The best member's selected feature names written as a text file
+    (one per line) and read back."""
+    from ..session import scratch_path
+    from ..sources import reports as RP
+    best = R.best_member(p_pop(spark, sf).select("member", "mask", "obj", "k"))
+    names = M.selected_features(best, e_features(spark))
+    path = scratch_path(spark, "selected_features")
+    RP.write_selected_features(names, path)
+    return spark.read.text(path).select(F.col("value").alias("name"))

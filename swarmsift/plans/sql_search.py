@@ -286,3 +286,7 @@ add("fpa_generation",
     "CASE WHEN obj > parent_obj THEN kk ELSE parent_k END AS k FROM SC), "
     "EL AS (SELECT 0 AS member, mask, obj, k FROM P ORDER BY obj DESC, member ASC LIMIT 1) "
     "SELECT * FROM EL UNION ALL SELECT * FROM OFF")
+
+add("selected_features_text",
+    P_CTE + ", B AS (SELECT mask FROM P ORDER BY obj DESC, member ASC LIMIT 1) "
+    "SELECT printf('f%02d', i - 1) AS name FROM (SELECT unnest(mask) AS bit, unnest(range(1, 65)) AS i FROM B) WHERE bit = 1")
