@@ -72,6 +72,10 @@ class Scorer:
             for mask, k, f1, obj in scored:
                 if self.objective == "hardcap":
                     obj = f1 - self.lam * k - self.big * max(0, k - self.k_cap)
+                elif self.objective == "legacy_hardcap":
+                    # the reference unpacks (obj, f1, k) as (obj, acc, f1), so its
+                    # "f1" is k: objective k − λ·k (rewards size, ignores accuracy)
+                    obj = k - self.lam * k - self.big * max(0, k - self.k_cap)
                 self.memo[tuple(mask)] = (float(obj), float(f1), int(k))
         out = [(r["member"], *self.memo[tuple(r["mask"])]) for r in rows]
         sc = spark.createDataFrame(out, "member int, obj double, f1 double, k int")
@@ -206,12 +210,14 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
 
 
 def select_pso(data: TR.TreeData, prm: PSO.PSOParams, max_depth: int = 2, lam: float = 0.03,
-               rank_ordv: list | None = None, k_cap: int = 9, big_penalty: float = 0.10) -> dict:
-    """All restarts are one population keyed by (restart, member)."""
+               rank_ordv: list | None = None, k_cap: int = 9, big_penalty: float = 0.10,
+               legacy_objective: bool = False) -> dict:
+    """All restarts are one population keyed by (restart, member).
+    ``legacy_objective=True`` reproduces the reference's k − 0.03·k score."""
     spark = data.rows.sparkSession
     n = len(data.features)
     rank_ordv = rank_ordv or list(range(n))
-    score = Scorer(data, max_depth, lam, "hardcap", k_cap, big_penalty)
+    score = Scorer(data, max_depth, lam, "legacy_hardcap" if legacy_objective else "hardcap", k_cap, big_penalty)
     t0 = time.time()
     sw = None
     for r in range(prm.restarts):
