@@ -45,3 +45,12 @@ def test_fpa_recovers_planted_signal(spark):
                          max_depth=2, ordv=list(range(n)), k_min=1, k_max=3)
     assert res["best_mask"][3] == 1
     assert res["best_obj"] > 0.9
+
+
+def test_pso_legacy_objective_is_size_score(spark):
+    from swarmsift.operators.search import pso as PSO
+    from swarmsift.plans import runs
+    data = runs.search_data(spark, "/root/testdata/sf0.001", 1.0)
+    res = SEL.select_pso(data, PSO.PSOParams(swarm_size=3, iters=1, restarts=1), legacy_objective=True)
+    k = sum(res["best_mask"])
+    assert abs(res["best_obj"] - (k - 0.03 * k)) < 1e-9
