@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets
+from . import chat, packing, secret_scan, toxicity
 from .common import table
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by a network fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, plus conversation -1, through the schema-fingerprint formatter."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -21,13 +28,26 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.canonical_turns(records), "conv_id", ["turn"]), "conv_id")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized and packed into sequences of 2048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; owner = source, repository = document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return secrets.digest(secrets.scan(docs))
+    return secret_scan.digest(secret_scan.scan(docs))
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op8_chat_format": op8_chat_format,
+    "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
