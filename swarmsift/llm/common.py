@@ -78,3 +78,18 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Adds a row number unique within the frame; write the frame before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def join_by_hot_key(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int,
+                    share: int = 200) -> DataFrame:
+    """Left join of ``left`` with ``right``, which has one row per key and in
+    ``weight`` the key's number of rows in ``left`` (``total`` in all).  Keys
+    with over 1/``share`` of the rows, fewer than ``share`` keys, are joined
+    by broadcast; no task takes them whole.  The rest goes by shuffle."""
+    value = [c for c in right.columns if c not in key]
+    hot = right.filter(F.col(weight) * share > total)
+    cold = right.filter(F.col(weight) * share <= total)
+    one = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    first = one.filter("__hot").drop("__hot")
+    rest = one.filter("__hot is null").drop("__hot", *value).join(cold, key, "left")
+    return first.unionByName(rest.select(first.columns))

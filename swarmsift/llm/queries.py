@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secret_scan, toxicity
+from . import chat, minhash_forest, packing, secret_scan, toxicity
 from .common import table
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, four-word shingles, similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash_forest.near_duplicates(docs, width=4, percent=80)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, scored by a network fitted on labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -46,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
