@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, minhash_forest, packing, secret_scan, toxicity
+from . import chat, embed_dedup, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; strings of 50 bytes that a smaller document has are removed."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors of equal label with cosine of 0.98 or more."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -57,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
