@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
+from . import chat, embed_dedup, html_blocks, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.canonical_turns(records), "conv_id", ["turn"]), "conv_id")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; the labeller is fitted on a bounded sample of the same pages."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
+    "op6_html_extract": op6_html_extract,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
