@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_blocks, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
+from . import chat, decontaminate, embed_dedup, html_blocks, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -32,6 +32,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every benchmark item that a document holds, edits up to a fifth of its words included."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, plus conversation -1, through the schema-fingerprint formatter."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -73,6 +80,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_html_extract": op6_html_extract,
+    "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
