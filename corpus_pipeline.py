@@ -1,17 +1,62 @@
-"""Corpus pipeline: documents through the operators, stage by stage."""
+"""Corpus pipeline: documents through five operators, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, works
+on all its predecessor kept and returns a DataFrame; all but the last return the
+columns of documents.  Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from swarmsift.llm import decontaminate, minhash_forest, packing, queries, secret_scan, toxicity
+from swarmsift.llm.common import cut_lineage, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network predicts toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.keep_clean(docs.select(*COLUMNS), model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest id."""
+    found = minhash_forest.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
+    gone = found.filter("not kept").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Rows of one id are copies of one document; rows without an id are not.
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret span is replaced by a mark; no document goes."""
+    found = secret_scan.scan(docs, carry=COLUMNS)
+    text = secret_scan.redact(F.col("text"), F.col("spans"))
+    return found.select("doc_id", text.alias("text"), "lang", "source",
+                        F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, tokenized and packed into sequences."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
 
-from swarmsift.llm.common import cut_lineage
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),
+          ("secrets", redact_secrets), ("packing", pack)]
+#: A trained network, MinHash and a tokenizer: no stage but the fourth is SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again."""
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"stage_{name}")

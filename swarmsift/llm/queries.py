@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embed_dedup, html_blocks, minhash_forest, packing, secret_scan, suffix_dedup, toxicity
+from . import chat, decontaminate, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the scorer that the weak-label model trains."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    weights, _, _ = quality.fit(docs)
+    return quality.score(docs, np.zeros((1 << quality.BITS) + 1) if weights is None else weights)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; strings of 50 bytes that a smaller document has are removed."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -75,6 +83,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash": op4_minhash,
