@@ -156,11 +156,12 @@ def clean_audit(df: DataFrame, spec: CleanSpec | None = None) -> DataFrame:
     )
 
 
-def label_distribution(df: DataFrame, label: str = "Label", top: int = 50) -> DataFrame:
-    """Count per label, most frequent first (the reference shows 50)."""
-    return (
+def label_distribution(df: DataFrame, label: str = "Label", top: int | None = None) -> DataFrame:
+    """Count per label, most frequent first; ``top`` limits what is displayed
+    (the reference shows 50), by default every label is returned."""
+    counts = (
         df.groupBy(col(label).alias(label))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), F.asc(label))
-        .limit(top)
     )
+    return counts if top is None else counts.limit(top)

@@ -5,18 +5,18 @@ j = 0..B, the end points replaced by −∞/+∞, duplicates removed; NULL and
 NaN are ignored when fitting.  The quantile at p is the value of rank
 ⌈p·n⌉ among the n non-NULL, non-NaN values.
 
-``exact=True`` (default) returns exactly that value, at any scale:
+``exact=True`` (default) returns exactly that value, at any scale, by counting:
 
-1. one aggregation computes ``n`` and ``percentile_approx`` at p±δ for
-   every column (a mergeable sketch, map-side partials);
-2. one aggregation counts rows below each bracket's low end;
-3. only values inside a bracket are exploded and counted per distinct
-   value; a window per (column, quantile) walks the cumulative counts.
+1. one aggregation finds each column's count and finite range;
+2. each round cuts the interval that holds a wanted rank into ``CELLS`` cells and counts
+   values per (column, interval, cell), with each cell's smallest and largest value; the
+   cell of the wanted rank is the next interval, and a cell with one distinct value ends
+   the search.
 
-The sketch's rank error is n/A, so a bracket holds about 6·n/A distinct
-values; A grows with n (up to 10^6) so the last step's groups stay small.
-A hot value (say a third of all rows equal to 0) is one group after the
-partial aggregation, not a third of the rows in one task.
+Counts merge map-side, a round returns at most columns x buckets x CELLS short rows
+to as many reduce groups, and no sketch, window or single reducer is involved.  A hot value
+(say a third of all rows equal to 0) is one counter.  −∞ and +∞ are counted beside the
+cells.  Strings are cast tolerantly (``try_cast``).
 
 ``exact=False`` is the reference's one-pass sketch (relative error).
 """
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
@@ -33,8 +33,7 @@ from ..functions.numeric import col
 NEG_INF, POS_INF = float("-inf"), float("inf")
 
 
-def _accuracy(n: int) -> int:
-    return int(min(1_000_000, max(10_000, math.ceil(6 * n / 1_000_000))))
+CELLS = 4096
 
 
 def _splits_from_cuts(cuts: list) -> list:
@@ -58,7 +57,7 @@ def quantile_cuts(df: DataFrame, cols: list, num_buckets: int = 10,
 def fit_splits(df: DataFrame, cols: list, num_buckets: int = 10,
                relative_error: float = 0.001, exact: bool = True) -> dict:
     probs = [j / num_buckets for j in range(1, num_buckets)]
-    xs = df.select(*[F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"__x{i}")
+    xs = df.select(*[F.when(~F.isnan(col(c).try_cast("double")), col(c).try_cast("double")).alias(f"__x{i}")
                      for i, c in enumerate(cols)])
     if not exact:
         acc = max(1, int(round(1.0 / relative_error)))
@@ -68,89 +67,68 @@ def fit_splits(df: DataFrame, cols: list, num_buckets: int = 10,
         return {c: (_splits_from_cuts(list(r[f"p{i}"])) if r[f"n{i}"] else [NEG_INF, POS_INF])
                 for i, c in enumerate(cols)}
 
-    # counts and the sketch in one scan; the accuracy is sized from n, so a
-    # second sketch pass happens only when n is too large for the default
-    def sketch_pass(acc, with_counts):
-        d = 3.0 / acc
-        lo_p = [max(p - d, 0.0) for p in probs]
-        hi_p = [min(p + d, 1.0) for p in probs]
-        aggs = [F.percentile_approx(f"__x{i}", lo_p + hi_p, acc).alias(f"s{i}") for i in range(len(cols))]
-        if with_counts:
-            aggs = [F.count(f"__x{i}").alias(f"n{i}") for i in range(len(cols))] + aggs
-        return xs.agg(*aggs).first()
-
-    acc = _accuracy(0)
-    sketch = sketch_pass(acc, True)
-    ns = [int(sketch[f"n{i}"]) for i in range(len(cols))]
-    if _accuracy(max(ns) if ns else 0) != acc:
-        acc = _accuracy(max(ns))
-        sketch = sketch_pass(acc, False)
-    delta = 3.0 / acc
-    brackets = {}  # (i, j) -> (rank, lo, hi)
+    finite = [F.when(F.abs(f"__x{i}") < F.lit(POS_INF), F.col(f"__x{i}")) for i in range(len(cols))]
+    first = xs.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"__x{i}").alias(f"n{i}"), F.count_if(F.col(f"__x{i}") == NEG_INF).alias(f"lo{i}"),
+        F.count(finite[i]).alias(f"f{i}"), F.min(finite[i]).alias(f"a{i}"), F.max(finite[i]).alias(f"b{i}"))]).first() \
+        if cols else None
+    cuts = {i: {} for i in range(len(cols))}
+    # (column, low, high) -> [(quantile, rank among the finite values of the interval)]
+    open_: dict = {}
     for i in range(len(cols)):
-        if ns[i] == 0:
-            continue
-        s = list(sketch[f"s{i}"])
-        for j, p in enumerate(probs):
-            lo = s[j] if p - delta > 0 else NEG_INF
-            hi = s[len(probs) + j] if p + delta < 1 else POS_INF
-            brackets[(i, j)] = (math.ceil(p * ns[i]), lo, hi)
-
-    cuts = {i: [None] * len(probs) for i in range(len(cols))}
-    if brackets:
-        spark = df.sparkSession
-        # long format: one (column, value) row per non-NULL value
-        long = (xs.select(F.posexplode(F.array(*[F.col(f"__x{i}") for i in range(len(cols))]))
-                          .alias("i", "x"))
-                .filter(F.col("x").isNotNull()))
-        lows = [[brackets[(i, j)][1] if (i, j) in brackets else POS_INF for j in range(len(probs))]
-                for i in range(len(cols))]
-        br = [[F.struct(F.lit(j).alias("j"), F.lit(brackets[(i, j)][1]).alias("lo"),
-                        F.lit(brackets[(i, j)][2]).alias("hi")) for j in range(len(probs))
-               if (i, j) in brackets] for i in range(len(cols))]
-        lows_col = F.array(*[F.array(*[F.lit(v) for v in row]) for row in lows])
-        br_col = F.array(*[F.array(*row) if row else F.array().cast(
-            "array<struct<j:int,lo:double,hi:double>>") for row in br])
-        # k = number of bracket lows ≤ x (lows ascend in j), so x < lo_j ⇔ k ≤ j
-        below_hist = (long.select("i", F.size(F.filter(lows_col[F.col("i")],
-                                                       lambda lo: lo <= F.col("x"))).alias("k"))
-                      .groupBy("i", "k").count().collect())  # ≤ columns × (B+1) rows
-        hist = {}
-        for r in below_hist:
-            hist.setdefault(r["i"], {})[r["k"]] = r["count"]
-        need = {}
-        for (i, j), (rank, _, _) in brackets.items():
-            below = sum(c for k, c in hist.get(i, {}).items() if k <= j)
-            need[(i, j)] = rank - below
-        need_df = spark.createDataFrame([(i, j, int(v)) for (i, j), v in need.items()],
-                                        "i int, j int, need long")
-        w = Window.partitionBy("i", "j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        found = (
-            long.select("i", "x", F.explode(F.filter(br_col[F.col("i")],
-                                                     lambda b: (F.col("x") >= b["lo"]) & (F.col("x") <= b["hi"])))
-                        .alias("m"))
-            .groupBy("i", F.col("m.j").alias("j"), "x").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("cum", F.sum("cnt").over(w))
-            .join(F.broadcast(need_df), ["i", "j"])  # ≤ columns × buckets rows
-            .filter(F.col("cum") >= F.col("need"))
-            .groupBy("i", "j").agg(F.min("x").alias("x"))
-            .collect()  # ≤ columns × buckets rows
-        )
-        for r in found:
-            cuts[r["i"]][r["j"]] = r["x"]
-        missing = [k for k in brackets if cuts[k[0]][k[1]] is None]
-        if missing:
-            raise RuntimeError(f"quantile bracket missed for {missing}")
-    return {c: (_splits_from_cuts(cuts[i]) if ns[i] else [NEG_INF, POS_INF])
+        n, low, fin = (int(first[f"{k}{i}"]) for k in ("n", "lo", "f"))
+        for j, p in enumerate(probs) if n else ():
+            rank = math.ceil(p * n)
+            if rank <= low or rank > low + fin:
+                cuts[i][j] = NEG_INF if rank <= low else POS_INF
+            else:
+                open_.setdefault((i, first[f"a{i}"], first[f"b{i}"]), []).append((j, rank - low))
+    while open_:
+        found, wanted = _count_cells(xs, len(cols), list(open_)), {}
+        for key, targets in open_.items():
+            i, lo, hi = key
+            cells = found[key]
+            for j, rank in targets:
+                below = 0
+                for n, x, y in cells:
+                    if below + n >= rank:
+                        break
+                    below += n
+                if x == y:
+                    cuts[i][j] = x
+                else:
+                    wanted.setdefault((i, x, y), []).append((j, rank - below))
+        open_ = wanted
+    return {c: (_splits_from_cuts([cuts[i][j] for j in range(len(probs))]) if cuts[i] else [NEG_INF, POS_INF])
             for i, c in enumerate(cols)}
 
 
+def _count_cells(xs: DataFrame, n_cols: int, intervals: list) -> dict:
+    """{interval: [(count, least, largest value) of its cells, in order]}."""
+    kind = "array<struct<k:int,lo:double,hi:double>>"
+    of = [F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                    for k, (i, lo, hi) in enumerate(intervals) if i == c]).cast(kind) for c in range(n_cols)]
+    long = xs.select(F.posexplode(F.array(*[F.col(f"__x{c}") for c in range(n_cols)])).alias("c", "x")) \
+        .filter(F.col("x").isNotNull())
+    inside = F.filter(F.array(*of)[F.col("c")], lambda v: (F.col("x") >= v["lo"]) & (F.col("x") <= v["hi"]))
+    at = long.select("x", F.explode(inside).alias("v"))
+    # Halves, so that the difference of the ends cannot overflow.
+    share = (F.col("x") / 2 - F.col("v.lo") / 2) / (F.col("v.hi") / 2 - F.col("v.lo") / 2)
+    cell = F.when(F.col("v.hi") > F.col("v.lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    rows = at.select(F.col("v.k").alias("k"), cell.cast("int").alias("cell"), "x").groupBy("k", "cell") \
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    out: dict = {v: [] for v in intervals}
+    for r in sorted(rows, key=lambda r: (r["k"], r["cell"])):
+        out[intervals[r["k"]]].append((int(r["n"]), r["lo"], r["hi"]))
+    return out
+
+
 def bucket_expr(x, splits: list):
     """Bucketizer(handleInvalid='keep') as a column expression: [lo, hi)
     buckets, +∞ in the last one, NaN → extra bucket, NULL → NULL."""
     inner = F.array(*[F.lit(float(v)) for v in splits[1:-1]]) if len(splits) > 2 else F.array().cast("array<double>")
     nb = len(splits) - 1
-    xd = x.cast("double")
+    xd = x.try_cast("double")
     return (F.when(xd.isNull(), F.lit(None).cast("double"))
             .when(F.isnan(xd), F.lit(float(nb)))
             .otherwise(F.size(F.filter(inner, lambda s: s <= xd)).cast("double")))
@@ -175,14 +153,27 @@ def discretize_project(df: DataFrame, label: str, features: list, binned: list,
     return df.select(*[col(c) for c in keep])
 
 
+def save_splits(splits: dict, num_buckets: int, spark, path: str) -> None:
+    """Persist a fitted discretizer as a table (column, split_idx, value, num_buckets)."""
+    rows = [(c, i, float(v), num_buckets) for c, vs in splits.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "column string, split_idx int, value double, num_buckets int") \
+        .write.mode("overwrite").parquet(path)
+
+
+def load_splits(spark, path: str) -> dict:
+    return splits_from_table(spark.read.parquet(path))
+
+
 def splits_manifest(splits: dict, num_buckets: int, spark) -> DataFrame:
     """One row per binned column: (column, num_buckets, splits)."""
     rows = [(c, num_buckets, [float(v) for v in s]) for c, s in splits.items()]
     return spark.createDataFrame(rows, "column string, num_buckets int, splits array<double>")
 
 
-def manifest_json(splits: dict, columns: list, num_buckets: int) -> str:
-    import json
-    return json.dumps({"columns_binned": columns, "num_buckets": num_buckets,
-                       "splits": {c: list(map(float, splits[c])) for c in columns if c in splits}},
-                      indent=2)
+def write_manifest(splits: dict, num_buckets: int, spark, path: str) -> None:
+    """The cut-point manifest as one JSON object {columns_binned, num_buckets, splits}."""
+    table = splits_manifest(splits, num_buckets, spark)
+    entry = F.struct("column", "splits")
+    table.agg(F.array_sort(F.collect_list("column")).alias("columns_binned"), F.max("num_buckets").alias("num_buckets"),
+              F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("splits")) \
+        .coalesce(1).write.mode("overwrite").json(path)

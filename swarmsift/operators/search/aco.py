@@ -23,20 +23,22 @@ class ACOParams:
     seed: int = 13
     max_evals: int = 300
     patience: int = 6
-    tau0: float | None = None   # None: τ₀ giving inclusion p = k_max/n; 1.0 reproduces the reference
+    p0: float | None = None     # inclusion probability of the strongest feature; None: k_max/n
+    reference_start: bool = False  # the reference's rule: p0 = 1 and patience counted per ant
 
 
 def init_pheromone(features: DataFrame, tau0: float = 1.0, eta: float = 1.0) -> DataFrame:
     return features.select("feature_idx", F.lit(float(tau0)).alias("tau"), F.lit(float(eta)).alias("eta"))
 
 
-def probabilities(pher: DataFrame, alpha: float, beta: float) -> DataFrame:
-    """p = clip(τ^α·η^β, 1e-12) / max, clipped to [1e-6, 1 − 1e-6].
-    The max is one aggregate over the feature table."""
+def probabilities(pher: DataFrame, alpha: float, beta: float, p0: float = 1.0) -> DataFrame:
+    """p = p0 · clip(τ^α·η^β, 1e-12) / max, clipped to [1e-6, 1 − 1e-6].
+    The max is one aggregate over the feature table.  With p0 = 1 (the
+    reference's rule) equal pheromones make every ant take every feature."""
     score = F.greatest(F.pow("tau", F.lit(alpha)) * F.pow("eta", F.lit(beta)), F.lit(1e-12))
     s = pher.withColumn("score", score)
     mx = s.agg(F.max("score").alias("m")).first()["m"]
-    return s.select("feature_idx", F.least(F.greatest(F.col("score") / F.lit(mx), F.lit(1e-6)),
+    return s.select("feature_idx", F.least(F.greatest(F.lit(float(p0)) * (F.col("score") / F.lit(mx)), F.lit(1e-6)),
                                            F.lit(1 - 1e-6)).alias("p"))
 
 

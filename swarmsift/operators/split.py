@@ -71,8 +71,11 @@ def split_balance_join(train: DataFrame, test: DataFrame, label: str) -> DataFra
 
 
 def feature_table(df: DataFrame, exclude=("Label", "Target")) -> DataFrame:
-    """Ordered feature list from the schema: (feature_idx, name).  The
-    position is the feature's identity — masks index into it."""
+    """Ordered feature list (feature_idx, name, n_values): the position in the
+    schema is the feature's identity — masks index into it — and n_values its
+    number of non-NULL values, counted in one scan."""
     names = [c for c in df.columns if c not in set(exclude)]
-    spark = df.sparkSession
-    return spark.createDataFrame(list(enumerate(names)), "feature_idx int, name string")
+    counts = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("feature_idx"), F.lit(c).alias("name"), F.col(f"n{i}").alias("n_values"))
+        for i, c in enumerate(names)])))

@@ -52,6 +52,11 @@ class TreeData:
     labels: DataFrame      # (label string, label_idx double)
     ml_rows: DataFrame | None = None  # features vector, label double, is_train (MLlib evaluator)
 
+    @property
+    def n_classes(self) -> int:
+        """Indexed labels plus the extra index that NULL and unseen labels share."""
+        return self.n_labels + 1
+
 
 def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Column,
                       max_bins: int = 32, checkpoint: bool = True) -> TreeData:
@@ -166,7 +171,7 @@ def grow_trees(data: TreeData, cands: DataFrame, max_depth: int, n_cands: int |
     back to the driver, as MLlib's per-level split statistics do, and the
     next level's compact trees are broadcast.  Returns the node table
     (cand, node, depth, n, counts, f, b, gain, pred); f/b NULL on leaves."""
-    L = data.n_labels
+    L = data.n_classes
     spark = data.rows.sparkSession
     crow = [r for r in cands.select("cand", "feats").collect() if r["feats"]]  # population-sized
     if not crow:

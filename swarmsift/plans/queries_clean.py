@@ -56,11 +56,16 @@ def sql_clean(source, spec=None, present=None):
 _DL: dict = {}
 
 
+def session_key(spark):
+    """Identifies a session's application; object ids are reused, these are not."""
+    return spark.sparkContext.applicationId
+
+
 def dl(spark, sf):
     """The dirty string view stands in for a raw CSV scan: it is written
     once per session (parquet under the checkpoint folder, spread over the
     shuffle width) so the cleaning plans run over a plain scan."""
-    key = (id(spark), sf)
+    key = (session_key(spark), sf)
     if key not in _DL:
         _DL[key] = cut_lineage(X.dirty_lineitem(spark, sf).repartition(shuffle_partitions(spark)), "dl")
     return _DL[key]
@@ -174,7 +179,7 @@ def q_clean_audit(spark, sf):
 
 @register("label_distribution",
           DL_CTE + "SELECT \"Label\", count(*) AS count FROM " + sql_clean("dl")
-          + " GROUP BY 1 ORDER BY count DESC, 1 LIMIT 50")
+          + " GROUP BY 1")
 def q_label_distribution(spark, sf):
     return C.label_distribution(C.clean_pipeline(dl_clean_input(spark, sf)), "Label")
 
@@ -220,7 +225,29 @@ def q_bernoulli_sample(spark, sf):
 
 
 @register("feature_table",
-          "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(X.D_FEATURES))
-          + ") AS t(feature_idx, name)")
+          "WITH d AS (" + X.doc_features_sql() + ") "
+          + " UNION ALL ".join(f"SELECT {i} AS feature_idx, '{n}' AS name, count({n}) AS n_values FROM d"
+                               for i, n in enumerate(X.D_FEATURES)))
 def q_feature_table(spark, sf):
     return S.feature_table(X.doc_features(spark, sf), exclude=("Label", "Target", "doc_id"))
+
+
+@register("csv_folder_scan",
+          DL_CTE + "SELECT nullif(COLUMNS(*), '') FROM (SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
+          + ", ".join(_d(n) for n in X.DL_ONLY_B) + ") FROM dl WHERE __file = 'a' AND \"Label\" != 'Label') "
+          "UNION ALL BY NAME SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
+          + ", ".join(_d(n) for n in X.DL_ONLY_A) + ") FROM dl WHERE __file = 'b' AND \"Label\" != 'Label'))")
+def q_csv_folder_scan(spark, sf):
+    """The same two files, found by listing their folder."""
+    base = scratch_path(spark, "dl_folder")
+    csvio.write_two_flow_files(dl(spark, sf), base, X.DL_ONLY_A, X.DL_ONLY_B)
+    return csvio.read_flow_csvs(spark, csvio.list_csv_files(spark, base))
+
+
+@register("csv_sink_8_files", "SELECT * FROM customer")
+def q_csv_sink_8_files(spark, sf):
+    """The reference's eight-file form of the CSV sink, read back."""
+    df = X.read(spark, sf, "customer")
+    path = scratch_path(spark, "customer_csv8")
+    csvio.write_csv(df, path, num_files=8)
+    return csvio.read_csv_typed(spark, path, df.schema)

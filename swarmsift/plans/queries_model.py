@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discretize as Z
 from ..operators import split as S
+from ..session import scratch_path
 from ..sources import fixtures as X
 from ..sources import sqlgen as g
 from .registry import register
@@ -82,6 +83,70 @@ def q_splits_manifest(spark, sf):
     return Z.splits_manifest(l_splits(spark, sf), 10, spark)
 
 
+@register("splits_saved", "SELECT * FROM " + sql_cuts(L_TRAIN, L_DISC))
+def q_splits_saved(spark, sf):
+    """A fitted discretizer written as a table and read back."""
+    path = scratch_path(spark, "discretizer")
+    Z.save_splits(l_splits(spark, sf), 10, spark, path)
+    back = Z.load_splits(spark, path)
+    return spark.createDataFrame([(c, i, v) for c, vs in back.items() for i, v in enumerate(vs)],
+                                 "column string, split_idx int, value double")
+
+
+@register("manifest_json",
+          f"SELECT list(DISTINCT \"column\" ORDER BY \"column\") AS columns_binned, 10 AS num_buckets, count(*) AS n_splits, "
+          f"sum(value) FILTER (NOT isinf(value)) AS total FROM {sql_cuts(L_TRAIN, L_DISC)}")
+def q_manifest_json(spark, sf):
+    """The JSON manifest written and read back; ±∞ are JSON strings."""
+    path = scratch_path(spark, "manifest")
+    Z.write_manifest(l_splits(spark, sf), 10, spark, path)
+    back = spark.read.schema("columns_binned array<string>, num_buckets int, splits map<string,array<string>>").json(path)
+    one = back.select("columns_binned", "num_buckets", F.explode(F.flatten(F.map_values("splits"))).alias("v"))
+    x = F.col("v").cast("double")
+    return one.groupBy("columns_binned", "num_buckets").agg(
+        F.count("*").alias("n_splits"), F.sum(F.when(F.abs(x) < float("inf"), x)).alias("total"))
+
+
+# Columns of the dirty string table that the reference would discretize.
+DIRTY_DISC = ["Dst Port", "Flow Pkts/s", "Flow IAT Min", "Fwd IAT Min", "Idle Std"]
+
+
+def sql_plain_cast(name):
+    """Spark's try_cast of a string to double in DuckDB: white space trimmed, +inf accepted."""
+    c = f"trim({g.qi(name, 'duckdb')})"
+    return f"TRY_CAST(CASE WHEN starts_with({c}, '+') THEN substr({c}, 2) ELSE {c} END AS DOUBLE)"
+
+
+def _dirty(where="TRUE"):
+    cols = ", ".join(f"{sql_plain_cast(c)} AS {g.qi(c, 'duckdb')}" for c in DIRTY_DISC)
+    return f"(SELECT {cols}, CAST(NULL AS DOUBLE) AS nothing FROM dl WHERE {where})"
+
+
+def dirty_frame(spark, sf):
+    """All-string columns with NaN, ∞, blanks, words and NULLs, and a column of NULLs."""
+    return X.dirty_lineitem(spark, sf).select(*[F.col(f"`{c}`") for c in DIRTY_DISC],
+                                              F.lit(None).cast("string").alias("nothing"))
+
+
+DIRTY_ALL = [*DIRTY_DISC, "nothing"]
+DIRTY_CTE = "WITH dl AS (" + X.dirty_lineitem_sql() + ") "
+
+
+@register("quantile_cuts_dirty", DIRTY_CTE + "SELECT * FROM " + sql_cuts(_dirty(), DIRTY_ALL))
+def q_quantile_cuts_dirty(spark, sf):
+    return Z.quantile_cuts(dirty_frame(spark, sf), DIRTY_ALL, num_buckets=10)
+
+
+@register("bucketize_dirty",
+          DIRTY_CTE + f", src AS {_dirty()}, cuts AS {sql_cuts('src', DIRTY_ALL)}, binned AS (SELECT "
+          + ", ".join(f"{sql_bucket(c)} AS {g.qi(c + '__binned', 'duckdb')}" for c in DIRTY_ALL) + " FROM src) "
+          + "SELECT *, count(*) AS n FROM binned GROUP BY ALL")
+def q_bucketize_dirty(spark, sf):
+    df = dirty_frame(spark, sf)
+    binned = Z.bucketize(df, Z.fit_splits(df, DIRTY_ALL)).drop(*DIRTY_ALL)
+    return binned.groupBy(*[F.col(f"`{c}__binned`") for c in DIRTY_ALL]).agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------------ prepare / score / tree
 from ..functions.rng import uniform  # noqa: E402
 from ..operators import masks as M  # noqa: E402
@@ -129,7 +194,7 @@ _CACHE: dict = {}
 def d_tree(spark, sf, depth=1):
     """Prepared documents table + the depth-``depth`` trees of the hashed
     population (cached per session/sf so several keys share one fit)."""
-    key = (id(spark), sf, depth)
+    key = (spark.sparkContext.applicationId, sf, depth)
     if key not in _CACHE:
         from .runs import docs
         data = TR.prepare_tree_data(docs(spark, sf), X.D_FEATURES, "Target", d_is_train())
@@ -145,7 +210,7 @@ def q_tree_histogram(spark, sf):
     data, cands, _ = d_tree(spark, sf)
     train = data.rows.filter("is_train").select("label", "bins")
     c = cands.select("cand", "feats")
-    return TR.level_histogram(train, TR.empty_trees(c), c, 0, ST.POP, data.n_labels)
+    return TR.level_histogram(train, TR.empty_trees(c), c, 0, ST.POP, data.n_labels)  # no NULL label here
 
 
 @register("tree_fit_batched", ST.with_all() + """
@@ -164,6 +229,24 @@ def q_tree_predict(spark, sf):
     return TR.predict(data, nodes, 1, ST.POP)
 
 
+NULL_LABEL = f"({g.u('duckdb', 13, 'null_label', 'doc_id')}) < 0.15"
+
+
+@register("tree_null_labels",
+          "WITH " + ST.base_ctes().replace('SELECT doc_id, "Target",', f'SELECT doc_id, CASE WHEN {NULL_LABEL} THEN NULL ELSE "Target" END AS "Target",', 1)
+          + ", c AS (SELECT count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1, count(*) FILTER (label = 2) AS c2 "
+          "FROM rows WHERE is_train) SELECT 0 AS cand, 1 AS node, c0 + c1 + c2 AS n, [c0, c1, c2] AS counts, "
+          "CAST(CASE WHEN c2 > c0 AND c2 > c1 THEN 2 WHEN c1 > c0 THEN 1 ELSE 0 END AS INTEGER) AS pred FROM c")
+def q_tree_null_labels(spark, sf):
+    """NULL labels are a class of their own in the fit: the root counts every train row."""
+    from .runs import docs
+    hidden = uniform(13, "null_label", F.col("doc_id")) < F.lit(0.15)
+    df = docs(spark, sf).withColumn("Target", F.when(~hidden, F.col("Target")))
+    data = TR.prepare_tree_data(df, X.D_FEATURES, "Target", d_is_train())
+    cands = spark.createDataFrame([(0, list(range(len(X.D_FEATURES))))], "cand int, feats array<int>")
+    return TR.grow_trees(data, cands, 1).filter("node = 1").select("cand", "node", "n", "counts", "pred")
+
+
 @register("confusion_matrix", ST.with_all() + "SELECT cand, label, prediction, count FROM conf")
 def q_confusion_matrix(spark, sf):
     data, _, nodes = d_tree(spark, sf)

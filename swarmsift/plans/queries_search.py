@@ -30,12 +30,15 @@ def p_pop(spark, sf):
     return X.population(spark, sf).withColumn("k", M.mask_size(F.col("mask")))
 
 
-def e_features(spark):
-    return spark.createDataFrame(list(enumerate(X.E_FEATURES)), "feature_idx int, name string")
+def e_features(spark, sf):
+    """(feature_idx, name) of every dimension that occurs in the table."""
+    emb = X.read(spark, sf, "embeddings")
+    return emb.select(F.posexplode("embedding").alias("feature_idx", "v")).select("feature_idx").distinct() \
+        .select("feature_idx", F.format_string("f%02d", "feature_idx").alias("name"))
 
 
-def e_order(spark):
-    return R.order_list(R.priority_order(e_features(spark), R.priority_table(spark, E_PRIORITY)))
+def e_order(spark, sf):
+    return R.order_list(R.priority_order(e_features(spark, sf), R.priority_table(spark, E_PRIORITY)))
 
 
 def e_rank_order(spark, sf):
@@ -44,7 +47,7 @@ def e_rank_order(spark, sf):
     emb = X.read(spark, sf, "embeddings")
     imp = emb.select(F.posexplode("embedding").alias("feature_idx", "v")).groupBy("feature_idx") \
         .agg(F.avg(F.abs("v")).alias("importance"))
-    ranked = R.importance_rank(imp, e_features(spark))
+    ranked = R.importance_rank(imp, e_features(spark, sf))
     return ranked, [r["rank"] - 1 for r in ranked.orderBy("feature_idx").collect()]
 
 
@@ -56,7 +59,7 @@ def q_random_masks(spark, sf):
 
 @register("selected_features")
 def q_selected_features(spark, sf):
-    return M.selected_features(p_pop(spark, sf), e_features(spark))
+    return M.selected_features(p_pop(spark, sf), e_features(spark, sf))
 
 
 @register("penalised_objective")
@@ -73,18 +76,18 @@ def q_hardcap_objective(spark, sf):
 
 @register("priority_order")
 def q_priority_order(spark, sf):
-    return R.priority_order(e_features(spark), R.priority_table(spark, E_PRIORITY))
+    return R.priority_order(e_features(spark, sf), R.priority_table(spark, E_PRIORITY))
 
 
 @register("warm_mask")
 def q_warm_mask(spark, sf):
-    return R.warm_mask(e_features(spark), R.priority_table(spark, E_PRIORITY))
+    return R.warm_mask(e_features(spark, sf), R.priority_table(spark, E_PRIORITY))
 
 
 @register("repair_by_priority")
 def q_repair_by_priority(spark, sf):
     p = p_pop(spark, sf).select("member", "mask")
-    return R.repair_by_priority(p, e_order(spark), 5, 9)
+    return R.repair_by_priority(p, e_order(spark, sf), 5, 9)
 
 
 @register("repair_by_importance")
@@ -181,8 +184,9 @@ def q_aco_update(spark, sf):
 
 @register("aco_start")
 def q_aco_start(spark, sf):
-    start = ACO.start_mask(spark, N, 5, SEED).select(F.lit(0).alias("member"), "mask")
-    return R.repair_by_priority(start, e_order(spark), 5, 10)
+    n = e_features(spark, sf).count()
+    start = ACO.start_mask(spark, n, 5, SEED).select(F.lit(0).alias("member"), "mask")
+    return R.repair_by_priority(start, e_order(spark, sf), 5, 10)
 
 
 # ------------------------------------------------------------------ FPA
@@ -227,7 +231,7 @@ def q_fpa_elites(spark, sf):
 @register("fpa_start")
 def q_fpa_start(spark, sf):
     m = FPA.init_masks(spark, 0, N, 9, SEED, members=p_pop(spark, sf))
-    return R.repair_by_priority(m, e_order(spark), 5, 9)
+    return R.repair_by_priority(m, e_order(spark, sf), 5, 9)
 
 
 @register("fpa_generation")
@@ -236,7 +240,7 @@ def q_fpa_generation(spark, sf):
     n_pop = pop.count()
     prm = FPA.FPAParams(pop_size=n_pop, elitism=1)
     off = FPA.propose(pop, _gbest(spark, sf), prm, GEN, None)
-    off = off.withColumn("mask", R.repair_expr(F.col("mask"), e_order(spark), 5, 9))
+    off = off.withColumn("mask", R.repair_expr(F.col("mask"), e_order(spark, sf), 5, 9))
     sc = pseudo_scorer(SEED, "fpa.obj", GEN)(off.select(F.col("slot").alias("member"), "mask"))
     scored = off.join(sc.select(F.col("member").alias("slot"), "obj", "k"), "slot")
     return FPA.accept(FPA.elites(pop, 1), scored)
@@ -299,7 +303,7 @@ def q_selected_features_text(spark, sf):
     from ..session import scratch_path
     from ..sources import reports as RP
     best = R.best_member(p_pop(spark, sf).select("member", "mask", "obj", "k"))
-    names = M.selected_features(best, e_features(spark))
+    names = M.selected_features(best, e_features(spark, sf))
     path = scratch_path(spark, "selected_features")
     RP.write_selected_features(names, path)
     return spark.read.text(path).select(F.col("value").alias("name"))

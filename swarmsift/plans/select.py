@@ -1,7 +1,7 @@
 """End-to-end subset searches (ABC, ACO, FPA, PSO) and the final retrain.
 
-Each generation is: propose all candidates → score them together (one
-batched-tree fit over the population, memoised by mask) → accept →
+Each generation is: propose all candidates → score them together
+(memoised by mask) → accept →
 checkpoint the population (reliable checkpoint, so the loop survives
 executor loss and lineage stays one generation deep).  Only a 1-row state
 (best mask/objective, counters) and per-generation scalars come back to the
@@ -39,13 +39,12 @@ class Scorer:
 
     def __init__(self, data: TR.TreeData, max_depth: int, lam: float = 0.01,
                  objective: str = "penalised", k_cap: int = 9, big_penalty: float = 0.10,
-                 metric: str = "f1", evaluator: str = "auto", parallelism: int = 8):
+                 metric: str = "f1", evaluator: str = "mllib", parallelism: int = 8):
         self.data, self.depth, self.lam = data, max_depth, lam
-        # batched tree for shallow trees (one job per level for the whole
-        # population); concurrent MLlib fits for deep ones, where per-level
-        # job latency × generations dominates (survey §4.2 measurements)
-        if evaluator == "auto":
-            evaluator = "batched" if max_depth <= 2 or data.ml_rows is None else "mllib"
+        # One evaluator for every depth, so that scores of all searches compare;
+        # "batched" grows the whole population's trees together instead.
+        if evaluator not in ("mllib", "batched"):
+            raise ValueError(f"unknown evaluator {evaluator!r}")
         self.evaluator, self.parallelism = evaluator, parallelism
         self.objective, self.k_cap, self.big = objective, k_cap, big_penalty
         self.metric = metric
@@ -127,13 +126,16 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4) -> dic
 def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: float = 0.01,
                ordv: list | None = None, k_min: int = 5, k_max: int = 10,
                init_mask: list | None = None) -> dict:
+    if not data.features:
+        raise ValueError("ACO needs at least one feature")
     spark = data.rows.sparkSession
     n = len(data.features)
     ordv = ordv or list(range(n))
+    p0 = 1.0 if prm.reference_start else (min(1.0, k_max / n) if prm.p0 is None else prm.p0)
     score = Scorer(data, max_depth, lam)
     t0 = time.time()
     feats = spark.createDataFrame([(i,) for i in range(n)], "feature_idx int")
-    pher = ACO.init_pheromone(feats, 1.0 if prm.tau0 is None else prm.tau0)
+    pher = ACO.init_pheromone(feats)
     if init_mask is not None:
         start = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>")
     else:
@@ -142,18 +144,22 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
     best = _best(score(start))
     evals, no_improve, history = 1, 0, [best["obj"]]
     for it in range(prm.iters):
-        probs = ACO.probabilities(pher, prm.alpha, prm.beta)
+        probs = ACO.probabilities(pher, prm.alpha, prm.beta, p0)
         ants = ACO.ants(spark, probs, prm.num_ants, prm.seed, it)
         left = prm.max_evals - evals
         ants = ants.filter(F.col("member") < F.lit(max(1, left)))
         ants = R.repair_by_priority(ants, ordv, k_min, k_max)
         scored = cut_lineage(score(ants).select("member", "mask", "obj", "k"))
+        before = best["obj"]
         for r in scored.orderBy("member").select("member", "obj", "k", "mask").collect():  # ≤ num_ants rows
             evals += 1
             if r["obj"] > best["obj"]:
-                best, no_improve = {"mask": list(r["mask"]), "obj": float(r["obj"]), "k": int(r["k"])}, 0
-            else:
+                best = {"mask": list(r["mask"]), "obj": float(r["obj"]), "k": int(r["k"])}
+                no_improve = 0
+            elif prm.reference_start:
                 no_improve += 1
+        if not prm.reference_start:
+            no_improve = 0 if best["obj"] > before else no_improve + 1
         pher = cut_lineage(ACO.update(pher, scored, best["mask"], best["obj"], prm.rho, prm.q))
         history.append(best["obj"])
         if evals >= prm.max_evals or no_improve >= prm.patience:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources import fixtures as X
 from ..sources import sqlgen as g
+from .queries_search import E_PRIORITY
 from .registry import _SQL
 
 N = 64
@@ -29,8 +30,8 @@ def add(key, sql):
     _SQL[key] = sql
 
 
-E_PRIORITY = ["f07", "f21", "f03", "f42", "f15", "f58", "f33", "f11", "f49"]
-FE = ("fe AS (SELECT CAST(range AS INTEGER) AS feature_idx, printf('f%02d', range) AS name FROM range(64)), "
+FE = ("fe AS (SELECT DISTINCT CAST(i - 1 AS INTEGER) AS feature_idx, printf('f%02d', i - 1) AS name "
+      "FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), "
       "pr AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(E_PRIORITY))
       + ") AS t(name, prio))")
 
