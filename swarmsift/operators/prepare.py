@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, finite_or_zero
+from ..session import maybe_broadcast
 
 
 def impute_zero(df: DataFrame, cols: list) -> DataFrame:
@@ -41,10 +42,11 @@ def label_index(train: DataFrame, label: str) -> DataFrame:
 
 
 def apply_label_index(df: DataFrame, label: str, index: DataFrame, out: str = "label") -> DataFrame:
-    """Join the (tiny) index; unseen or NULL labels → extra index (keep)."""
-    n_labels = index.count()  # distinct labels: a handful of rows
-    joined = df.join(F.broadcast(index.withColumnRenamed("label", "__lab_key")),
-                     col(label) == F.col("__lab_key"), "left")
+    """Join the index, broadcast if it has few labels; unseen or NULL labels →
+    extra index (keep)."""
+    n_labels = index.count()
+    index = maybe_broadcast(index.withColumnRenamed("label", "__lab_key"), n_labels, limit=100_000)
+    joined = df.join(index, col(label) == F.col("__lab_key"), "left")
     return joined.withColumn(out, F.coalesce(F.col("label_idx"), F.lit(float(n_labels)))) \
         .drop("__lab_key", "label_idx")
 

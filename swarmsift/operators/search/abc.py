@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.rng import uniform
+from ...session import cut_lineage
 from ..masks import ensure_one_bit, greedy_accept, mask_size
-from .common import dense, neighbour, other_index
+from .common import dense, neighbour, other_index, running_sum
 
 
 @dataclass
@@ -32,7 +33,7 @@ def neighbours(pop: DataFrame, n: int, seed: int, gen: int) -> DataFrame:
     keys = (F.lit(gen), F.lit("emp"), F.col("idx"))
     me = d.withColumn("partner", other_index(F.col("idx"), p, seed, "abc.emp.k", *keys))
     partner = d.select(F.col("idx").alias("partner"), F.col("mask").alias("pmask"))
-    j = me.join(F.broadcast(partner), "partner")  # population-sized
+    j = me.join(partner, "partner")
     return j.select("member", "idx",
                     neighbour(F.col("mask"), F.col("pmask"), n, seed, "abc.nb", *keys).alias("cand"),
                     "mask", "obj", "k", "trials")
@@ -52,8 +53,8 @@ def employed_accept(scored: DataFrame) -> DataFrame:
 def roulette(pop: DataFrame, n_onlookers: int, seed: int, gen: int) -> DataFrame:
     """(onlooker, idx): fitness-proportional choice with probabilities
     (f − min + 1e-9)/Σ frozen at phase start; first cumulative ≥ r wins,
-    fallback 0.  A range join of onlookers against the cumulative
-    intervals (both population-sized)."""
+    fallback 0.  Intervals and draws meet by an equi-join on cells of the unit
+    interval, as many as there are bees, so each cell holds few intervals."""
     d = dense(pop) if "idx" not in pop.columns else pop
     stats = d.agg(F.min("obj").alias("mn"), F.count(F.lit(1)).alias("p"))
     s = stats.first()
@@ -61,13 +62,19 @@ def roulette(pop: DataFrame, n_onlookers: int, seed: int, gen: int) -> DataFrame
     total = d.agg(F.sum(shifted).alias("t")).first()["t"]
     prob = F.lit(1.0 / s["p"]) if total == 0 else shifted / F.lit(total)
     probs = d.select("idx", prob.alias("prob"))
-    wc = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    cum = probs.select("idx", "prob", F.sum("prob").over(wc).alias("hi"))
-    cum = cum.withColumn("lo", F.col("hi") - F.col("prob"))
+    cum = cut_lineage(running_sum(probs, "prob", "hi"), "roulette")
+    # An interval begins where the one before ends, so that no draw falls between two.
+    cum = cum.join(cum.select((F.col("idx") + 1).alias("idx"), F.col("hi").alias("lo")), "idx", "left") \
+        .withColumn("lo", F.coalesce("lo", F.lit(0.0)))
+    cells = int(s["p"])
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells))
+    cum = cum.select("idx", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
     spark = pop.sparkSession
     ons = spark.range(n_onlookers).select(F.col("id").cast("int").alias("onlooker"))
     ons = ons.withColumn("r", uniform(seed, "abc.onl.r", F.lit(gen), F.col("onlooker")))
-    hit = ons.join(F.broadcast(cum), (F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi")), "left") \
+    hit = ons.withColumn("cell", cell(F.col("r"))) \
+        .join(cum, "cell", "left") \
+        .withColumn("idx", F.when((F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi")), F.col("idx"))) \
         .groupBy("onlooker", "r").agg(F.min("idx").alias("idx"))
     return hit.select("onlooker", "r", F.coalesce("idx", F.lit(0)).alias("idx"))
 
@@ -76,10 +83,10 @@ def onlooker_candidates(pop: DataFrame, picks: DataFrame, n: int, seed: int, gen
     d = dense(pop) if "idx" not in pop.columns else pop
     p = d.count()
     keys = (F.lit(gen), F.lit("onl"), F.col("onlooker"))
-    j = picks.join(F.broadcast(d.select("idx", "member", "mask")), "idx")
+    j = picks.join(d.select("idx", "member", "mask"), "idx")
     j = j.withColumn("partner", other_index(F.col("idx"), p, seed, "abc.onl.k", *keys))
     partner = d.select(F.col("idx").alias("partner"), F.col("mask").alias("pmask"))
-    j = j.join(F.broadcast(partner), "partner")
+    j = j.join(partner, "partner")
     return j.select("onlooker", "idx", "member",
                     neighbour(F.col("mask"), F.col("pmask"), n, seed, "abc.nb", *keys).alias("cand"))
 

@@ -6,13 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.rng import uniform
+from ...session import cut_lineage
 from ..masks import ensure_one_bit, greedy_accept, mask_size  # noqa: F401
 
 
 def dense(pop: DataFrame, member: str = "member", out: str = "idx") -> DataFrame:
-    """0..P-1 ids in member order.  Populations are small (≤ thousands of
-    rows), so the global ordering touches a bounded table."""
-    return pop.withColumn(out, (F.row_number().over(Window.orderBy(member)) - 1).cast("int"))
+    """0..P-1 ids in member order without a one-task window: rows are range
+    partitioned and sorted, numbered within their partition, written, and
+    moved on by the number of rows in the partitions before (one row each)."""
+    at = "__at"
+    t = cut_lineage(pop.repartitionByRange(member).sortWithinPartitions(member)
+                    .withColumn(at, F.monotonically_increasing_id()), "dense")
+    part = F.shiftright(at, 33).cast("int")  # the id is partition << 33 | row
+    sizes = {r["p"]: r["n"] for r in t.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    offset = F.array(*[F.lit(b) for b in before or [0]])
+    return t.withColumn(out, (offset[part] + F.col(at).bitwiseAND((1 << 33) - 1)).cast("int")).drop(at)
+
+
+def running_sum(df: DataFrame, value: str, out: str, idx: str = "idx", block: int = 1024) -> DataFrame:
+    """Sum of ``value`` up to and with each row in ``idx`` order (0..P-1): within
+    blocks of ``block`` rows, plus the sums of the blocks before."""
+    b = df.withColumn("__b", F.floor(F.col(idx) / block))
+    sums = {r["__b"]: r["s"] for r in b.groupBy("__b").agg(F.sum(value).alias("s")).collect()}  # P / block rows
+    before, total = [], 0.0
+    for k in range(int(max(sums, default=-1)) + 1):
+        before.append((k, total))
+        total += sums.get(k, 0.0)
+    offsets = df.sparkSession.createDataFrame(before, "__b long, __before double")
+    w = Window.partitionBy("__b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    return b.withColumn(out, F.sum(value).over(w)).join(offsets, "__b") \
+        .withColumn(out, F.col("__before") + F.col(out)).drop("__b", "__before")
 
 
 def other_index(i: Column, p: int, seed: int, tag: str, *keys) -> Column:

@@ -89,7 +89,7 @@ def propose(pop: DataFrame, gbest: list, prm: FPAParams, gen: int, budget_left:
                   F.col("mask").alias("x"), F.col("obj").alias("parent_obj"), F.col("k").alias("parent_k"))
     am = d.select(F.col("idx").alias("a"), F.col("mask").alias("ma"))
     bm = d.select(F.col("idx").alias("b"), F.col("mask").alias("mb"))
-    j = slots.join(F.broadcast(pm), "parent").join(F.broadcast(am), "a").join(F.broadcast(bm), "b")
+    j = slots.join(pm, "parent").join(am, "a").join(bm, "b")
     g = F.array(*[F.lit(int(v)) for v in gbest])
     step = levy_step(prm.seed, prm.levy_beta, prm.step_scale, *keys)
     cand = F.when(F.col("glob"), global_pollination(F.col("x"), g, step, prm.seed, *keys)) \

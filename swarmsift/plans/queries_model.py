@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
 from ..operators import discretize as Z
 from ..operators import split as S
 from ..session import scratch_path
@@ -113,7 +114,7 @@ DIRTY_DISC = ["Dst Port", "Flow Pkts/s", "Flow IAT Min", "Fwd IAT Min", "Idle St
 
 def sql_plain_cast(name):
     """Spark's try_cast of a string to double in DuckDB: white space trimmed, +inf accepted."""
-    c = f"trim({g.qi(name, 'duckdb')})"
+    c = f"trim(CAST({g.qi(name, 'duckdb')} AS VARCHAR))"
     return f"TRY_CAST(CASE WHEN starts_with({c}, '+') THEN substr({c}, 2) ELSE {c} END AS DOUBLE)"
 
 
@@ -147,8 +148,36 @@ def q_bucketize_dirty(spark, sf):
     return binned.groupBy(*[F.col(f"`{c}__binned`") for c in DIRTY_ALL]).agg(F.count("*").alias("n"))
 
 
+CSD_KEYS = ["Dst Port", "Fwd IAT Min", "Idle Std"]  # still strings after cleaning
+CSD_U = g.u("duckdb", 13, "csd.split", *[g.qi(c, "duckdb") for c in CSD_KEYS])
+
+
+def _csd_sql():
+    from .queries_clean import sql_clean
+    cast = ", ".join(f"{sql_plain_cast(c)} AS {g.qi(c, 'duckdb')}" for c in DIRTY_DISC)
+    return (DIRTY_CTE + f", sp AS (SELECT *, {CSD_U} < 0.8 AS is_train FROM {sql_clean('dl')}), "
+            f"src AS (SELECT is_train, CASE WHEN \"Label\" = 'Benign' THEN 'Benign' ELSE 'Attack' END AS \"Target\", {cast} FROM sp), "
+            f"cuts AS {sql_cuts('(SELECT * FROM src WHERE is_train)', DIRTY_DISC)}, binned AS (SELECT is_train, \"Target\", "
+            + ", ".join(f"{sql_bucket(c)} AS {g.qi(c + '__binned', 'duckdb')}" for c in DIRTY_DISC)
+            + " FROM src) SELECT *, count(*) AS n FROM binned GROUP BY ALL")
+
+
+@register("clean_split_discretize", _csd_sql())
+def q_clean_split_discretize(spark, sf):
+    """The whole path on the dirty table: clean, binarize, split, fit cuts on the
+    train rows, bucketize both splits, project."""
+    from ..operators import clean as C
+    from ..session import cut_lineage
+    from .queries_clean import dl_clean_input
+    df = S.binarize_target(C.clean_pipeline(dl_clean_input(spark, sf)))
+    df = df.withColumn("is_train", uniform(13, "csd.split", *[F.col(f"`{c}`") for c in CSD_KEYS]) < F.lit(0.8))
+    df = cut_lineage(df.select("is_train", "Target", *[F.col(f"`{c}`") for c in DIRTY_DISC]), "clean_split")
+    out = Z.bucketize(df, Z.fit_splits(df.filter("is_train"), DIRTY_DISC))
+    names = [f"{c}__binned" for c in DIRTY_DISC]
+    return out.groupBy("is_train", "Target", *[F.col(f"`{c}`") for c in names]).agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------------ prepare / score / tree
-from ..functions.rng import uniform  # noqa: E402
 from ..operators import masks as M  # noqa: E402
 from ..operators import metrics as ME  # noqa: E402
 from ..operators import prepare as PR  # noqa: E402

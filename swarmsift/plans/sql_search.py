@@ -161,7 +161,7 @@ add("abc_roulette",
     "tot AS (SELECT sum(s) AS t, count(*) AS n FROM sh), "
     "pb AS (SELECT idx, CASE WHEN tot.t = 0 THEN 1.0 / tot.n ELSE s / tot.t END AS prob FROM sh, tot), "
     "cum AS (SELECT idx, prob, sum(prob) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi "
-    "FROM pb), cl AS (SELECT idx, hi - prob AS lo, hi FROM cum), "
+    "FROM pb), cl AS (SELECT idx, coalesce(lag(hi) OVER (ORDER BY idx), 0.0) AS lo, hi FROM cum), "
     f"ons AS (SELECT CAST(range AS INTEGER) AS onlooker, {U('abc.onl.r', G, 'range')} AS r FROM range((SELECT n FROM tot))) "
     "SELECT onlooker, coalesce(min(cl.idx), 0) AS idx FROM ons LEFT JOIN cl ON ons.r > cl.lo AND ons.r <= cl.hi "
     "GROUP BY onlooker")
