@@ -9,7 +9,8 @@ NaN are ignored when fitting.  The quantile at p is the value of rank
 
 1. one aggregation finds each column's count and finite range;
 2. each round cuts the interval that holds a wanted rank into ``CELLS`` cells and counts
-   values per (column, interval, cell), with each cell's smallest and largest value; the
+   values per (column, interval, cell), with each cell's smallest and largest value (cells are
+   equal in the logarithm where an interval spans magnitudes); the
    cell of the wanted rank is the next interval, and a cell with one distinct value ends
    the search.
 
@@ -103,17 +104,28 @@ def fit_splits(df: DataFrame, cols: list, num_buckets: int = 10,
             for i, c in enumerate(cols)}
 
 
+def _wide(lo: float, hi: float) -> bool:
+    """Whether an interval spans magnitudes, so that equal cells would be filled unequally."""
+    return lo < hi and (lo <= 0 <= hi or max(abs(lo), abs(hi)) / 16 > min(abs(lo), abs(hi)))
+
+
+def _magnitude(x):
+    """Ascends with x, by one for each doubling."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100))
+
+
 def _count_cells(xs: DataFrame, n_cols: int, intervals: list) -> dict:
     """{interval: [(count, least, largest value) of its cells, in order]}."""
-    kind = "array<struct<k:int,lo:double,hi:double>>"
-    of = [F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    kind = "array<struct<k:int,lo:double,hi:double,log:boolean>>"
+    of = [F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(_wide(lo, hi)).alias("log"))
                     for k, (i, lo, hi) in enumerate(intervals) if i == c]).cast(kind) for c in range(n_cols)]
     long = xs.select(F.posexplode(F.array(*[F.col(f"__x{c}") for c in range(n_cols)])).alias("c", "x")) \
         .filter(F.col("x").isNotNull())
     inside = F.filter(F.array(*of)[F.col("c")], lambda v: (F.col("x") >= v["lo"]) & (F.col("x") <= v["hi"]))
-    at = long.select("x", F.explode(inside).alias("v"))
-    # Halves, so that the difference of the ends cannot overflow.
-    share = (F.col("x") / 2 - F.col("v.lo") / 2) / (F.col("v.hi") / 2 - F.col("v.lo") / 2)
+    at = long.select("x", F.explode(inside).alias("v")) \
+        .select("x", "v", *[F.when(F.col("v.log"), _magnitude(c)).otherwise(c / 2).alias(n)  # halves cannot overflow
+                            for n, c in (("gx", F.col("x")), ("gl", F.col("v.lo")), ("gh", F.col("v.hi")))])
+    share = (F.col("gx") - F.col("gl")) / (F.col("gh") - F.col("gl"))
     cell = F.when(F.col("v.hi") > F.col("v.lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
     rows = at.select(F.col("v.k").alias("k"), cell.cast("int").alias("cell"), "x").groupBy("k", "cell") \
         .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
