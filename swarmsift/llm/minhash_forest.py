@@ -13,9 +13,10 @@
    it.  Compared are one-byte signature sketches; pairs passing ``PASS`` of the
    positions and the size bound are candidates, and a region hands on only a forest.
    Regions over ``BLOCK`` texts are compared block against block.
-4. Candidates are confirmed on full shingle sets.  Where a confirmed forest leaves a
-   region in several components, a second round compares every pair between those
-   components, and the candidates not yet confirmed or refused are confirmed.
+4. Candidates are confirmed on full shingle sets.  Where that leaves texts that candidates
+   had joined in several components, the largest of these is compared with the others, and
+   the others among themselves, block by block on full sets; each text is sent to that
+   comparison once per block it meets, and again only a forest of links comes out.
 5. Components come from alternating star contractions.
 
 Words are told apart by 64-bit hashes, shingles by a 64-bit mix of four of them.
@@ -135,38 +136,16 @@ def _find(root, i):
     return i
 
 
-def region_candidates(ids, sizes, sketch, side, comp, tree, every):
-    """Candidate pairs of one region or block pair.
-
-    ``side`` tells the two blocks apart (all 0 within one block).  Without
-    ``every`` a forest is returned; with it, each pair between different ``comp``.
-    """
+def region_candidates(ids, sizes, sketch, side, tree):
+    """A forest of candidate pairs of one region or block pair (``side`` tells two blocks apart)."""
     m = len(ids)
     order = np.lexsort([sketch[:, tree * DEPTH + d] for d in reversed(range(DEPTH))])
-    ids, sizes, sketch, side, comp = ids[order], sizes[order], sketch[order], side[order], comp[order]
+    ids, sizes, sketch, side = ids[order], sizes[order], sketch[order], side[order]
     two = side.min() != side.max()
-    near = np.ceil(PASS * SIGS)
     out = []
-
-    def passes(i, js):
-        same = (sketch[js] == sketch[i]).sum(axis=1) >= near
-        a, b = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
-        return js[same & (10 * a >= 8 * b)]
-
-    if every:
-        for i in range(m - 1):
-            js = np.arange(i + 1, m)
-            js = js[(comp[js] != comp[i]) & ((side[js] != side[i]) if two else True)]
-            out += [(ids[i], ids[j]) for j in passes(i, js)]
-        return out
     root = list(range(m))
-    first = {}
-    for i in range(m):  # what is confirmed already
-        first.setdefault(comp[i], i)
-        root[i] = first[comp[i]]
-    for i in range(m - 1):  # longest common prefixes first
-        if (not two or side[i] != side[i + 1]) and _find(root, i) != _find(root, i + 1) \
-                and len(passes(i, np.array([i + 1]))):
+    for i in np.flatnonzero(_near(sketch[:-1], sketch[1:], sizes[:-1], sizes[1:])):  # longest common prefixes first
+        if not two or side[i] != side[i + 1]:
             out.append((ids[i], ids[i + 1]))
             root[_find(root, i + 1)] = _find(root, i)
     roots = np.array([_find(root, i) for i in range(m)])
@@ -174,32 +153,61 @@ def region_candidates(ids, sizes, sketch, side, comp, tree, every):
         js = np.arange(i + 1, m)
         js = js[(roots[js] != roots[i]) & ((side[js] != side[i]) if two else True)]
         if len(js):
-            for j in passes(i, js):
+            for j in js[_near(sketch[js], sketch[i], sizes[js], sizes[i])]:
                 if roots[j] != roots[i]:
                     out.append((ids[i], ids[j]))
                     roots[roots == roots[j]] = roots[i]
     return out
 
 
-def _candidates(members: DataFrame, every: bool) -> DataFrame:
-    """``members``: region, tree, n (its texts), doc_id, n_shingles, sketch, comp."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _near(a, b, na, nb):
+    return ((a == b).sum(axis=1) >= np.ceil(PASS * SIGS)) & (10 * np.minimum(na, nb) >= 8 * np.maximum(na, nb))
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """``members``: region, tree, n (its texts), doc_id, n_shingles, sketch.  Regions are
+    read one after another from sorted partitions; most hold two or three texts."""
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own) \
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+        .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")) \
+        .select("region", "lo", "hi", "tree", "own", "doc_id", "n_shingles", "sketch") \
+        .repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "doc_id")
 
-    def run(key, pdf):
-        if len(pdf) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        pdf = pdf.sort_values("doc_id")
+    def pairs(pdf, edge):
+        ids, sizes = pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy()
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SIGS)
-        side = pdf["own"].to_numpy() - key[1]
-        pairs = region_candidates(pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy(), sketch, side,
-                                  pdf["comp"].to_numpy(), int(pdf["tree"].iloc[0]), every)
-        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype="int64")
+        side, tree = pdf["own"].to_numpy(), pdf["tree"].to_numpy()
+        whole = pdf["lo"].to_numpy() == pdf["hi"].to_numpy()
+        size = np.diff(edge)
+        two = edge[:-1][(size == 2) & whole[edge[:-1]]]
+        ok = two[_near(sketch[two], sketch[two + 1], sizes[two], sizes[two + 1])]
+        out = [(ids[ok], ids[ok + 1])]
+        for lo, n in zip(edge[:-1], size, strict=True):
+            if n > 2 or n == 2 and not whole[lo]:
+                at = slice(lo, lo + n)
+                one = np.zeros(n, int) if whole[lo] else side[at]
+                found = region_candidates(ids[at], sizes[at], sketch[at], one, int(tree[lo]))
+                if found:
+                    out.append(tuple(np.array(found).T))
+        a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(it):
+        rest = None
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            key = pdf[["region", "lo", "hi"]].to_numpy()
+            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            rest = pdf.iloc[edge[-1]:]  # may go on in the next batch
+            if len(edge) > 1:
+                yield pairs(pdf.iloc[:edge[-1]], edge)
+        if rest is not None and len(rest):
+            yield pairs(rest, np.array([0, len(rest)]))
 
-    return dealt.groupBy("region", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def _low_bytes(reps: DataFrame) -> DataFrame:
@@ -217,8 +225,8 @@ def _low_bytes(reps: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Each pair with ``linked``: 100 * intersection >= percent * union on full sets."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a") \
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a") \
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
     def run(it):
         for pdf in it:
@@ -238,6 +246,49 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, linked boolean")
 
 
+def _between(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that candidates had joined.
+
+    ``parts``: doc_id, cc (of candidates), comp (confirmed); every cc holds several comps."""
+    sizes = parts.groupBy("cc", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cc").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("m"), F.sum("n").alias("n")) \
+        .select("cc", "m.main", F.ceil(F.col("m.n") / BLOCK).cast("int").alias("nm"),
+                F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("nr"))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.when(F.col("is_main"), F.col("nm")).otherwise(F.col("nr"))).cast("int")
+    at = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    me = F.col("own")
+    rest = F.concat(F.transform(count("nm"), lambda y: at(0, me, y)),
+                    F.transform(count("nr"), lambda y: at(1, F.least(me, y), F.greatest(me, y))))
+    dealt = parts.join(main, "cc").withColumn("is_main", F.col("comp") == F.col("main")).withColumn("own", own) \
+        .withColumn("at", F.explode(F.when(F.col("is_main"), F.transform(count("nr"), lambda x: at(0, x, me))).otherwise(rest))) \
+        .select("cc", "at", "doc_id", "comp").join(texts.hint("merge"), "doc_id")
+
+    def run(pdf):
+        ids, comp = pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy()
+        sets = shingle_sets(pdf["text"].tolist(), width)
+        n = np.array([len(s) for s in sets])
+        names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(n) - n
+        have = np.zeros(len(names), bool)
+        _, roots = np.unique(comp, return_inverse=True)
+        out = []
+        for i in np.argsort(n, kind="stable"):
+            if (roots == roots[i]).all():
+                continue
+            mine = codes[first[i]:first[i] + n[i]]
+            have[mine] = True
+            common = np.add.reduceat(have[codes], first).astype(np.int64)
+            have[mine] = False
+            for j in np.flatnonzero((roots != roots[i]) & (100 * common >= percent * (n + n[i] - common))):
+                if roots[j] != roots[i]:
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    roots[roots == roots[j]] = roots[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("cc", "at").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
@@ -251,29 +302,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     reps = cut_lineage(reps, "class_reps")
     spots = cut_lineage(_regions(reps), "regions")
     shared = spots.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
-    members = spots.join(shared, "region").join(_low_bytes(reps), "doc_id")
-    members = cut_lineage(members, "region_members")
+    members = cut_lineage(spots.join(shared, "region").join(_low_bytes(reps), "doc_id"), "region_members")
 
-    first = cut_lineage(_candidates(members.withColumn("comp", F.col("doc_id")), False), "candidates")
-    # Texts that occur in a region; each is shuffled once, the others not again.
-    named = members.select("doc_id").distinct()
+    first = cut_lineage(_candidates(members), "candidates")
+    # The texts of candidates.  Their ids are not bounded, so they are never broadcast.
+    named = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    firsts = first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct()
-    texts = cut_lineage(texts.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate_texts")
+    texts = cut_lineage(texts.join(named.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate_texts")
     tested = cut_lineage(_confirm(first, texts, width, percent), "confirmed")
     links = tested.filter("linked").select("a", "b")
-
-    # Regions that the confirmed forest leaves in several parts, if a candidate was refused there.
     comp = cut_lineage(components(links).withColumnRenamed("id", "doc_id"), "components")
-    labelled = members.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    refused = tested.filter("not linked").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    again = labelled.join(refused, "doc_id", "left_semi").select("region").distinct()
-    split = labelled.join(again, "region", "left_semi")
-    more = _candidates(split, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(more, "more_candidates")
-    if not more.isEmpty():
-        links = links.unionByName(_confirm(more, texts, width, percent).filter("linked").select("a", "b"))
-        comp = cut_lineage(components(links).withColumnRenamed("id", "doc_id"), "components")
+
+    if not tested.filter("not linked").isEmpty():
+        # Components that candidates joined, though none confirmed that they are linked.
+        parts = components(first).withColumnsRenamed({"id": "doc_id", "component_id": "cc"}) \
+            .join(comp.withColumnRenamed("component_id", "comp"), "doc_id", "left") \
+            .withColumn("comp", F.coalesce("comp", "doc_id"))
+        parts = cut_lineage(parts, "candidate_parts")
+        open_ = parts.groupBy("cc").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("cc")
+        more = cut_lineage(_between(parts.join(open_, "cc", "left_semi"), texts, width, percent), "more_links")
+        if not more.isEmpty():
+            comp = cut_lineage(components(links.unionByName(more)).withColumnRenamed("id", "doc_id"), "components")
 
     # From representatives to every member of their class.
     by_class = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left") \
