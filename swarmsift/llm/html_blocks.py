@@ -355,7 +355,11 @@ def labelled(page: str):
 
 def fit(pages: DataFrame, text: str = "html", sample_pages: int = 300, made: int = 900, seed: int = 3):
     """Train on a bounded sample; None if there is nothing to learn from."""
-    rows = pages.filter(F.length(text) < 200_000).orderBy(F.xxhash64(text), text).limit(sample_pages).select(text).collect()
+    # Hashes are sampled first, so that only the chosen pages travel, and each of many copies once.
+    able = pages.filter(F.length(text) < 200_000).select(F.xxhash64(text).alias("__h"), F.col(text).alias("__t"))
+    low = [r[0] for r in able.select("__h").distinct().orderBy("__h").limit(sample_pages).collect()]
+    rows = able.filter(F.col("__h").isin(low)).groupBy("__h").agg(F.min("__t").alias("__t")) \
+        .orderBy("__h").select("__t").collect() if low else []
     rng = np.random.default_rng(seed)
     real = []
     for r in rows:
