@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, groups_for, mix64, scratch_path
 
 SPAN, GRAM = 50, 20
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 PART_BYTES = 12_000_000       # text per part of the key space
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -118,7 +118,8 @@ class Batch:
         gap = np.concatenate([[0], np.cumsum(~inside)])
         size = stop - start - (gap[stop] - gap[start])  # strings of the run; gaps only follow a run
         context = mix64((total[start + size + SPAN - 1] - total[start]) * inverse[start] + size.astype(np.uint64))
-        return start + lo, size, bucket[at[start]], context
+        # Chosen as the smallest, these are small numbers: mixed again, they spread over all parts.
+        return start + lo, size, mix64(bucket[at[start]] ^ np.uint64(_BASE)), context
 
     def strings(self, chosen: np.ndarray):
         """Start, refined bucket and second hash of every string of the chosen anchors."""
