@@ -39,7 +39,7 @@ PERCENT = 80          # least similarity, 1 - distance / words of the item
 SAMPLES, RECALL, TRIALS = 4, 0.99, 400
 BLOCK_WORDS = 1_000_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-BITMAP = 22
+GRAM = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.uint64(0)
 
 
@@ -59,9 +59,9 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(words: np.ndarray, q: int) -> np.ndarray:
-    h = np.full(max(0, len(words) - q + 1), np.uint64(q))
+    h = np.ones(max(0, len(words) - q + 1), np.uint64)
     for i in range(q):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i:len(words) - q + 1 + i])
+        h = mix64(h * GRAM + words[i:len(words) - q + 1 + i])
     return h
 
 
@@ -76,11 +76,10 @@ def walk(words: np.ndarray, start: np.ndarray, factors: np.ndarray) -> np.ndarra
     return out
 
 
-def sample_keys(words, start, offs, steps, n) -> np.ndarray:
-    """Hash of what the walk wrote at the sampled steps, for windows of n words."""
+def sample_keys(words, start, offs, n) -> np.ndarray:
+    """Hash of what the walk wrote at the sampled steps (pointer offsets ``offs``), for windows of n words."""
     h = np.full(len(start), np.uint64(n))
-    for s in steps:
-        o = offs[s]
+    for o in offs:
         w = words[np.minimum(start + o, len(words) - 1)]
         h = mix64(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(o < n, w, PAD))
     return h
@@ -125,7 +124,7 @@ class Index:
         for n, (_, w) in self.items.items():
             flat, start = np.append(w.ravel(), PAD), np.arange(len(w)) * n
             for r in range(self.repeats):
-                keys = sample_keys(flat, start, walk(flat, start, self.factors[r][:3 * n]), self.steps[n][r], n)
+                keys = sample_keys(flat, start, walk(flat, start, self.factors[r][:3 * n])[self.steps[n][r]], n)
                 order = np.argsort(keys, kind="stable")
                 self.keys[n, r] = keys[order], order
         self.filters = {}
@@ -134,9 +133,11 @@ class Index:
                 self.filters.setdefault(q, []).extend(grams(x, q) for x in w)
         for q, parts in self.filters.items():
             g = np.unique(np.concatenate(parts))
-            bits = np.zeros(1 << BITMAP, bool)
-            bits[(g >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
-            self.filters[q] = g, bits
+            size = max(12, int(np.ceil(np.log2(64 * len(g)))))  # one in 64 is set, however many there are
+            shift = np.uint64(64 - size)
+            bits = np.zeros(1 << size, bool)
+            bits[(g >> shift).view(np.int64)] = True
+            self.filters[q] = g, bits, shift
 
     def _shared(self, n: int) -> list[tuple[int, int]]:
         """(q, how many q-grams an allowed window shares at least with an item of n words)."""
@@ -168,19 +169,32 @@ class Index:
             f, steps, key = self._factors(rng, 1)[0][:3 * n], rng.integers(0, 3 * n, SAMPLES), []
             for x in (w, np.array(e, np.uint64)):
                 x, at = np.concatenate([x, np.zeros(3 * n, np.uint64)]), np.zeros(1, np.int64)
-                key.append(sample_keys(x, at, walk(x, at, f), steps, n)[0])
+                key.append(sample_keys(x, at, walk(x, at, f)[steps], n)[0])
             hit += key[0] == key[1]
         return max(hit, 1) / TRIALS
 
-    def hits(self, words: np.ndarray, q: int) -> np.ndarray:
-        """Running count of positions whose q-gram occurs in an item."""
-        g, bits = self.filters[q]
-        h = grams(words, q)
-        maybe = np.flatnonzero(bits[(h >> np.uint64(64 - BITMAP)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(g, h[maybe]), len(g) - 1)
-        out = np.zeros(len(words) + 1, np.int32)
-        out[1 + maybe[g[at] == h[maybe]]] = 1
-        return np.cumsum(out)
+    def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """Per q, the running count of positions whose q-gram occurs in an item."""
+        out, three = {}, None
+        for q in sorted(self.filters):
+            g, bits, shift = self.filters[q]
+            if q == 4 and three is not None:
+                # A known four-gram begins with two known three-grams; its hash goes on from the first.
+                at, h3 = three
+                at = at[:-1][at[1:] == at[:-1] + 1]
+                h = mix64(h3[at] * GRAM + words[at + 3])
+            else:
+                every = grams(words, q)
+                at = np.flatnonzero(bits[(every >> shift).view(np.int64)])
+                h = every[at]
+            known = g[np.minimum(np.searchsorted(g, h), len(g) - 1)] == h
+            at = at[known]
+            if q == 3:
+                three = at, every
+            seen = np.zeros(len(words) + 1, np.int8)
+            seen[1 + at] = 1
+            out[q] = np.cumsum(seen, dtype=np.int32)
+        return out
 
     def _loosest(self, words, running) -> np.ndarray:
         """Positions that pass the filter of some length, judged by the widest window and least count."""
@@ -207,7 +221,7 @@ class Index:
         words = np.zeros(int((counts + gap).sum()), np.uint64)
         words[gather_ranges(first, counts)] = flat
         found = []
-        running = {q: self.hits(words, q) for q in self.filters}
+        running = self.hits(words)
         starts = {}
         near = self._loosest(words, running)
         for n in self.items:
@@ -228,7 +242,7 @@ class Index:
                 offs = walk(words, part, self.factors[r])
                 for n, mine in own.items():
                     keys, order = self.keys[n, r]
-                    mykeys = sample_keys(words, part[mine], offs[:, mine], self.steps[n][r], n)
+                    mykeys = sample_keys(words, part[mine], [offs[s][mine] for s in self.steps[n][r]], n)
                     a, b = np.searchsorted(keys, mykeys, "left"), np.searchsorted(keys, mykeys, "right")
                     hit = b > a
                     if hit.any():
