@@ -9,8 +9,9 @@ moves on if bit j of that word's hash says so.  Two windows a few edits apart fa
 step again by chance, so edit distance becomes Hamming distance of what was written.
 Each repetition has its own walk and samples ``SAMPLES`` steps; windows of an item's size
 whose samples equal the item's are candidates and are verified by the exact edit
-distance.  The number of repetitions is set by trial: random edits up to the allowed
-distance on the items themselves must be caught with ``RECALL``.
+distance.  The number of repetitions is set by trial for each class of item lengths: of
+copies of the class's own items, each edited as far as its length allows, so many must be
+caught by these very walks that ``RECALL`` holds beyond the trial's own error.
 
 Windows start at every word; those that cannot match are passed over before the walk by
 the q-gram lemma: a run of words within k edits of an n-word item keeps n-2-3k of its
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import batches, gather_ranges, mix64
 
 PERCENT = 80          # least similarity, 1 - distance / words of the item
-SAMPLES, RECALL, TRIALS = 4, 0.99, 400
+SAMPLES, RECALL, TRIALS = 4, 0.99, 1000
 BLOCK_WORDS = 1_000_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 GRAM = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +69,7 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
 def walk(words: np.ndarray, start: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Pointer offset before each step (step x window)."""
     at = np.zeros(len(start), np.int32)
-    out = np.empty((len(factors), len(start)), np.int16)
+    out = np.empty((len(factors), len(start)), np.int16 if len(factors) < 1 << 15 else np.int32)
     last = len(words) - 1
     for j, f in enumerate(factors):
         out[j] = at
@@ -77,8 +78,8 @@ def walk(words: np.ndarray, start: np.ndarray, factors: np.ndarray) -> np.ndarra
 
 
 def sample_keys(words, start, offs, n) -> np.ndarray:
-    """Hash of what the walk wrote at the sampled steps (pointer offsets ``offs``), for windows of n words."""
-    h = np.full(len(start), np.uint64(n))
+    """Hash of what the walk wrote at the sampled steps (pointer offsets ``offs``), for windows of n words (each)."""
+    h = np.full(len(start), n, np.uint64)
     for o in offs:
         w = words[np.minimum(start + o, len(words) - 1)]
         h = mix64(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(o < n, w, PAD))
@@ -116,15 +117,16 @@ class Index:
             self.items[n] = ([items[i][0] for i in at], np.stack([flat[first[i]:first[i] + n] for i in at]))
         self.longest = max(self.items, default=0)
         rng = np.random.default_rng(seed)
-        p = self._trial(rng)
-        self.repeats = max(4, int(np.ceil(np.log(1 - RECALL) / np.log(1 - p)))) if p < 1 else 4
-        self.factors = self._factors(rng, self.repeats)
-        self.steps = {n: rng.integers(0, 3 * n, (self.repeats, SAMPLES)) for n in self.items}
+        self.factors: list[np.ndarray] = []  # per repetition: the walk, and where it is sampled
+        self.places: list[np.ndarray] = []
+        self.repeats: dict[int, int] = {}
+        for lengths in self._classes():
+            self.repeats |= dict.fromkeys(lengths, self._trial(rng, lengths))
         self.keys = {}
         for n, (_, w) in self.items.items():
             flat, start = np.append(w.ravel(), PAD), np.arange(len(w)) * n
-            for r in range(self.repeats):
-                keys = sample_keys(flat, start, walk(flat, start, self.factors[r][:3 * n])[self.steps[n][r]], n)
+            for r in range(self.repeats[n]):
+                keys = sample_keys(flat, start, walk(flat, start, self.factors[r][:3 * n])[self._steps(r, n)], n)
                 order = np.argsort(keys, kind="stable")
                 self.keys[n, r] = keys[order], order
         self.filters = {}
@@ -144,34 +146,56 @@ class Index:
         k = allowed(n, self.percent)
         return [(q, n - q + 1 - q * k) for q in ((3, 4) if n > 3 else (n,)) if n - q + 1 - q * k > 0] or [(1, n - k)]
 
-    def _factors(self, rng, n):
-        return rng.integers(0, 1 << 63, (n, 3 * max(1, self.longest)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def _trial(self, rng) -> float:
-        """Share of single repetitions that catch an item edited as far as is allowed."""
-        hit = 0
-        lengths = list(self.items)
-        if not lengths:
-            return 1.0
-        for _ in range(TRIALS):
-            n = lengths[rng.integers(len(lengths))]
+    def _steps(self, r: int, n: int) -> np.ndarray:
+        """The sampled steps of repetition r for windows of n words."""
+        return (self.places[r] * (3 * n)).astype(np.int64)
+
+    def _classes(self) -> list[list[int]]:
+        """Lengths by the edits they allow: one class each up to eight edits, then six classes per doubling."""
+        out: dict[int, list[int]] = {}
+        for n in self.items:
+            k = allowed(n, self.percent)
+            out.setdefault(k if k <= 8 else int(6 * np.log2(k / 8)) + 9, []).append(n)
+        return list(out.values())
+
+    def _trial(self, rng, lengths: list[int]) -> int:
+        """Repetitions after which enough copies of items of these lengths, edited as far as is allowed, are caught."""
+        own, copies, sizes = [], [], []
+        for i in range(max(TRIALS, len(lengths))):
+            n = lengths[i % len(lengths)]
             w = self.items[n][1][rng.integers(len(self.items[n][1]))]
             e = w.tolist()
             for _ in range(allowed(n, self.percent)):
-                i, kind = int(rng.integers(0, len(e))), rng.integers(0, 3)
+                at, kind = int(rng.integers(0, len(e))), rng.integers(0, 3)
                 new = int(rng.integers(1, 1 << 62))
                 if kind == 0:
-                    e[i] = new
+                    e[at] = new
                 elif kind == 1:
-                    e.insert(i, new)
+                    e.insert(at, new)
                 elif len(e) > 1:
-                    del e[i]
-            f, steps, key = self._factors(rng, 1)[0][:3 * n], rng.integers(0, 3 * n, SAMPLES), []
-            for x in (w, np.array(e, np.uint64)):
-                x, at = np.concatenate([x, np.zeros(3 * n, np.uint64)]), np.zeros(1, np.int64)
-                key.append(sample_keys(x, at, walk(x, at, f)[steps], n)[0])
-            hit += key[0] == key[1]
-        return max(hit, 1) / TRIALS
+                    del e[at]
+            e += rng.integers(1, 1 << 62, max(0, n - len(e))).tolist()  # a document goes on after the copy
+            own.append(w)
+            copies.append(np.array(e[:n], np.uint64))
+            sizes.append(n)
+        n = np.array(sizes)
+        first = np.cumsum(n) - n
+        flat = [np.concatenate(own), np.concatenate(copies)]
+        # Two standard errors better than RECALL, so that the class itself, not only its trial, reaches it.
+        enough = RECALL + 2 * np.sqrt(RECALL * (1 - RECALL) / len(n))
+        open_, r = np.arange(len(n)), 0
+        while r < 4 or len(open_) > (1 - enough) * len(n):
+            if r == len(self.factors):
+                self.factors.append(rng.integers(0, 1 << 63, 3 * self.longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+                self.places.append(rng.random(SAMPLES))
+            steps, at = (self.places[r][:, None] * (3 * n[open_])).astype(np.int64), first[open_]
+            keys = []
+            for words in flat:
+                offs = walk(words, at, self.factors[r][:int(steps.max(initial=0)) + 1])
+                keys.append(sample_keys(words, at, offs[steps, np.arange(len(at))], n[open_]))
+            open_ = open_[keys[0] != keys[1]]
+            r += 1
+        return r
 
     def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """Per q, the running count of positions whose q-gram occurs in an item."""
@@ -233,16 +257,24 @@ class Index:
             starts[n] = ok
         every = np.unique(np.concatenate([*starts.values(), np.empty(0, np.int64)])).astype(np.int64)
         pairs: dict[int, list] = {n: [] for n in self.items}
-        for lo in range(0, len(every), 20_000):
-            part = every[lo:lo + 20_000]
+        size = max(1, 3_600_000 // max(1, 3 * self.longest))
+        for lo in range(0, len(every), size):
+            part = every[lo:lo + size]
             own = {n: np.searchsorted(part, s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")])
                    for n, s in starts.items()}
             own = {n: mine for n, mine in own.items() if len(mine)}
-            for r in range(self.repeats):
-                offs = walk(words, part, self.factors[r])
-                for n, mine in own.items():
+            now: list[int] = []
+            for r in range(max(self.repeats[n] for n in own)):
+                still = [n for n in own if r < self.repeats[n]]
+                if still != now:  # lengths that have had their repetitions drop out
+                    now = still
+                    rows = np.unique(np.concatenate([own[n] for n in now]))
+                    at = {n: np.searchsorted(rows, own[n]) for n in now}
+                offs = walk(words, part[rows], self.factors[r][:3 * max(now)])
+                for n in now:
+                    mine = own[n]
                     keys, order = self.keys[n, r]
-                    mykeys = sample_keys(words, part[mine], [offs[s][mine] for s in self.steps[n][r]], n)
+                    mykeys = sample_keys(words, part[mine], [offs[s][at[n]] for s in self._steps(r, n)], n)
                     a, b = np.searchsorted(keys, mykeys, "left"), np.searchsorted(keys, mykeys, "right")
                     hit = b > a
                     if hit.any():

@@ -77,6 +77,21 @@ def test_recall_with_edits():
     assert np.mean([got[k] == want[k] for k in got]) > 0.95
 
 
+def test_recall_of_every_length():
+    """Copies edited as far as allowed: long items among short ones reach RECALL too."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    sizes = [10, 200]
+    items = [list(rng.choice(vocabulary, n)) for n in sizes for _ in range(10)]
+    index = D.Index([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    for at, n in enumerate(sizes):
+        docs = [" ".join([*rng.choice(vocabulary, 9), *edited(rng, items[10 * at + c % 10], n // 5, vocabulary), *rng.choice(vocabulary, 9)])
+                for c in range(100)]
+        f = index.find([t.encode() for t in docs])
+        found = set(zip(f.text, f.item, strict=True))
+        assert sum((c, 10 * at + c % 10) in found for c in range(100)) >= 100 * D.RECALL, n
+
+
 def test_distances_are_exact_within_the_bound():
     rng = np.random.default_rng(0)
     for _ in range(300):
