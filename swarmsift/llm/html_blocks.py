@@ -16,7 +16,8 @@ Kept blocks have character references decoded and white space runs turned into o
 space, and are joined by two newlines; nothing else is changed, dropped or cut.
 
 Defined results: null or empty html: empty text; a page without tags is one block; tags
-left open or cut off end with the page; null url stays null; repeated rows each get a
+left open or cut off end with the page, but a head or title left open ends with the first
+tag (a head also with the first text) that cannot stand in it; null url stays null; repeated rows each get a
 row; no page to train on: the markup's own names decide; an empty table gives an empty result.
 """
 
@@ -41,6 +42,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template iframe svg math object".split())
 HIDDEN_TAGS = frozenset("head title".split())
+HEAD_TAGS = frozenset("head title base basefont bgsound link meta script style noscript template".split())  # may stand in a head
 # Names that pages give to clutter and to the article.
 CLUTTER = frozenset(
     "nav menu footer aside sidebar ad ads adv advert advertisement banner sponsor sponsored promo cookie cookies "
@@ -53,6 +55,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
                    r"|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)  # the last one: a quote left open
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+TITLE = re.compile(r"(?:(?!<body|</head|<svg).)*?</title\s*>", re.I | re.S)  # tags in a title are text
 SPLIT = re.compile(r"[\s_]+")
 SPACE = re.compile(r"\s+")
 PATH_BITS, WORD_BITS, DIM, HIDDEN, NUMS = 11, 12, 10, 12, 6
@@ -86,6 +89,8 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         m = TOKEN.search(page, pos)
         chunk = page[pos:m.start()] if m else page[pos:]
         if chunk:
+            if stack and stack[-1][0] == "head" and chunk.strip():  # text cannot stand in a head
+                close(len(stack) - 1)
             text.append(chunk)
             linked += len(chunk) if in_link else 0
         if not m:
@@ -107,6 +112,14 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         block = tag in BLOCK_TAGS
         if block:
             flush()
+        if tag == "title" and not closing and (whole := TITLE.match(page, pos)):
+            pos = whole.end()
+            continue
+        if tag not in HEAD_TAGS and (not closing or tag in ("body", "html")) and (block or not stack or stack[-1][0] != "title"):
+            at = next((i for i, (name, _) in enumerate(stack) if name in HIDDEN_TAGS), None)
+            if at is not None:  # a head or title left open ends here
+                flush()
+                close(at)
         if closing:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at is not None:

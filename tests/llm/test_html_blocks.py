@@ -55,6 +55,15 @@ def test_leaves():
     assert len(H.leaves("<div>" * 5000 + "x" + "<p>y" * 2000)) == 2001
 
 
+@pytest.mark.parametrize("start", [
+    "<html><head><title>x</title><body>", "<head><title>x</title>", "<html><head><title>x <p> y</title><meta charset=a><style>p</style>",
+    "<head><title>x<body>", "<head><title>x <b>y</b> z</head><body>", "<html><head><title>x</title></head><body>"])
+def test_head_left_open(start):
+    got = H.leaves(start + "<article><p>One two.</p><p>Three.</p></article>")
+    assert [(b[0], H.named(b[1])) for b in got] == [("One two.", 1), ("Three.", 1)]
+    assert [b[0] for b in H.leaves("<head><title>x</title>Bare text<p>More")] == ["Bare text", "More"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in H.init(1).items()}
