@@ -70,7 +70,7 @@ class Texts:
         bare, capital, symbol = (x[words].sum() / n for x in self._kinds())
         again = (words[1:] == words[:-1]).sum() / n
         return (n, raw[65:91].sum() / max(1.0, letters), max(0.0, size - plain) / size, distinct,
-                1 - seen / max(1, len(lines)), bare, np.bincount(words).max() / n if n < 1 << 22 else 0.0,
+                1 - seen / max(1, len(lines)), bare, np.bincount(words).max() / n,
                 raw[33] / n, (size - raw[9:14].sum() - raw[32]) / n, n / max(1, len(lines)), capital, symbol, again)
 
     def _kinds(self):

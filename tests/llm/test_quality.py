@@ -18,6 +18,11 @@ def test_against_labels(spark):
     assert np.searchsorted(np.sort(neg), pos).mean() / len(neg) > 0.98
 
 
+def test_top_word_of_a_very_long_text():
+    s = Q.Texts([b"a " * (1 << 22), b"a b"]).stats
+    assert s[0, 6] == 1.0 and s[1, 6] == 0.5
+
+
 def test_em_finds_planted_accuracies():
     """Labellers with known accuracies vote; EM gets back the classes and who is better."""
     rng = np.random.default_rng(1)
