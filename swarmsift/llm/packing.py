@@ -64,6 +64,8 @@ class WordIds:
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.max_words = max_words
+        # Added tokens that the tokenizer looks for in the text as it is, before it lower-cases.
+        self.exact = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values() if not t.normalized]
         self.mark = self.tok.encode("0", add_special_tokens=False).ids
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.clear()
@@ -108,7 +110,9 @@ class WordIds:
         """All ids one after another, and the number of ids of each text."""
         if len(self.at) > self.max_words:
             self.clear()
-        split = [t.lower().split() for t in texts]
+        low = [t.lower() for t in texts]
+        split = [(t if any(x in s for x in self.exact) else s).split() for t, s in zip(texts, low, strict=True)]
+        del low
         n_words = np.array([len(w) for w in split], np.int64)
         words = np.array([w for ws in split for w in ws] or [b""], object)
         del split

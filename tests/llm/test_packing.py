@@ -50,6 +50,17 @@ def test_edges(spark, write_tables):
     check(queries.op9_packing(spark, sf).collect(), {r[0]: r[1] for r in rows})
 
 
+def test_control_strings_in_any_case():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["end <|ENDOFTEXT|> x", "A<|StartOfText|>B", "Say <|endoftext|> NOW", "Plain WORDS plain"]
+    with open(path) as f:
+        ids, counts = packing.WordIds(f.read()).encode_all([t.encode() for t in texts])
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     path = queries.tokenizer_path()
