@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity
+from . import chat, decontaminate, divergence, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 
@@ -82,6 +82,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: every source of a language against its other sources and against the language."""
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -93,4 +98,5 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_source_divergence": op11_source_divergence,
 }

@@ -54,4 +54,30 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_
 FROM s LEFT JOIN comp ON comp.id = doc_id
 """
 
-ORACLES = {"op3_embedding_dedup": OP3, "op4_minhash": OP4, "op8_chat_format": OP8}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tok AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM tok GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(own.total, 0) + coalesce(v, 0) AS dd, sizes.total + v AS ld
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN own USING (lang, source) LEFT JOIN sizes USING (lang)),
+grid AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // CAST(dd AS HUGEINT) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 1)) // CAST(ld AS HUGEINT) AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM grid WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op11_source_divergence": OP11, "op3_embedding_dedup": OP3, "op4_minhash": OP4, "op8_chat_format": OP8}
