@@ -114,7 +114,7 @@ def test_pieces_keep_words_whole(monkeypatch):
 def test_empty_table_and_clashing_columns(spark):
     empty = D.audit(spark.createDataFrame([], DOCS))
     assert empty.collect() == [] and empty.columns == ["lang", "source", "part", "item", "value", "rank"]
-    docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 2}", 9, 9, "z") for i in range(6)],
+    docs = spark.createDataFrame([(i, "a b", "en", f"s{i % 2}", 3, 9, 9, "z") for i in range(6)],
                                  DOCS + ", value long, rank long, term string")
     assert {r[:4] for r in got(D.audit(docs))} == {("en", "s0", "pair", "s1"), ("en", "s1", "pair", "s0")}
 
