@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity
+from . import chat, decontaminate, divergence, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity, vantage
 from .common import table
 
 
@@ -87,6 +87,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every row whose id is divisible by 50, among all rows."""
+    return vantage.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,4 +104,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
