@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity, vantage
+from . import chat, decontaminate, divergence, embed_dedup, html_blocks, minhash_forest, packing, quality, secret_scan, suffix_dedup, toxicity, vantage, whitening
 from .common import table
 
 
@@ -92,6 +92,11 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whitened on the 16 strongest components of the distinct grid vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -105,4 +110,5 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
     "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_whitening": op13_whitening,
 }
