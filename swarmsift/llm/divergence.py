@@ -28,6 +28,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from .common import batches, cut_lineage
 MIN_DOCS, TOP_TERMS = 3, 200
 BLOCK_BITS = 14          # term ids per block
 TILE = 8                 # groups per tile
-FLUSH = 250_000          # (group, term) entries that a task holds before it hands them on
+FLUSH = 600_000          # (group, term) entries that a task holds before it hands them on
 PIECE = 1 << 20          # bytes of a text split at a time
 SCALE_STEP, SCALE_STEPS = 1000, 3  # 10^9 in three steps
 
@@ -64,10 +65,9 @@ def _count(it):
     entries = 0
 
     def rows():
-        out = [(*g, b"", 0, 0) for g in held]
-        for g, (n, df) in held.items():
-            out += [(*g, t, n[t], d) for t, d in df.items()]
-        return pd.DataFrame(out, columns=["lang", "source", "term", "n", "df"])
+        every = ((*g, t, n[t], d) for g, (n, df) in held.items() for t, d in chain([(b"", 0)], df.items()))
+        while part := list(islice(every, 50_000)):
+            yield pd.DataFrame(part, columns=["lang", "source", "term", "n", "df"])
 
     for pdf in batches(it, 2000, 4_000_000, "text"):
         for lang, source, text in zip(pdf["lang"], pdf["source"], pdf["text"], strict=True):
@@ -79,10 +79,10 @@ def _count(it):
             df.update(seen)
             entries += len(df) - before
             if entries >= FLUSH:
-                yield rows()
+                yield from rows()
                 held, entries = {}, 0
     if held:
-        yield rows()
+        yield from rows()
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
