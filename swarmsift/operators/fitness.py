@@ -1,15 +1,16 @@
-"""Population fitness: score every candidate subset of a population in
-one batched-tree fit (evaluator B) or with concurrent MLlib fits
-(evaluator A), plus the memo that skips masks already scored.
+"""Population fitness: score every candidate subset of a population with path-keyed
+trees grown together (the searches' evaluator), with concurrent MLlib fits, or in closed
+form by conditional entropy.
 
 Score = F1(test) − λ·k/N (empty subset: −1, F1 0).
 """
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import masks as M
@@ -21,28 +22,64 @@ def population_fitness(pop: DataFrame, data: TR.TreeData, max_depth: int, lam: f
                        metric: str = "f1") -> DataFrame:
     """pop (member, mask, …) → pop + (k, f1, accuracy, macro_f1, obj).
 
-    All members are grown together (one job per tree level) and scored in
-    one prediction job.  The population (members × feature bits) is small
-    by construction; it is read once to assign dense candidate ids."""
+    All members are grown together (one job per tree level, nodes shared by path) and scored
+    in one job.  Members with equal masks are one candidate.  The population (members ×
+    feature bits) is small by construction; it is read once to assign dense candidate ids."""
     spark = pop.sparkSession
-    n = len(data.features)
     rows = sorted(pop.select("member", "mask").collect(), key=lambda r: r["member"])  # population-sized
-    cands = [(i, r["member"], [j for j, b in enumerate(r["mask"]) if b == 1]) for i, r in enumerate(rows)]
-    cdf = spark.createDataFrame([(i, f) for i, _, f in cands], "cand int, feats array<int>")
-    nodes = TR.grow_trees(data, cdf, max_depth)
-    met = ME.classification_metrics(TR.predict(data, nodes, max_depth, len(cands)), by=["cand"]).collect()
-    by = {r["cand"]: r for r in met}
-    out = []
-    for i, member, feats in cands:
+    scored = score_masks(spark, [tuple(r["mask"]) for r in rows], data, max_depth, metric)
+    out = [(r["member"], *scored[tuple(r["mask"])]) for r in rows]
+    sc = spark.createDataFrame(out, "member int, k int, f1 double, accuracy double, macro_f1 double")
+    obj = M.penalised_objective(F.col("f1"), F.col("k"), len(data.features), lam)
+    return pop.join(F.broadcast(sc.withColumn("obj", obj)), "member")
+
+
+def score_masks(spark, masks: list, data: TR.TreeData, max_depth: int, metric: str = "f1") -> dict:
+    """{mask: (k, metric, accuracy, macro_f1)} of the distinct masks; 0.0 for an empty one."""
+    distinct = sorted(set(masks))
+    feats = [[j for j, b in enumerate(m) if b == 1] for m in distinct]
+    cands = spark.createDataFrame(list(enumerate(feats)), "cand int, feats array<int>")
+    records, trie = TR.grow_population(data, cands, max_depth)
+    by = {}
+    if records:
+        confusion = TR.population_confusion(data, records, trie)
+        by = {r["cand"]: r for r in ME.metrics_from_confusion(confusion, ["cand"]).collect()}  # a row per candidate
+    out = {}
+    for i, m in enumerate(distinct):
         r = by.get(i)
-        k = len(feats)
-        f1 = float(r[metric]) if (r is not None and k) else 0.0
-        acc = float(r["accuracy"]) if (r is not None and k) else 0.0
-        mf1 = float(r["macro_f1"]) if (r is not None and k) else 0.0
-        obj = -1.0 if k == 0 else f1 - lam * k / n
-        out.append((member, k, f1, acc, mf1, obj))
-    scored = spark.createDataFrame(out, "member int, k int, f1 double, accuracy double, macro_f1 double, obj double")
-    return pop.join(F.broadcast(scored), "member")
+        out[m] = (len(feats[i]), *[float(r[c]) if r else 0.0 for c in (metric, "accuracy", "macro_f1")])
+    return out
+
+
+#: Bins that make one cell of the closed-form score: 32 bins give 4 cells a feature.
+CELL_BINS = 8
+
+
+def entropy_scores(spark, masks: list, data: TR.TreeData, cell_bins: int = CELL_BINS) -> dict:
+    """{mask: 1 − H(label | cells of the selected features) / H(label)} over the train rows,
+    rounded to 6 decimals; 0.0 for an empty mask or a single label.
+
+    No tree: rows are first counted by (all cells, label), then one aggregation counts every
+    mask's (cells, label); both merge map-side."""
+    feats = [(i, [j for j, b in enumerate(m) if b == 1]) for i, m in enumerate(masks)]
+    cells = F.transform("bins", lambda b: F.floor(b / cell_bins).cast("int"))
+    every = data.rows.filter("is_train").select(cells.alias("cells"), "label") \
+        .groupBy("cells", "label").agg(F.count("*").alias("n"))
+    chosen = F.array(*[F.struct(F.lit(i).alias("cand"), F.array(*[F.lit(j) for j in f]).cast("array<int>").alias("feats"))
+                       for i, f in feats])
+    per = every.select("cells", "label", "n", F.explode(chosen).alias("c")) \
+        .select("c.cand", F.transform("c.feats", lambda j: F.col("cells")[j]).alias("cell"), "label", "n") \
+        .groupBy("cand", "cell", "label").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("cand", "cell"))  # as many rows as labels
+    bits = per.select("cand", "label", "n", (-F.col("n") * F.log2(F.col("n") / total)).alias("bits"))
+    given = bits.groupBy("cand", "label").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")).collect()  # masks x labels
+    out = {}
+    for i, m in enumerate(masks):
+        mine = [r for r in given if r["cand"] == i]
+        n = sum(r["n"] for r in mine)
+        alone = sum(-r["n"] * math.log2(r["n"] / n) for r in mine)
+        out[m] = round(1 - sum(r["bits"] for r in mine) / alone, 6) + 0.0 if alone > 0 and any(m) else 0.0
+    return out
 
 
 def mllib_fitness(pop_rows: list, prepared: DataFrame, features: list, max_depth: int,
@@ -72,9 +109,3 @@ def mllib_fitness(pop_rows: list, prepared: DataFrame, features: list, max_depth
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         return list(ex.map(score, pop_rows))
-
-
-def new_candidates(cands: DataFrame, scored: DataFrame | None) -> DataFrame:
-    """Memo: distinct masks not scored before (left_anti on the mask)."""
-    d = cands.select("mask").dropDuplicates(["mask"])
-    return d if scored is None else d.join(scored.select("mask"), "mask", "left_anti")

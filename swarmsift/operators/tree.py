@@ -1,36 +1,39 @@
-"""Batched entropy decision trees: every candidate subset of a population
-is grown at the same time, one level per Spark job.
-
-Data layout (prepared once, checkpointed): one row per example with
-``label`` (int index) and ``bins`` (array<int>, one quantile bin per
-feature, ≤ ``max_bins`` bins like MLlib's default).
-
-Per level ℓ:
-
-1. rows × candidates (``explode(sequence(0, P-1))``) ⋈ broadcast(trees)
-   on ``cand`` — the trees table has P rows of at most 2^(ℓ+1) entries;
-2. every (row, candidate) walks its tree from the root (no per-level
-   state is materialised: the walk is a fold over the node array);
-3. rows still at an open node explode over the candidate's features and
-   feed ``groupBy(cand, node, feature, bin)`` with one ``count_if`` per
-   class — partial aggregation collapses hot keys map-side;
-4. cumulative class counts over bins (window per cand/node/feature, ≤
-   max_bins rows) give the entropy gain of each threshold; the best split
-   per node is a ``row_number`` (gain desc, feature, bin) — the same
-   first-wins order as MLlib;
-5. the level's node records (≤ P·2^ℓ rows) are checkpointed; the next
-   level's tree array is rebuilt from them.
-
-A node splits when both sides are non-empty and the (9-decimal rounded)
-gain is positive.  Leaves predict the most frequent class (lowest index on
-ties).  Importance = Σ gain·n per feature, normalised per tree.
+"""Population decision trees keyed by split path.
+
+All candidate subsets of a population are grown at the same time, one Spark job per level.
+A node is known by its *path*, the splits that lead to it.  Candidates that took the same
+splits share the node, its rows and its histogram: the root's histogram serves the whole
+population, and work grows with the distinct paths, not with the candidates.
+
+Data layout (prepared once, written): one row per example with ``label`` (int index),
+``bins`` (array<int>, one quantile bin per feature, at most ``max_bins`` bins like MLlib's
+default) and ``packed`` (the same bins, one byte each, in one binary value).
+
+Per level:
+
+1. tasks send their rows down the trie of paths (a few numpy comparisons per path and
+   batch, no row is copied per candidate) and count (path, feature, bin, class) for the
+   *smaller* child of each split only; a task hands on one row per non-empty bin;
+2. Spark adds the counts up; the *larger* child is its parent's histogram less its sibling's;
+3. cumulative class counts over bins (a window per path and feature, at most ``max_bins``
+   rows) give every threshold's entropy gain and the best one per path and feature;
+4. these, at most paths x features rows whatever the data's size, go to the driver (as
+   MLlib's best split per node does), where each candidate takes the best of its own
+   features: gain descending, feature, bin.
+
+A node splits when both sides are non-empty and the (9-decimal rounded) gain is positive.
+Leaves predict the most frequent class (lowest index on ties).  Importance = sum of gain x n
+per feature, normalised per tree.  Scoring counts labels per leaf path over the test rows and
+joins the candidates' leaves, so it too makes no row x candidate rows.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,44 +46,73 @@ from . import prepare as PR
 GAIN_DIGITS = 9
 
 
+#: Most bins that one byte of ``packed`` can tell apart (as one UTF-8 character).
+MOST_BINS = 128
+
+
 @dataclass
 class TreeData:
-    rows: DataFrame        # is_train boolean, label int, bins array<int>
+    rows: DataFrame        # is_train boolean, label int, bins array<int>, packed binary
     n_labels: int
     features: list
     splits: dict
     labels: DataFrame      # (label string, label_idx double)
-    ml_rows: DataFrame | None = None  # features vector, label double, is_train (MLlib evaluator)
+    indexed: DataFrame | None = None  # imputed features, __lab, __is_train
+    held: list = field(default_factory=list)  # persisted frames
 
     @property
     def n_classes(self) -> int:
         """Indexed labels plus the extra index that NULL and unseen labels share."""
         return self.n_labels + 1
 
+    @property
+    def ml_rows(self) -> DataFrame:
+        """features vector, label, is_train for MLlib fits; made when first asked for."""
+        if not hasattr(self, "_ml"):
+            ml = PR.assemble_vector(self.indexed, list(self.features)).select(
+                "features", F.col("__lab").alias("label"), F.col("__is_train").alias("is_train"))
+            # MLlib makes several passes per fit; keep its input in memory/disk
+            self._ml = cut_lineage(ml, "ml_rows").persist(StorageLevel.MEMORY_AND_DISK)
+            self.held.append(self._ml)
+        return self._ml
+
+    def release(self) -> None:
+        """Drop what is persisted; the written tables stay under the checkpoint folder."""
+        while self.held:
+            self.held.pop().unpersist()
+        if hasattr(self, "_ml"):
+            del self._ml
+
 
 def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Column,
-                      max_bins: int = 32, checkpoint: bool = True) -> TreeData:
-    """Impute, index the label on train, fit ``max_bins`` quantile bins on
-    train, and keep only (is_train, label, bins)."""
+                      max_bins: int = 32, checkpoint: bool = True, exact_bins: bool = True) -> TreeData:
+    """Impute, index the label on train, fit ``max_bins`` quantile bins on train, and keep
+    only (is_train, label, bins).  ``exact_bins=False`` fits the bins in one pass with
+    relative error 0.001, for wide tables."""
+    if max_bins > MOST_BINS:
+        raise ValueError(f"at most {MOST_BINS} bins")
     base = (PR.impute_zero(df, features).withColumn("__is_train", is_train)
             .select(*[col(c) for c in features], col(label), "__is_train"))
     if checkpoint:
         base = cut_lineage(base)  # several passes below; read it once
     train = base.filter(F.col("__is_train"))
     labels = PR.label_index(train, label)
+    if checkpoint:
+        labels = cut_lineage(labels, "labels")
     n_labels = labels.count()
-    splits = Z.fit_splits(train, features, num_buckets=max_bins)
-    bins = F.array(*[tree_bin(col(c), splits[c]) for c in features])
+    splits = Z.fit_splits(train, features, num_buckets=max_bins, exact=exact_bins)
     indexed = PR.apply_label_index(base, label, labels, "__lab")
-    rows = indexed.select(F.col("__is_train").alias("is_train"),
-                          F.col("__lab").cast("int").alias("label"), bins.alias("bins"))
-    ml = PR.assemble_vector(indexed, list(features)).select(
-        "features", F.col("__lab").alias("label"), F.col("__is_train").alias("is_train"))
+    binned = indexed.select(F.col("__is_train").alias("is_train"), F.col("__lab").cast("int").alias("label"),
+                            F.array(*[tree_bin(col(c), splits[c]) for c in features]).alias("bins"))
+    rows = binned.withColumn("packed", pack_bins(F.col("bins")))
     if checkpoint:
         rows = cut_lineage(rows, "tree_rows")
-        # MLlib makes several passes per fit; keep its input in memory/disk
-        ml = cut_lineage(ml, "ml_rows").persist(StorageLevel.MEMORY_AND_DISK)
-    return TreeData(rows, n_labels, list(features), splits, labels, ml)
+    return TreeData(rows, n_labels, list(features), splits, labels, indexed)
+
+
+def pack_bins(bins: Column) -> Column:
+    """array<int> of bins below 128 -> binary, a byte each."""
+    return F.array_join(F.transform(bins, lambda b: F.char(b)), "").cast("binary")
 
 
 def tree_bin(x: Column, splits: list) -> Column:
@@ -160,122 +192,255 @@ def _py_argmax(counts) -> int:
 
 
 NODE_SCHEMA = ("cand int, node int, depth int, n long, counts array<long>, f int, b int, "
-               "gain double, pred int")
+               "gain double, pred int, path int")
+
+#: Histogram cells that a task holds before it hands them on.
+HELD_CELLS = 4_000_000
+
+
+class Trie:
+    """Paths of all candidates; path 0 is the root.  ``splits[path]`` lists the distinct
+    (feature, bin, left path, right path) taken there."""
+
+    def __init__(self):
+        self.splits: dict[int, list] = {}
+        self.parent: dict[int, int] = {}
+        self.known: dict[tuple, tuple] = {}
+
+    def split(self, path: int, f: int, b: int) -> tuple[int, int]:
+        """Left and right child of ``path`` for "bin of f <= b", the same for all who ask."""
+        if (path, f, b) not in self.known:
+            left = 1 + len(self.parent)
+            self.known[path, f, b] = left, left + 1
+            self.parent |= {left: path, left + 1: path}
+            self.splits.setdefault(path, []).append((f, b, left, left + 1))
+        return self.known[path, f, b]
+
+    def towards(self, wanted) -> set[int]:
+        """The wanted paths and all above them."""
+        out: set[int] = set()
+        for path in wanted:
+            while path not in out:
+                out.add(path)
+                path = self.parent.get(path, path)
+        return out
+
+    def walk(self, bins: np.ndarray, wanted):
+        """(path, row numbers) of each wanted path that has rows; bins is rows x features."""
+        wanted, on_way = set(wanted), self.towards(wanted)
+        stack = [(0, np.arange(len(bins)))]
+        while stack:
+            path, rows = stack.pop()
+            if path in wanted:
+                yield path, rows
+            for f, b, left, right in self.splits.get(path, ()):
+                if left in on_way or right in on_way:
+                    low = bins[rows, f] <= b
+                    for child, part in ((left, rows[low]), (right, rows[~low])):
+                        if child in on_way and len(part):
+                            stack.append((child, part))
+
+
+def _batch(batch, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """bins (rows x features) and labels of an Arrow batch with ``packed`` and ``label``."""
+    bins = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint8).reshape(-1, n_features)
+    return bins, batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def path_histogram(rows: DataFrame, trie: Trie, wanted: dict[int, list], n_features: int, n_bins: int, n_classes: int) -> DataFrame:
+    """(path, f, b, c0 ...): class counts of each wanted path's features.
+
+    ``wanted`` maps a path to its features (model-sized, as the trie; both go with the task)."""
+    def run(it):
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            path, f, b, c = [], [], [], []
+            for p, h in held.items():
+                at_f, at_b = np.nonzero(h.sum(axis=2))
+                path.append(np.full(len(at_f), p))
+                f.append(np.array(wanted[p])[at_f])
+                b.append(at_b)
+                c.append(h[at_f, at_b])
+            c = np.concatenate(c)
+            return pa.RecordBatch.from_pydict(
+                {"path": pa.array(np.concatenate(path), pa.int32()), "f": pa.array(np.concatenate(f), pa.int32()),
+                 "b": pa.array(np.concatenate(b), pa.int32())} | {f"c{i}": pa.array(c[:, i], pa.int64()) for i in range(n_classes)})
+
+        cells = 0
+        for batch in it:
+            bins, labels = _batch(batch, n_features)
+            for path, at in trie.walk(bins, wanted):
+                fs = wanted[path]
+                shape = len(fs), n_bins, n_classes
+                key = (np.arange(len(fs)) * n_bins + bins[np.ix_(at, fs)]) * n_classes + labels[at, None]
+                counted = np.bincount(key.ravel(), minlength=int(np.prod(shape))).reshape(shape)
+                if path in held:
+                    held[path] += counted
+                else:
+                    held[path] = counted
+                    cells += counted.size
+                if cells > HELD_CELLS:
+                    yield out()
+                    held, cells = {}, 0
+        if held:
+            yield out()
+
+    kinds = ", ".join(f"c{i} long" for i in range(n_classes))
+    parts = rows.select("packed", "label").mapInArrow(run, f"path int, f int, b int, {kinds}")
+    return parts.groupBy("path", "f", "b").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)])
+
+
+def _siblings(parents: DataFrame, small: DataFrame, pairs: list, n_classes: int) -> DataFrame:
+    """Histograms of the larger children: their parent's less their sibling's.
+
+    ``pairs``: (parent, small, large, features)."""
+    spark = parents.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(pairs, "path int, small int, large int, feats array<int>"))  # model-sized
+    counts = [f"c{i}" for i in range(n_classes)]
+    mine = parents.join(wanted, "path").filter(F.array_contains("feats", F.col("f")))
+    theirs = small.select(F.col("path").alias("small"), "f", "b", *[F.col(c).alias(f"s_{c}") for c in counts])
+    left = mine.join(theirs, ["small", "f", "b"], "left") \
+        .select(F.col("large").alias("path"), "f", "b", *[(F.col(c) - F.coalesce(f"s_{c}", F.lit(0))).alias(c) for c in counts])
+    return left.filter(" + ".join(counts) + " > 0")
 
 
 def grow_trees(data: TreeData, cands: DataFrame, max_depth: int, n_cands: int | None = None) -> DataFrame:
     """Grow one tree per row of ``cands`` (cand int, feats array<int>).
 
-    One Spark job per level: walk → histogram → best split per node.  The
-    level's node records (≤ P·2^ℓ rows, independent of the data size) come
-    back to the driver, as MLlib's per-level split statistics do, and the
-    next level's compact trees are broadcast.  Returns the node table
-    (cand, node, depth, n, counts, f, b, gain, pred); f/b NULL on leaves."""
-    L = data.n_classes
-    spark = data.rows.sparkSession
-    crow = [r for r in cands.select("cand", "feats").collect() if r["feats"]]  # population-sized
-    if not crow:
-        return spark.createDataFrame([], NODE_SCHEMA)
-    n_ids = max(r["cand"] for r in crow) + 1
-    cands_df = spark.createDataFrame([(r["cand"], list(r["feats"])) for r in crow], "cand int, feats array<int>")
-    train = data.rows.filter("is_train").select("label", "bins")
-    known = {r["cand"]: {1: (None, None, 0, 0)} for r in crow}   # heap id -> (f, b, pred, depth)
-    records = []
-    last_splits = []
-    for level in range(max_depth):
-        trees = _trees_df(spark, known)
-        hist = level_histogram(train, trees, cands_df, level, n_ids, L)
-        lvl = _best_splits(hist, L).collect()  # ≤ P·2^level rows
-        last_splits = []
-        for r in lvl:
-            records.append((r["cand"], r["node"], level, int(r["n"]), list(r["counts"]), r["f"], r["b"],
-                            r["gain"], int(r["pred"])))
-            nd = known[r["cand"]]
-            nd[r["node"]] = (r["f"], r["b"], int(r["pred"]), level)
-            if r["f"] is not None:
-                lc, rc = list(r["left_counts"]), list(r["right_counts"])
-                nd[2 * r["node"]] = (None, None, _py_argmax(lc), level + 1)
-                nd[2 * r["node"] + 1] = (None, None, _py_argmax(rc), level + 1)
-                last_splits.append((r["cand"], r["node"], level, lc, rc))
-        if not last_splits:
-            break
-    # splits on the last level: their children are depth-D leaves whose
-    # counts are already known from the split
-    for c, node, lv, lc, rc in last_splits:
-        for child, cnt in ((2 * node, lc), (2 * node + 1, rc)):
-            records.append((c, child, lv + 1, int(sum(cnt)), cnt, None, None, None, _py_argmax(cnt)))
+    Returns the node table (cand, node, depth, n, counts, f, b, gain, pred, path); node is the
+    heap number in its tree; f/b NULL on leaves."""
+    return node_table(data.rows.sparkSession, grow_population(data, cands, max_depth)[0])
+
+
+def node_table(spark, records: list) -> DataFrame:
     return spark.createDataFrame(records, NODE_SCHEMA)
 
 
-def level_histogram(train: DataFrame, trees: DataFrame, cands: DataFrame, level: int,
-                    n_cands: int, L: int) -> DataFrame:
-    """(cand, node, f, b, c0..c{L-1}) for rows at open nodes of depth
-    ``level``.  rows × candidates is a narrow explode over the dense ids;
-    the trees/feature table (population-sized) is broadcast."""
-    t = trees.join(cands, "cand")
-    pairs = _explode_candidates(train, n_cands)
-    walked = (pairs.join(F.broadcast(t), "cand")
-              .select("cand", "label", "bins", "feats", _walk(F.col("tree"), F.col("bins"), level).alias("e"))
-              .filter((F.col("e.depth") == level) & F.col("e.f").isNull())
-              .select("cand", F.col("e.node").alias("node"), "label", "bins", "feats"))
-    return (walked.select("cand", "node", "label", F.explode("feats").alias("f"), "bins")
-            .select("cand", "node", "f", F.col("bins")[F.col("f")].alias("b"), "label")
-            .groupBy("cand", "node", "f", "b")
-            .agg(*[F.count_if(F.col("label") == i).alias(f"c{i}") for i in range(L)]))
-
-
-def empty_trees(cands: DataFrame) -> DataFrame:
-    root = F.array(F.struct(F.lit(1).alias("node"), F.lit(None).cast("int").alias("f"),
-                            F.lit(None).cast("int").alias("b"), F.lit(0).alias("pred"),
-                            F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("depth")))
-    return cands.select("cand", root.alias("tree"))
-
-
-def _explode_candidates(train: DataFrame, n_cands: int) -> DataFrame:
-    """rows × candidate ids as a narrow explode over 0..P-1 (no join)."""
-    return train.select(F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1))).alias("cand"),
-                        "label", "bins")
-
-
-def _best_splits(hist: DataFrame, L: int) -> DataFrame:
-    """Best split per (cand, node).  The histogram is hash-partitioned by
-    (cand, node) once; both windows (cumulative over bins per feature, and
-    the ranking per node) then run without further shuffles.  Groups are
-    bounded: ≤ features × bins rows per node."""
-    h = hist.repartition("cand", "node")
-    w_cum = Window.partitionBy("cand", "node", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy("cand", "node", "f")
-    h = h.select("cand", "node", "f", "b",
-                 *[F.sum(f"c{i}").over(w_cum).alias(f"l{i}") for i in range(L)],
-                 *[F.sum(f"c{i}").over(w_all).alias(f"t{i}") for i in range(L)])
-    left = [F.col(f"l{i}") for i in range(L)]
-    tot = [F.col(f"t{i}") for i in range(L)]
+def grow_population(data: TreeData, cands: DataFrame, max_depth: int) -> tuple[list, Trie]:
+    """The node records of all trees and the trie of their paths."""
+    L, n_features = data.n_classes, len(data.features)
+    n_bins = 1 + max((len(s) - 2 for s in data.splits.values()), default=0)
+    feats = {r["cand"]: sorted(r["feats"]) for r in cands.select("cand", "feats").collect() if r["feats"]}  # population-sized
+    train = data.rows.filter("is_train")
+    trie, records, cached = Trie(), [], []
+    open_ = [(c, 1, 0) for c in feats]            # (cand, heap node, path) still to be split
+    totals: dict[int, list] = {}                  # class counts of a path
+    pairs: list | None = None                     # children by (parent, small, large, features)
+    hist = None
+    for level in range(max_depth):
+        if not open_:
+            break
+        needed: dict[int, set] = {}
+        for c, _, path in open_:
+            needed.setdefault(path, set()).update(feats[c])
+        needed_list = {p: sorted(f) for p, f in needed.items()}
+        if pairs is None:
+            hist = path_histogram(train, trie, needed_list, n_features, n_bins, L)
+        else:
+            counted = {small: fs for _, small, _, fs in pairs}
+            small = path_histogram(train, trie, counted, n_features, n_bins, L)
+            small = small.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(small)
+            hist = small.unionByName(_siblings(hist, small, pairs, L))
+        if level + 1 < max_depth:
+            hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(hist)
+        best: dict[int, dict] = {}
+        for r in best_thresholds(hist, L).collect():  # at most paths x features rows
+            best.setdefault(r["path"], {})[r["f"]] = r
+        nxt, children = [], {}
+        open_ = [x for x in open_ if x[2] in best]  # without train rows there is no root either
+        for c, node, path in open_:
+            found = [best[path][f] for f in feats[c]]
+            r = min(found, key=lambda r: (not r["valid"], -r["gain"], r["f"], r["b"]))
+            counts = totals[path] = list(r["counts"])
+            split = r["valid"] and r["gain"] > 0
+            records.append((c, node, level, sum(counts), counts, r["f"] if split else None, r["b"] if split else None,
+                            r["gain"] if split else None, _py_argmax(counts), path))
+            if not split:
+                continue
+            left, right = trie.split(path, r["f"], r["b"])
+            for child, kid, cnt in ((2 * node, left, list(r["left_counts"])), (2 * node + 1, right, list(r["right_counts"]))):
+                totals[kid] = cnt
+                if level + 1 == max_depth or sum(x > 0 for x in cnt) < 2:  # as deep as allowed, or one class only
+                    records.append((c, child, level + 1, sum(cnt), cnt, None, None, None, _py_argmax(cnt), kid))
+                else:
+                    nxt.append((c, child, kid))
+            children.setdefault((path, left, right), set()).update(feats[c])
+        alive = {path for _, _, path in nxt}
+        pairs = []
+        for (path, left, right), fs in children.items():
+            if left in alive or right in alive:
+                small, large = (left, right) if sum(totals[left]) <= sum(totals[right]) else (right, left)
+                pairs.append((path, small, large, sorted(fs)))
+        open_ = nxt
+    for df in cached:
+        df.unpersist()
+    return records, trie
+
+
+def best_thresholds(hist: DataFrame, L: int) -> DataFrame:
+    """Best bin per (path, f): windows over at most ``max_bins`` rows, one shuffle."""
+    w = Window.partitionBy("path", "f")
+    cum = w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.select("path", "f", "b", *[F.sum(f"c{i}").over(cum).alias(f"l{i}") for i in range(L)],
+                    *[F.sum(f"c{i}").over(w).alias(f"t{i}") for i in range(L)])
+    left, tot = [F.col(f"l{i}") for i in range(L)], [F.col(f"t{i}") for i in range(L)]
     right = [F.col(f"t{i}") - F.col(f"l{i}") for i in range(L)]
-    n = sum(tot[1:], tot[0]) if L > 1 else tot[0]
-    nl = sum(left[1:], left[0]) if L > 1 else left[0]
+    n, nl = sum(tot[1:], tot[0]), sum(left[1:], left[0])
     nr = n - nl
-    gain = (_entropy(tot, n) - (nl / n) * _entropy(left, nl) - (nr / n) * _entropy(right, nr))
-    valid = (nl >= 1) & (nr >= 1)
-    rgain = F.round(gain, GAIN_DIGITS)
-    w_best = Window.partitionBy("cand", "node").orderBy(F.desc("valid"), F.desc("gain"), F.asc("f"), F.asc("b"))
-    h = h.select("cand", "node", "f", "b", F.array(*tot).alias("counts"), n.alias("n"),
-                 F.array(*left).alias("left_counts"), F.array(*right).alias("right_counts"),
-                 rgain.alias("gain"), valid.alias("valid"), _argmax(tot).alias("pred"))
-    best = h.select("*", F.row_number().over(w_best).alias("rk")).filter("rk = 1")
-    splits = F.col("valid") & (F.col("gain") > 0)
-    return best.select(
-        "cand", "node", "n", "counts", "pred",
-        F.when(splits, F.col("f")).alias("f"), F.when(splits, F.col("b")).alias("b"),
-        F.when(splits, F.col("gain")).alias("gain"),
-        F.when(splits, F.col("left_counts")).alias("left_counts"),
-        F.when(splits, F.col("right_counts")).alias("right_counts"))
+    gain = _entropy(tot, n) - (nl / n) * _entropy(left, nl) - (nr / n) * _entropy(right, nr)
+    h = h.select("path", "f", "b", F.array(*tot).alias("counts"), F.array(*left).alias("left_counts"),
+                 F.array(*right).alias("right_counts"), F.round(gain, GAIN_DIGITS).alias("gain"),
+                 ((nl >= 1) & (nr >= 1)).alias("valid"))
+    best = w.orderBy(F.desc("valid"), F.desc("gain"), F.asc("b"))
+    return h.withColumn("rk", F.row_number().over(best)).filter("rk = 1").drop("rk")
+
+
+def leaf_labels(rows: DataFrame, records: list, trie: Trie, n_features: int) -> DataFrame:
+    """(path, label, n): how many rows of each label end in each leaf path."""
+    leaves = {r[9] for r in records if r[5] is None}
+
+    def run(it):
+        total: dict[tuple, int] = {}
+        for batch in it:
+            bins, labels = _batch(batch, n_features)
+            for path, at in trie.walk(bins, leaves):
+                for label, n in enumerate(np.bincount(labels[at])):
+                    total[path, label] = total.get((path, label), 0) + int(n)
+        got = [(p, label, n) for (p, label), n in total.items() if n]
+        if got:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["path", "label", "n"]).astype(
+                {"path": "int32", "label": "int32", "n": "int64"}), preserve_index=False)
+
+    return rows.select("packed", "label").mapInArrow(run, "path int, label int, n long").groupBy("path", "label").agg(F.sum("n").alias("n"))
+
+
+def population_confusion(data: TreeData, records: list, trie: Trie, which: str = "test") -> DataFrame:
+    """(cand, label, prediction, count) of every candidate, from label counts per leaf path."""
+    rows = data.rows.filter(F.col("is_train") if which == "train" else ~F.col("is_train"))
+    counts = leaf_labels(rows, records, trie, len(data.features))
+    leaves = data.rows.sparkSession.createDataFrame([(r[0], r[9], float(r[8])) for r in records if r[5] is None],
+                                                    "cand int, path int, prediction double")
+    return leaves.join(counts, "path").groupBy("cand", F.col("label").cast("double").alias("label"), "prediction") \
+        .agg(F.sum("n").alias("count"))
+
+
+def root_histogram(data: TreeData, cands: DataFrame) -> DataFrame:
+    """(cand, node, f, b, c0 ...) of every candidate's root: one histogram, read by all."""
+    n_bins = 1 + max(len(s) - 2 for s in data.splits.values())
+    every = list(range(len(data.features)))
+    hist = path_histogram(data.rows.filter("is_train"), Trie(), {0: every}, len(every), n_bins, data.n_classes)
+    mine = cands.select("cand", F.explode("feats").alias("f"))
+    return mine.join(hist.drop("path"), "f").withColumn("node", F.lit(1))
 
 
 def predict(data: TreeData, nodes: DataFrame, max_depth: int, n_cands: int,
             which: str = "test") -> DataFrame:
-    """(cand, label, prediction) for every test (or train) row × candidate.
-    The node table is model-sized; it is compacted on the driver and
-    broadcast."""
+    """(cand, label, prediction) for every test (or train) row and candidate, which is what
+    the caller asks for; scores use population_confusion, which makes no such rows.
+    The node table is model-sized; it is compacted on the driver and broadcast."""
     spark = data.rows.sparkSession
     per = {}
     for r in nodes.select("cand", "node", "f", "b", "pred", "depth").collect():
@@ -285,7 +450,7 @@ def predict(data: TreeData, nodes: DataFrame, max_depth: int, n_cands: int,
     trees = _trees_df(spark, per)
     n_ids = max(per) + 1
     rows = data.rows.filter(F.col("is_train") if which == "train" else ~F.col("is_train"))
-    pairs = _explode_candidates(rows.select("label", "bins"), n_ids)
+    pairs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_ids - 1))).alias("cand"), "label", "bins")
     walked = pairs.join(F.broadcast(trees), "cand").select(
         "cand", "label", _walk(F.col("tree"), F.col("bins"), max_depth).alias("e"))
     return walked.select("cand", F.col("label").cast("double").alias("label"),

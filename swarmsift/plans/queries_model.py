@@ -226,7 +226,10 @@ def d_tree(spark, sf, depth=1):
     key = (spark.sparkContext.applicationId, sf, depth)
     if key not in _CACHE:
         from .runs import docs
-        data = TR.prepare_tree_data(docs(spark, sf), X.D_FEATURES, "Target", d_is_train())
+        base = (*key[:2], "data")
+        if base not in _CACHE:
+            _CACHE[base] = TR.prepare_tree_data(docs(spark, sf), X.D_FEATURES, "Target", d_is_train())
+        data = _CACHE[base]
         pop = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED)
         cands = TR.dense_candidates(pop)
         nodes = TR.grow_trees(data, cands.select("cand", "feats"), depth, ST.POP)
@@ -237,9 +240,7 @@ def d_tree(spark, sf, depth=1):
 @register("tree_histogram", ST.with_all() + "SELECT cand, node, f, b, c0, c1 FROM hist")
 def q_tree_histogram(spark, sf):
     data, cands, _ = d_tree(spark, sf)
-    train = data.rows.filter("is_train").select("label", "bins")
-    c = cands.select("cand", "feats")
-    return TR.level_histogram(train, TR.empty_trees(c), c, 0, ST.POP, data.n_labels)  # no NULL label here
+    return TR.root_histogram(data, cands.select("cand", "feats")).select("cand", "node", "f", "b", "c0", "c1")  # no NULL label here
 
 
 @register("tree_fit_batched", ST.with_all() + """
@@ -305,6 +306,39 @@ def q_population_fitness(spark, sf):
     return FT.population_fitness(pop, data, max_depth=1, lam=ST.LAM).select("member", "k", "f1", "obj")
 
 
+# ------------------------------------------------------------------ trees below the root
+
+@register("tree_fit_d2", ST.with_depth(2) + "SELECT cand, node, depth, n, f, b, gain, pred FROM nodes")
+def q_tree_fit_d2(spark, sf):
+    _, _, nodes = d_tree(spark, sf, 2)
+    return nodes.select("cand", "node", "depth", "n", "f", "b", "gain", "pred")
+
+
+@register("tree_predict_d3", ST.with_depth(3) + "SELECT cand, label, prediction FROM pred")
+def q_tree_predict_d3(spark, sf):
+    data, _, nodes = d_tree(spark, sf, 3)
+    return TR.predict(data, nodes, 3, ST.POP)
+
+
+@register("feature_importance_d3", ST.with_depth(3) + """
+SELECT cand, f AS feature_idx, round(sum(gain * n) / sum(sum(gain * n)) OVER (PARTITION BY cand), 9) AS importance
+FROM nodes WHERE f IS NOT NULL GROUP BY cand, f""")
+def q_feature_importance_d3(spark, sf):
+    _, _, nodes = d_tree(spark, sf, 3)
+    return TR.importances(nodes, X.D_FEATURES).withColumn("importance", F.round("importance", 9))
+
+
+@register("population_fitness_d3", ST.with_depth(3) + f"""
+SELECT c.member, CAST(len(c.feats) AS INTEGER) AS k, m.f1, m.accuracy, m.macro_f1,
+       CASE WHEN len(c.feats) = 0 THEN -1.0 ELSE m.f1 - {ST.LAM} * len(c.feats) / {float(ST.N)} END AS obj
+FROM cands c JOIN met m USING (cand)""")
+def q_population_fitness_d3(spark, sf):
+    from ..operators import fitness as FT
+    data = d_tree(spark, sf)[0]
+    pop = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED)
+    return FT.population_fitness(pop, data, max_depth=3, lam=ST.LAM).select("member", "k", "f1", "accuracy", "macro_f1", "obj")
+
+
 @register("majority_baseline", "WITH " + ST.base_ctes() + """,
 conf AS (SELECT CAST(label AS DOUBLE) AS label, 0.0 AS prediction, count(*) AS count FROM rows WHERE NOT is_train GROUP BY 1),
 act AS (SELECT label AS cls, sum(count) AS support, sum(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp FROM conf GROUP BY 1),

@@ -1,11 +1,9 @@
-"""Full searches on the documents fixture with the reference's run
-parameters, the MLlib baseline/retrain, importance reports and the
-leaderboard.  Run keys are rows-only (timings are in the output)."""
+"""Full searches on the wide joined table with the reference's run parameters, the MLlib
+baseline/retrain on the documents fixture, importance reports and the leaderboard.  Run
+keys are rows-only (timings are in the output)."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
@@ -16,53 +14,66 @@ from ..operators.search import aco as ACO
 from ..operators.search import fpa as FPA
 from ..operators.search import pso as PSO
 from ..sources import fixtures as X
+from ..sources import reports as RP
 from . import select as SEL
 from . import sql_tree as ST
 from .registry import register
 
-FEATS = X.D_FEATURES
-# Warm-start lists for the documents fixture (parameters, in the role of
-# the reference's named warm lists).
+FEATS = X.D_FEATURES          # documents fixture: baseline and retrain keys
+WIDE = X.W_FEATURES           # wide table: the searches
+# Warm-start list for the documents fixture (a parameter, in the role of the reference's
+# named warm lists).
 FPA_WARM = ["upper_ratio", "symbol_ratio", "digit_ratio", "punct_ratio", "n_lines"]
-ACO_WARM = ["symbol_ratio", "upper_ratio", "n_chars", "n_words", "digit_ratio"]
 
 
 def is_train():
     return uniform(13, "split", F.col("doc_id")) < F.lit(0.8)
 
 
-_DOCS: dict = {}
+_TABLES: dict = {}
+
+
+def _written(spark, sf, name, make):
+    """A fixture table, materialised once per session; later jobs read the written table."""
+    from ..session import cut_lineage, shuffle_partitions
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        _TABLES[key] = cut_lineage(make(spark, sf).repartition(shuffle_partitions(spark)), name)
+    return _TABLES[key]
 
 
 def docs(spark, sf):
-    """Documents fixture, materialised once per session (text features are
-    regex passes over whole texts; later jobs read the written table)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _DOCS:
-        from ..session import cut_lineage, shuffle_partitions
-        _DOCS[key] = cut_lineage(X.doc_features(spark, sf).repartition(shuffle_partitions(spark)), "docs")
-    return _DOCS[key]
+    """Documents fixture (text features are regex passes over whole texts)."""
+    return _written(spark, sf, "docs", X.doc_features)
 
 
-# Run parameters: the share of the train rows that candidate trees are fitted
-# on, per algorithm and alike at every size.  Every test row is scored.  The
-# reference's PSO takes 3 %, too few rows of this table for a tree.
-SAMPLE_FRAC = {"abc": 0.20, "aco": 0.15, "fpa": 0.18, "pso": 0.50}
+def wide(spark, sf):
+    """The wide joined table that the searches run on."""
+    return _written(spark, sf, "wide", X.wide_table)
 
 
-def search_data(spark, sf, frac):
-    d = docs(spark, sf)
-    fitted = uniform(13, "sample", F.col("doc_id")) < F.lit(frac)
-    return TR.prepare_tree_data(d.filter(~is_train() | fitted), FEATS, "Target", is_train())
+# Run parameters: the share of the train rows that candidate trees are fitted on, alike at
+# every size.  Every test row is scored.
+SAMPLE_FRAC = {"abc": 0.25, "aco": 0.25, "fpa": 0.25, "pso": 0.25}
+
 
+def wide_is_train():
+    return uniform(13, "split", *[F.col(c) for c in X.LINEITEM_KEY]) < F.lit(0.8)
 
-def _features_df(spark):
-    return spark.createDataFrame(list(enumerate(FEATS)), "feature_idx int, name string")
 
+def search_data(spark, sf, frac):
+    """The wide table with 66 features, binned on a hashed share of its train rows (one table
+    per share and session: the four searches use the same)."""
+    key = (spark.sparkContext.applicationId, sf, "search", frac)
+    if key not in _TABLES:
+        fitted = uniform(13, "sample", *[F.col(c) for c in X.LINEITEM_KEY]) < F.lit(frac)
+        _TABLES[key] = TR.prepare_tree_data(wide(spark, sf).filter(~wide_is_train() | fitted), WIDE, "Target",
+                                            wide_is_train(), exact_bins=False)
+    return _TABLES[key]
 
-def order_for(spark, names):
-    names = R.resolve_names(names, FEATS)
-    return R.order_list(R.priority_order(_features_df(spark), R.priority_table(spark, names)))
+
+def _features_df(spark, names=FEATS):
+    return spark.createDataFrame(list(enumerate(names)), "feature_idx int, name string")
 
 
 def warm(names):
@@ -70,28 +81,11 @@ def warm(names):
     return [1 if f in names else 0 for f in FEATS]
 
 
-def report(spark, sf, res: dict, extra: dict | None = None):
-    """One-row run report: search result + final retrain (depth 12, full)."""
-    sel = [f for f, b in zip(FEATS, res["best_mask"]) if b == 1]
-    fin = SEL.final_retrain(docs(spark, sf), sel, "Target", is_train(), 12, 13)
-    m = fin["metrics"]
-    row = {
-        "algo": res["algo"], "subset_size": len(sel), "selected_features": sel,
-        "best_obj": float(res["best_obj"]),
-        "accuracy": float(m["accuracy"]), "f1": float(m["f1"]),
-        "weightedPrecision": float(m["weightedPrecision"]), "weightedRecall": float(m["weightedRecall"]),
-        "macro_f1": float(m["macro_f1"]),
-        "evaluations": int(res["evaluations"]), "fits": int(res.get("fits", 0)),
-        "elapsed_search_sec": float(res["elapsed_search_sec"]),
-        "elapsed_finaltrain_sec": float(fin["elapsed_finaltrain_sec"]),
-        "history": json.dumps(res["history"]),
-    }
-    if extra:
-        row.update(extra)
-    schema = ("algo string, subset_size int, selected_features array<string>, best_obj double, "
-              "accuracy double, f1 double, weightedPrecision double, weightedRecall double, macro_f1 double, "
-              "evaluations int, fits int, elapsed_search_sec double, elapsed_finaltrain_sec double, history string")
-    return spark.createDataFrame([tuple(row[k] for k in [c.split()[0] for c in schema.split(", ")])], schema)
+def report(spark, sf, res: dict):
+    """One-row run report: search result + final retrain (depth 12, full table)."""
+    sel = [f for f, b in zip(WIDE, res["best_mask"]) if b == 1]
+    fin = SEL.final_retrain(wide(spark, sf), sel, "Target", wide_is_train(), 12, 13)
+    return RP.run_report(spark, res, sel, len(WIDE), fin)
 
 
 def run_abc(spark, sf):
@@ -103,24 +97,21 @@ def run_aco(spark, sf):
     data = search_data(spark, sf, SAMPLE_FRAC["aco"])
     prm = ACO.ACOParams(num_ants=10, iters=8, alpha=1.0, beta=0.0, rho=0.25, q=1.0, seed=13,
                         max_evals=300, patience=6)  # patience in generations
-    return SEL.select_aco(data, prm, max_depth=6, lam=0.01, ordv=order_for(spark, ACO_WARM),
-                          k_min=5, k_max=10, init_mask=warm(ACO_WARM))
+    return SEL.select_aco(data, prm, max_depth=6, lam=0.01, ordv=cheap_rank(spark, data), k_min=5, k_max=10)
 
 
 def run_fpa(spark, sf):
     data = search_data(spark, sf, SAMPLE_FRAC["fpa"])
     prm = FPA.FPAParams(pop_size=10, iters=10, p_global=0.8, levy_beta=1.5, step_scale=0.25, seed=13,
                         elitism=1, patience=4, max_evals=400)
-    return SEL.select_fpa(data, prm, max_depth=12, lam=0.01, ordv=order_for(spark, FPA_WARM),
-                          k_min=5, k_max=9, init_mask=warm(FPA_WARM))
+    return SEL.select_fpa(data, prm, max_depth=12, lam=0.01, ordv=cheap_rank(spark, data), k_min=5, k_max=9)
 
 
 def cheap_rank(spark, data, depth=4):
-    """Importance rank of all features from one batched tree (depth 4)."""
-    cands = spark.createDataFrame([(0, list(range(len(FEATS))))], "cand int, feats array<int>")
-    nodes = TR.grow_trees(data, cands, depth, 1)
-    imp = TR.importances(nodes, FEATS).filter("cand = 0")
-    ranked = R.importance_rank(imp, _features_df(spark))
+    """Importance rank of all features from one tree (depth 4); repair and padding go by it."""
+    cands = spark.createDataFrame([(0, list(range(len(data.features))))], "cand int, feats array<int>")
+    imp = TR.importances(TR.grow_trees(data, cands, depth), data.features).filter("cand = 0")
+    ranked = R.importance_rank(imp, _features_df(spark, data.features))
     return [r["rank"] - 1 for r in ranked.orderBy("feature_idx").collect()]
 
 
@@ -161,9 +152,17 @@ def q_select_pso(spark, sf):
     return report(spark, sf, cached(run_pso, spark, sf))
 
 
+def _written_back(spark, report_row):
+    from ..session import scratch_path
+    path = scratch_path(spark, "run_report")
+    RP.write_run_report(report_row, path)
+    return RP.read_run_report(spark, path)
+
+
 @register("run_report")
 def q_run_report(spark, sf):
-    return report(spark, sf, cached(run_fpa, spark, sf))
+    """The flower search's report, written as JSON and read back."""
+    return _written_back(spark, report(spark, sf, cached(run_fpa, spark, sf)))
 
 
 @register("leaderboard")
@@ -176,6 +175,12 @@ def q_leaderboard(spark, sf):
                       "macro_f1", "elapsed_search_sec", "elapsed_finaltrain_sec").orderBy(F.desc("f1"), "algo")
 
 
+@register("wide_features", X.wide_table_sql())
+def q_wide_features(spark, sf):
+    """The wide table itself: six tables joined, four groupings, 66 features and the label."""
+    return X.wide_table(spark, sf)
+
+
 # ------------------------------------------------------------------ MLlib and importance keys
 
 def _metrics_df(spark, fin, algo):
@@ -206,30 +211,55 @@ def q_final_retrain(spark, sf):
     return _metrics_df(spark, fin, "retrain_depth12")
 
 
-def _depth1_all(spark, sf):
-    data = TR.prepare_tree_data(docs(spark, sf), FEATS, "Target", is_train())
+def _ranked_all(spark, sf, depth=3):
+    """Importance rank of all features from one tree of depth 3."""
+    from .queries_model import d_tree
+    data = d_tree(spark, sf)[0]
     cands = spark.createDataFrame([(0, list(range(len(FEATS))))], "cand int, feats array<int>")
-    nodes = TR.grow_trees(data, cands, 1, 1)
-    imp = TR.importances(nodes, FEATS).filter("cand = 0")
-    return R.importance_rank(imp, _features_df(spark))
+    imp = TR.importances(TR.grow_trees(data, cands, depth), FEATS).filter("cand = 0")
+    return R.importance_rank(imp.withColumn("importance", F.round("importance", 9)), _features_df(spark))
 
 
-_ALL = ("WITH " + ST.base_ctes() + ",\n"
-        + f"cands AS (SELECT 0 AS member, 0 AS cand, list_transform(range({ST.N}), lambda i: CAST(i AS INTEGER)) AS feats),\n"
-        + ST.tree_ctes() + ",\n"
-        + "imp AS (SELECT f AS feature_idx, CAST(1.0 AS DOUBLE) AS importance FROM model WHERE is_split),\n"
-        + "fe AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FEATS))
-        + ") AS t(feature_idx, name)),\n"
-        + "rk AS (SELECT fe.feature_idx, fe.name, coalesce(imp.importance, 0.0) AS importance, "
-        + "CAST(row_number() OVER (ORDER BY coalesce(imp.importance, 0.0) DESC, fe.feature_idx) AS INTEGER) AS rank "
-        + "FROM fe LEFT JOIN imp USING (feature_idx))\n")
+_ALL = (ST.with_depth(3, ST.ALL_FEATURES).rstrip()
+        + """,
+imp AS (SELECT f AS feature_idx, round(sum(gain * n) / sum(sum(gain * n)) OVER (), 9) AS importance FROM nodes WHERE f IS NOT NULL GROUP BY f),
+fe AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FEATS)) + """) AS t(feature_idx, name)),
+rk AS (SELECT fe.feature_idx, fe.name, coalesce(imp.importance, 0.0) AS importance,
+  CAST(row_number() OVER (ORDER BY coalesce(imp.importance, 0.0) DESC, fe.feature_idx) AS INTEGER) AS rank
+  FROM fe LEFT JOIN imp USING (feature_idx))
+""")
 
 
 @register("importance_rank", _ALL + "SELECT * FROM rk")
 def q_importance_rank(spark, sf):
-    return _depth1_all(spark, sf)
+    return _ranked_all(spark, sf)
 
 
 @register("importance_topk", _ALL + "SELECT rank, printf('%s: %.6f', name, importance) AS line FROM rk WHERE rank <= 20")
 def q_importance_topk(spark, sf):
-    return R.importance_topk(_depth1_all(spark, sf), 20)
+    return R.importance_topk(_ranked_all(spark, sf), 20)
+
+
+def _text_back(spark, lines, name):
+    from ..session import scratch_path
+    path = scratch_path(spark, name)
+    RP.write_text(lines, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("baseline_metrics_text", ST.with_depth(3, ST.ALL_FEATURES) + "SELECT unnest([" + ", ".join(
+    f"printf('{m}: %.6f', {m if m.islower() else chr(34) + m + chr(34)})" for m in RP.METRICS) + "]) AS line FROM met")
+def q_baseline_metrics_text(spark, sf):
+    """Metrics of a tree on all features as a text file, read back."""
+    from ..operators import metrics as ME
+    from .queries_model import d_tree
+    data = d_tree(spark, sf)[0]
+    cands = spark.createDataFrame([(0, list(range(len(FEATS))))], "cand int, feats array<int>")
+    met = ME.metrics_from_confusion(TR.population_confusion(data, *TR.grow_population(data, cands, 3)), ["cand"])
+    return _text_back(spark, RP.metrics_lines(met.select(*RP.METRICS)), "metrics")
+
+
+@register("importance_text", _ALL + "SELECT printf('%s: %.6f', name, importance) AS line FROM rk WHERE rank <= 20")
+def q_importance_text(spark, sf):
+    """The 20 most important features as a text file, read back."""
+    return _text_back(spark, R.importance_topk(_ranked_all(spark, sf), 20).orderBy("rank"), "importance")

@@ -1,11 +1,9 @@
 """End-to-end subset searches (ABC, ACO, FPA, PSO) and the final retrain.
 
-Each generation is: propose all candidates → score them together
-(memoised by mask) → accept →
-checkpoint the population (reliable checkpoint, so the loop survives
-executor loss and lineage stays one generation deep).  Only a 1-row state
-(best mask/objective, counters) and per-generation scalars come back to the
-driver.
+Each generation is: propose all candidates → score them together (memoised by mask) →
+accept → write the population as a parquet table under the checkpoint folder, so the loop
+survives executor loss and lineage stays one generation deep.  Only a 1-row state (best
+mask/objective, counters) and per-generation scalars come back to the driver.
 """
 
 from __future__ import annotations
@@ -28,22 +26,25 @@ from ..operators.search.common import dense
 from ..session import cut_lineage
 
 
+EVALUATORS = ("tree", "mllib", "entropy")
+
+
 class Scorer:
     """Memoised population scorer over a prepared :class:`TreeData`.
 
     ``objective``: "penalised" (F1 − λ·k/N) or "hardcap"
     (F1 − λ·k − big·max(0, k − cap)).  ``evaluations`` counts every
     candidate handed in (the reference's budget unit), ``fits`` only the
-    distinct new masks actually grown.  The memo maps mask → score; it is
+    distinct new masks actually scored.  The memo maps mask → score; it is
     bounded by the number of evaluations (population-sized per call)."""
 
     def __init__(self, data: TR.TreeData, max_depth: int, lam: float = 0.01,
                  objective: str = "penalised", k_cap: int = 9, big_penalty: float = 0.10,
-                 metric: str = "f1", evaluator: str = "mllib", parallelism: int = 8):
+                 metric: str = "f1", evaluator: str = "tree", parallelism: int = 8):
         self.data, self.depth, self.lam = data, max_depth, lam
-        # One evaluator for every depth, so that scores of all searches compare;
-        # "batched" grows the whole population's trees together instead.
-        if evaluator not in ("mllib", "batched"):
+        # "tree": path-keyed trees of the whole population together; "mllib": a fit per mask;
+        # "entropy": the closed-form score, without trees.
+        if evaluator not in EVALUATORS:
             raise ValueError(f"unknown evaluator {evaluator!r}")
         self.evaluator, self.parallelism = evaluator, parallelism
         self.objective, self.k_cap, self.big = objective, k_cap, big_penalty
@@ -59,26 +60,30 @@ class Scorer:
         new = sorted({tuple(r["mask"]) for r in rows} - set(self.memo))
         if new:
             self.fits += len(new)
-            if self.evaluator == "mllib":
-                res = FT.mllib_fitness(list(enumerate([list(m) for m in new])), self.data.ml_rows,
-                                       self.data.features, self.depth, self.lam,
-                                       parallelism=self.parallelism, metric=self.metric)
-                scored = [(list(new[i]), k, f1, obj) for i, k, f1, obj in res]
-            else:
-                pop = spark.createDataFrame([(i, list(m)) for i, m in enumerate(new)], "member int, mask array<int>")
-                fit = FT.population_fitness(pop, self.data, self.depth, self.lam, self.metric)
-                scored = [(r["mask"], r["k"], r["f1"], r["obj"]) for r in fit.select("mask", "k", "f1", "obj").collect()]
-            for mask, k, f1, obj in scored:
-                if self.objective == "hardcap":
-                    obj = f1 - self.lam * k - self.big * max(0, k - self.k_cap)
-                elif self.objective == "legacy_hardcap":
-                    # the reference unpacks (obj, f1, k) as (obj, acc, f1), so its
-                    # "f1" is k: objective k − λ·k (rewards size, ignores accuracy)
-                    obj = k - self.lam * k - self.big * max(0, k - self.k_cap)
-                self.memo[tuple(mask)] = (float(obj), float(f1), int(k))
+            self.memo |= self._score(spark, new)
         out = [(r["member"], *self.memo[tuple(r["mask"])]) for r in rows]
-        sc = spark.createDataFrame(out, "member int, obj double, f1 double, k int")
-        return cands.join(F.broadcast(sc), "member")
+        sc = spark.createDataFrame(out, "member int, f1 double, k int")
+        return cands.join(F.broadcast(sc.withColumn("obj", self._objective())), "member")
+
+    def _score(self, spark, masks: list) -> dict:
+        """{mask: (score, size)}"""
+        if self.evaluator == "mllib":
+            res = FT.mllib_fitness(list(enumerate([list(m) for m in masks])), self.data.ml_rows, self.data.features,
+                                   self.depth, self.lam, parallelism=self.parallelism, metric=self.metric)
+            return {masks[i]: (float(f1), int(k)) for i, k, f1, _ in res}
+        if self.evaluator == "entropy":
+            return {m: (s, sum(m)) for m, s in FT.entropy_scores(spark, masks, self.data).items()}
+        return {m: (f1, k) for m, (k, f1, *_) in FT.score_masks(spark, masks, self.data, self.depth, self.metric).items()}
+
+    def _objective(self):
+        f1, k = F.col("f1"), F.col("k")
+        if self.objective == "hardcap":
+            return M.hardcap_objective(f1, k, self.lam, self.k_cap, self.big)
+        if self.objective == "legacy_hardcap":
+            # the reference unpacks (obj, f1, k) as (obj, acc, f1), so its
+            # "f1" is k: objective k − λ·k (rewards size, ignores accuracy)
+            return M.hardcap_objective(k.cast("double"), k, self.lam, self.k_cap, self.big)
+        return M.penalised_objective(f1, k, len(self.data.features), self.lam)
 
 
 def _best(pop: DataFrame) -> dict:
@@ -119,7 +124,7 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4) -> dic
             best = b
         history.append({"iter": it, "best_obj": best["obj"], "best_k": best["k"]})
     return {"algo": "abc", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
-            "evaluations": score.evaluations, "fits": score.fits, "iters": prm.max_iters,
+            "evaluations": score.evaluations, "fits": score.fits, "iters": prm.max_iters, "lambda": prm.lam,
             "elapsed_search_sec": time.time() - t0, "params": asdict(prm)}
 
 
@@ -165,7 +170,7 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
         if evals >= prm.max_evals or no_improve >= prm.patience:
             break
     return {"algo": "aco", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
-            "evaluations": evals, "fits": score.fits, "iters": prm.iters,
+            "evaluations": evals, "fits": score.fits, "iters": prm.iters, "lambda": lam,
             "elapsed_search_sec": time.time() - t0, "params": asdict(prm)}
 
 
@@ -211,7 +216,7 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
     stopped = (prm.patience is not None and no_improve >= prm.patience) or \
         (prm.max_evals is not None and n_eval >= prm.max_evals)
     return {"algo": "fpa", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
-            "evaluations": n_eval, "fits": score.fits, "iters": prm.iters, "stopped_early": stopped,
+            "evaluations": n_eval, "fits": score.fits, "iters": prm.iters, "stopped_early": stopped, "lambda": lam,
             "elapsed_search_sec": time.time() - t0, "params": asdict(prm)}
 
 

@@ -70,9 +70,11 @@ def _h(a, b):
     return f"(CASE WHEN {n} > 0 THEN {t(a)} + {t(b)} ELSE 0.0 END)"
 
 
+GAIN = (f"round({_h('t0', 't1')} - ((l0 + l1) / (t0 + t1)) * {_h('l0', 'l1')} "
+        f"- (((t0 + t1) - (l0 + l1)) / (t0 + t1)) * {_h('t0 - l0', 't1 - l1')}, 9)")
+
+
 def tree_ctes() -> str:
-    gain = (f"round({_h('t0', 't1')} - ((l0 + l1) / (t0 + t1)) * {_h('l0', 'l1')} "
-            f"- (((t0 + t1) - (l0 + l1)) / (t0 + t1)) * {_h('t0 - l0', 't1 - l1')}, 9)")
     return f"""cf AS (SELECT cand, CAST(unnest(feats) AS INTEGER) AS f FROM cands),
 hist AS (SELECT c.cand, 1 AS node, c.f, r.bins[c.f + 1] AS b,
                 count(*) FILTER (WHERE r.label = 0) AS c0, count(*) FILTER (WHERE r.label = 1) AS c1
@@ -80,7 +82,7 @@ hist AS (SELECT c.cand, 1 AS node, c.f, r.bins[c.f + 1] AS b,
 cum AS (SELECT *, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1,
                sum(c0) OVER (PARTITION BY cand, node, f) AS t0, sum(c1) OVER (PARTITION BY cand, node, f) AS t1
         FROM hist WINDOW w AS (PARTITION BY cand, node, f ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-sc AS (SELECT *, (l0 + l1) >= 1 AND ((t0 + t1) - (l0 + l1)) >= 1 AS valid, {gain} AS gain FROM cum),
+sc AS (SELECT *, (l0 + l1) >= 1 AND ((t0 + t1) - (l0 + l1)) >= 1 AS valid, {GAIN} AS gain FROM cum),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand, node ORDER BY valid DESC, gain DESC, f, b) AS rk
          FROM sc) WHERE rk = 1),
 model AS (SELECT cand, t0 + t1 AS n, valid AND gain > 0 AS is_split, f, b, gain,
@@ -92,7 +94,12 @@ pred AS (SELECT m.cand, CAST(r.label AS DOUBLE) AS label,
                 CAST(CASE WHEN NOT m.is_split THEN m.root_pred WHEN r.bins[m.f + 1] > m.b THEN m.right_pred
                           ELSE m.left_pred END AS DOUBLE) AS prediction
          FROM rows r JOIN model m ON TRUE WHERE NOT r.is_train),
-conf AS (SELECT cand, label, prediction, count(*) AS count FROM pred GROUP BY 1, 2, 3),
+""" + score_ctes()
+
+
+def score_ctes() -> str:
+    """Metrics per candidate from pred (cand, label, prediction)."""
+    return """conf AS (SELECT cand, label, prediction, count(*) AS count FROM pred GROUP BY 1, 2, 3),
 act AS (SELECT cand, label AS cls, sum(count) AS support, sum(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp
         FROM conf GROUP BY 1, 2),
 prd AS (SELECT cand, prediction AS cls, sum(count) AS npred FROM conf GROUP BY 1, 2),
@@ -109,3 +116,41 @@ met AS (SELECT cand, sum(tp) / sum(support) AS accuracy, sum(f1c * support) / su
 
 def with_all() -> str:
     return "WITH " + base_ctes() + ",\n" + pop_ctes() + ",\n" + tree_ctes() + "\n"
+
+
+ALL_FEATURES = f"cands AS (SELECT 0 AS member, 0 AS cand, list_transform(range({N}), lambda i: CAST(i AS INTEGER)) AS feats)"
+
+
+def grow_ctes(depth: int) -> str:
+    """Trees of any depth, level by level: nodes (cand, node, depth, n, f, b, gain, pred) and
+    pred (cand, label, prediction) of the test rows."""
+    out = ["at_0 AS MATERIALIZED (SELECT c.cand, c.feats, r.is_train, r.label, r.bins, 1 AS node, TRUE AS live FROM rows r JOIN cands c ON TRUE)"]
+    for i in range(depth):
+        out.append(f"""hist_{i} AS (SELECT cand, node, f, bins[f + 1] AS b, count(*) FILTER (WHERE label = 0) AS c0,
+    count(*) FILTER (WHERE label = 1) AS c1
+  FROM (SELECT cand, node, CAST(unnest(feats) AS INTEGER) AS f, bins, label FROM at_{i} WHERE is_train AND live) GROUP BY 1, 2, 3, 4),
+cum_{i} AS (SELECT *, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1,
+    sum(c0) OVER (PARTITION BY cand, node, f) AS t0, sum(c1) OVER (PARTITION BY cand, node, f) AS t1
+  FROM hist_{i} WINDOW w AS (PARTITION BY cand, node, f ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+gain_{i} AS (SELECT *, (l0 + l1) >= 1 AND ((t0 + t1) - (l0 + l1)) >= 1 AS valid, {GAIN} AS gain FROM cum_{i}),
+best_{i} AS MATERIALIZED (SELECT *, valid AND gain > 0 AS is_split FROM (SELECT *, row_number() OVER (
+    PARTITION BY cand, node ORDER BY valid DESC, gain DESC, f, b) AS rk FROM gain_{i}) WHERE rk = 1),
+at_{i + 1} AS MATERIALIZED (SELECT a.cand, a.feats, a.is_train, a.label, a.bins, coalesce(m.is_split, FALSE) AS live,
+    CASE WHEN m.is_split THEN 2 * a.node + CASE WHEN a.bins[m.f + 1] > m.b THEN 1 ELSE 0 END ELSE a.node END AS node
+  FROM at_{i} a LEFT JOIN best_{i} m ON a.live AND a.cand = m.cand AND a.node = m.node)""")
+    level = " UNION ALL ".join(f"""SELECT cand, node, {i} AS depth, t0 + t1 AS n, CASE WHEN is_split THEN f END AS f,
+    CASE WHEN is_split THEN b END AS b, CASE WHEN is_split THEN gain END AS gain, CASE WHEN t1 > t0 THEN 1 ELSE 0 END AS pred FROM best_{i}"""
+                               for i in range(depth))
+    last = depth - 1
+    out.append(f"""nodes AS MATERIALIZED ({level}
+  UNION ALL SELECT cand, 2 * node, {depth}, l0 + l1, NULL, NULL, NULL, CASE WHEN l1 > l0 THEN 1 ELSE 0 END FROM best_{last} WHERE is_split
+  UNION ALL SELECT cand, 2 * node + 1, {depth}, (t0 - l0) + (t1 - l1), NULL, NULL, NULL,
+    CASE WHEN (t1 - l1) > (t0 - l0) THEN 1 ELSE 0 END FROM best_{last} WHERE is_split),
+pred AS (SELECT a.cand, CAST(a.label AS DOUBLE) AS label, CAST(n.pred AS DOUBLE) AS prediction
+  FROM at_{depth} a JOIN nodes n ON a.cand = n.cand AND a.node = n.node WHERE NOT a.is_train)""")
+    return ",\n".join(out)
+
+
+def with_depth(depth: int, cands: str | None = None) -> str:
+    """All CTEs up to metrics for trees of ``depth`` over the hashed population (or ``cands``)."""
+    return "WITH " + ",\n".join([base_ctes(), cands or pop_ctes(), grow_ctes(depth), score_ctes()]) + "\n"

@@ -9,6 +9,8 @@ fixture does not depend on partitioning.  Fixtures grow with the tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sqlgen as g
@@ -129,6 +131,74 @@ def f_exprs(dialect: str) -> list:
 F_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "amt", "days"]
 
 
+# Columns that decide the planted label of the wide table: Attack when two of the three
+# conditions hold, turned over for a hashed share of the rows.
+W_PLANTED = ["l_quantity", "p_size", "c_acctbal"]
+W_FLIPPED = 0.04
+
+
+def w_exprs(dialect: str) -> list:
+    """The wide flow table over lineitem joined with orders, part, supplier, customer, their
+    nations and four groupings (see :func:`wide_source`): key, 66 features, Target."""
+    def n(x):
+        return f"CAST({x} AS DOUBLE)"
+
+    def day(x):
+        return n(g.days_since(dialect, x, "1992-01-01"))
+    out = [(k, k) for k in LINEITEM_KEY]
+    out += [(c, n(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    out += [
+        ("line_no", n("l_linenumber")),
+        ("unit_price", "l_extendedprice / l_quantity"),
+        ("disc_price", "l_extendedprice * (1 - l_discount)"),
+        ("charge", "l_extendedprice * (1 - l_discount) * (1 + l_tax)"),
+        ("ship_day", day("l_shipdate")), ("ship_year", n("year(l_shipdate)")),
+        ("ship_month", n("month(l_shipdate)")), ("ship_dom", n("day(l_shipdate)")),
+        ("o_totalprice", n("o_totalprice")), ("order_day", day("o_orderdate")),
+        ("order_year", n("year(o_orderdate)")), ("order_month", n("month(o_orderdate)")),
+        ("order_priority", n("ascii(o_orderpriority)")), ("order_status", n("ascii(o_orderstatus)")),
+        ("days_to_ship", f"{day('l_shipdate')} - {day('o_orderdate')}"),
+        ("p_size", n("p_size")), ("p_retailprice", n("p_retailprice")),
+        ("p_brand_no", "CAST(substr(p_brand, 7) AS DOUBLE)"),
+        ("p_type_len", n("length(p_type)")), ("p_name_len", n("length(p_name)")),
+        ("s_acctbal", n("s_acctbal")), ("s_nation", n("s_nationkey")), ("s_region", n("s_regionkey")),
+        ("c_acctbal", n("c_acctbal")), ("c_nation", n("c_nationkey")), ("c_region", n("c_regionkey")),
+        ("c_segment_len", n("length(c_mktsegment)")),
+        ("price_share", "l_extendedprice / greatest(o_totalprice, 1.0)"),
+        ("price_over_retail", "l_extendedprice / greatest(p_retailprice, 1.0)"),
+        ("same_nation", "CASE WHEN s_nationkey = c_nationkey THEN 1.0 ELSE 0.0 END"),
+        ("same_region", "CASE WHEN s_regionkey = c_regionkey THEN 1.0 ELSE 0.0 END"),
+        ("discount_less_tax", "l_discount - l_tax"), ("price_times_tax", "l_extendedprice * l_tax"),
+    ]
+    for by in ("order", "part", "supp", "cust"):
+        out += [(f"{by}_lines", n(f"{by}_lines")), (f"{by}_discount", n(f"{by}_discount")), (f"{by}_price", n(f"{by}_price")),
+                (f"{by}_tax", n(f"{by}_tax"))]
+    for j in range(16):
+        out.append((f"hashed_{j:02d}", g.u_chunk(dialect, 17, f"w.{j // 4}", j % 4, *LINEITEM_KEY)))
+    held = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END + CASE WHEN p_size > 25 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END"
+    out.append(("Target", f"CASE WHEN (({held}) >= 2) <> ({g.u(dialect, 17, 'w.flip', *LINEITEM_KEY)} < {W_FLIPPED}) THEN 'Attack' ELSE 'Benign' END"))
+    return out
+
+
+W_FEATURES = [name for name, _ in w_exprs("spark") if name not in (*LINEITEM_KEY, "Target")]
+
+# Groupings whose counts and extremes become features: prefix, key.
+W_GROUPS = [("order", "l_orderkey"), ("part", "l_partkey"), ("supp", "l_suppkey"), ("cust", "o_custkey")]
+
+
+def wide_source() -> str:
+    """SQL of the joined rows, the same for both engines; values are exact (counts, extremes)."""
+    groups = " ".join(
+        f"JOIN (SELECT {key} AS {by}_key, count(*) AS {by}_lines, max(l_discount) AS {by}_discount, max(l_extendedprice) AS {by}_price, "
+        f"min(l_tax) AS {by}_tax FROM {'lineitem' if by != 'cust' else 'lineitem JOIN orders ON l_orderkey = o_orderkey'} "
+        f"GROUP BY {key}) g_{by} ON {key} = {by}_key" for by, key in W_GROUPS)
+    return ("SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey "
+            "JOIN (SELECT s_suppkey, s_acctbal, s_nationkey, n_regionkey AS s_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) s "
+            "ON l_suppkey = s_suppkey "
+            "JOIN (SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey, n_regionkey AS c_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) c "
+            "ON o_custkey = c_custkey " + groups)
+
+
 def p_exprs(dialect: str) -> list:
     """Population table over the 64 embedding dimensions, one member per
     embeddings row: bit = component > 0; objective and trials hashed from
@@ -177,16 +247,21 @@ def doc_features_sql() -> str:
                       "(SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l USING (doc_id))")
 
 
-def embed_features(spark, sf_dir) -> DataFrame:
-    return _render(spark, read(spark, sf_dir, "embeddings"), e_exprs("spark"))
+def wide_table(spark, sf_dir) -> DataFrame:
+    """lineitem with features of its order, part, supplier and customer; see :func:`w_exprs`."""
+    tables = {t: read(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "supplier", "customer", "nation")}
+    sql = wide_source()
+    for t in tables:
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return _render(spark, spark.sql(sql, **tables), w_exprs("spark"))
 
 
-def embed_features_sql() -> str:
-    return sql_select(e_exprs("duckdb"), "embeddings")
+def wide_table_sql() -> str:
+    return sql_select(w_exprs("duckdb"), f"({wide_source()})")
 
 
-def flow_lineitem(spark, sf_dir) -> DataFrame:
-    return _render(spark, read(spark, sf_dir, "lineitem"), f_exprs("spark"))
+def embed_features_sql() -> str:
+    return sql_select(e_exprs("duckdb"), "embeddings")
 
 
 def flow_lineitem_sql() -> str:
