@@ -32,14 +32,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, finite_or_zero
-from ..session import cut_lineage
+from ..session import Scratch, cut_lineage
 from . import discretize as Z
 from . import prepare as PR
 
@@ -195,7 +194,7 @@ NODE_SCHEMA = ("cand int, node int, depth int, n long, counts array<long>, f int
                "gain double, pred int, path int")
 
 #: Histogram cells that a task holds before it hands them on.
-HELD_CELLS = 4_000_000
+HELD_CELLS = 2_000_000
 
 
 class Trie:
@@ -216,29 +215,47 @@ class Trie:
             self.splits.setdefault(path, []).append((f, b, left, left + 1))
         return self.known[path, f, b]
 
-    def towards(self, wanted) -> set[int]:
-        """The wanted paths and all above them."""
-        out: set[int] = set()
+    def route(self, wanted) -> "Route":
+        """Plain arrays with which tasks find the rows of the wanted paths."""
+        size = 1 + len(self.parent)
+        target, on_way = np.zeros(size, bool), np.zeros(size, bool)
         for path in wanted:
-            while path not in out:
-                out.add(path)
+            target[path] = True
+            while not on_way[path]:
+                on_way[path] = True
                 path = self.parent.get(path, path)
-        return out
-
-    def walk(self, bins: np.ndarray, wanted):
-        """(path, row numbers) of each wanted path that has rows; bins is rows x features."""
-        wanted, on_way = set(wanted), self.towards(wanted)
-        stack = [(0, np.arange(len(bins)))]
-        while stack:
-            path, rows = stack.pop()
-            if path in wanted:
-                yield path, rows
-            for f, b, left, right in self.splits.get(path, ()):
-                if left in on_way or right in on_way:
-                    low = bins[rows, f] <= b
-                    for child, part in ((left, rows[low]), (right, rows[~low])):
-                        if child in on_way and len(part):
-                            stack.append((child, part))
+        taken = [(p, *s) for p in np.flatnonzero(on_way).tolist() for s in self.splits.get(p, ()) if on_way[s[2]] or on_way[s[3]]]
+        path, f, b, left, right = np.array(taken, np.int64).reshape(-1, 5).T
+        first = np.searchsorted(path, np.arange(size + 1))
+        return Route(target, on_way, first, f, b, np.stack([left, right]))
+
+
+@dataclass
+class Route:
+    target: np.ndarray     # per path: is it wanted
+    on_way: np.ndarray     # per path: is it wanted or above a wanted one
+    first: np.ndarray      # per path: where its splits begin in f, b, child
+    f: np.ndarray
+    b: np.ndarray
+    child: np.ndarray      # (left, right) x split
+
+    def walk(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, path) of every row in every wanted path; bins is rows x features.
+
+        All rows go down one level at a time; a row is in as many paths as the distinct
+        splits on its way make."""
+        row, path = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+        rows, paths = [], []
+        while len(row):
+            row, path = (x[self.on_way[path]] for x in (row, path))
+            done = self.target[path]
+            rows.append(row[done])
+            paths.append(path[done])
+            splits = self.first[path + 1] - self.first[path]
+            at = np.repeat(self.first[path] - np.cumsum(splits) + splits, splits) + np.arange(splits.sum())
+            row = np.repeat(row, splits)
+            path = self.child[(bins[row, self.f[at]] > self.b[at]).astype(np.int64), at]
+        return np.concatenate(rows or [row]), np.concatenate(paths or [path])
 
 
 def _batch(batch, n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,61 +265,87 @@ def _batch(batch, n_features: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def path_histogram(rows: DataFrame, trie: Trie, wanted: dict[int, list], n_features: int, n_bins: int, n_classes: int) -> DataFrame:
-    """(path, f, b, c0 ...): class counts of each wanted path's features.
+    """(path, f, b, c0 ...): class counts of each wanted path's features."""
+    parts = _count_paths(rows, trie, wanted, n_features, n_bins, n_classes)
+    return parts.groupBy("path", "f", "b").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)])
+
+
+def _count_paths(rows: DataFrame, trie: Trie, wanted: dict[int, list], n_features: int, n_bins: int, n_classes: int,
+                 less: dict[int, int] | None = None) -> DataFrame:
+    """What each task counts of (path, f, b, c0 ...); ``less`` maps a path to one that gets the same
+    counts with a minus sign.
 
     ``wanted`` maps a path to its features (model-sized, as the trie; both go with the task)."""
+    route = trie.route(wanted)
+    first = np.zeros(len(route.target) + 1, np.int64)     # a slot per wanted (path, feature)
+    for path, fs in wanted.items():
+        first[path + 1] = len(fs)
+    first = np.cumsum(first)
+    slot_path = np.array([p for p in sorted(wanted) for _ in wanted[p]], np.int32)
+    slot_f = np.array([f for p in sorted(wanted) for f in wanted[p]], np.int32)
+    other = np.array([less[p] for p in slot_path.tolist()], np.int32) if less else None
+
     def run(it):
-        held: dict[int, np.ndarray] = {}
+        held, cells = [], 0
 
         def out():
-            path, f, b, c = [], [], [], []
-            for p, h in held.items():
-                at_f, at_b = np.nonzero(h.sum(axis=2))
-                path.append(np.full(len(at_f), p))
-                f.append(np.array(wanted[p])[at_f])
-                b.append(at_b)
-                c.append(h[at_f, at_b])
-            c = np.concatenate(c)
-            return pa.RecordBatch.from_pydict(
-                {"path": pa.array(np.concatenate(path), pa.int32()), "f": pa.array(np.concatenate(f), pa.int32()),
-                 "b": pa.array(np.concatenate(b), pa.int32())} | {f"c{i}": pa.array(c[:, i], pa.int64()) for i in range(n_classes)})
-
-        cells = 0
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+            cell, of = np.unique(keys // n_classes, return_inverse=True)
+            c = np.zeros((n_classes, len(cell)), np.int64)
+            c[keys % n_classes, of] = counts
+            slot = cell // n_bins
+            yield batch_of(slot_path[slot], slot, cell % n_bins, c)
+            if less:
+                yield batch_of(other[slot], slot, cell % n_bins, -c)
+
+        def batch_of(path, slot, b, c):
+            return pa.RecordBatch.from_pydict({"path": path, "f": slot_f[slot], "b": b.astype(np.int32)}
+                                              | {f"c{i}": c[i] for i in range(n_classes)})
+
         for batch in it:
             bins, labels = _batch(batch, n_features)
-            for path, at in trie.walk(bins, wanted):
-                fs = wanted[path]
-                shape = len(fs), n_bins, n_classes
-                key = (np.arange(len(fs)) * n_bins + bins[np.ix_(at, fs)]) * n_classes + labels[at, None]
-                counted = np.bincount(key.ravel(), minlength=int(np.prod(shape))).reshape(shape)
-                if path in held:
-                    held[path] += counted
-                else:
-                    held[path] = counted
-                    cells += counted.size
+            row, path = route.walk(bins)
+            for lo in range(0, len(row), 1 << 18):
+                r, p = row[lo:lo + (1 << 18)], path[lo:lo + (1 << 18)]
+                many = first[p + 1] - first[p]
+                slot = np.repeat(first[p] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                r = np.repeat(r, many)
+                held.append(np.unique((slot * n_bins + bins[r, slot_f[slot]]) * n_classes + labels[r], return_counts=True))
+                cells += len(held[-1][0])
                 if cells > HELD_CELLS:
-                    yield out()
-                    held, cells = {}, 0
-        if held:
-            yield out()
+                    yield from out()
+                    held, cells = [], 0
+        if cells:
+            yield from out()
 
     kinds = ", ".join(f"c{i} long" for i in range(n_classes))
-    parts = rows.select("packed", "label").mapInArrow(run, f"path int, f int, b int, {kinds}")
-    return parts.groupBy("path", "f", "b").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)])
+    return rows.select("packed", "label").mapInArrow(run, f"path int, f int, b int, {kinds}")
 
 
-def _siblings(parents: DataFrame, small: DataFrame, pairs: list, n_classes: int) -> DataFrame:
-    """Histograms of the larger children: their parent's less their sibling's.
+def child_histograms(parents: DataFrame, rows: DataFrame, trie: Trie, pairs: list, n_features: int, n_bins: int,
+                     n_classes: int) -> DataFrame:
+    """Histograms of both children of each split: the smaller one is counted, the larger is its
+    parent less its sibling.  ``pairs``: (parent, small, large, features).
 
-    ``pairs``: (parent, small, large, features)."""
-    spark = parents.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(pairs, "path int, small int, large int, feats array<int>"))  # model-sized
+    Parts with signs are added up by one aggregation: a counted cell goes to the small child
+    and, negative, to the large one; a parent's cell goes to the large child."""
     counts = [f"c{i}" for i in range(n_classes)]
-    mine = parents.join(wanted, "path").filter(F.array_contains("feats", F.col("f")))
-    theirs = small.select(F.col("path").alias("small"), "f", "b", *[F.col(c).alias(f"s_{c}") for c in counts])
-    left = mine.join(theirs, ["small", "f", "b"], "left") \
-        .select(F.col("large").alias("path"), "f", "b", *[(F.col(c) - F.coalesce(f"s_{c}", F.lit(0))).alias(c) for c in counts])
-    return left.filter(" + ".join(counts) + " > 0")
+    counted = _count_paths(rows, trie, {small: fs for _, small, _, fs in pairs}, n_features, n_bins, n_classes,
+                           {small: large for _, small, large, _ in pairs})
+    to = np.array(sorted((parent * n_features + f, large) for parent, _, large, fs in pairs for f in fs), np.int64).reshape(-1, 2)
+
+    def hand_down(it):
+        for batch in it:
+            cell = batch.column("path").to_numpy().astype(np.int64) * n_features + batch.column("f").to_numpy()
+            lo, hi = (np.searchsorted(to[:, 0], cell, side) for side in ("left", "right"))
+            at = np.repeat(np.arange(len(cell)), hi - lo)
+            large = to[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(at)), 1]
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(large.astype(np.int32)), *taken.columns[1:]], names=["path", "f", "b", *counts])
+
+    whole = parents.select("path", "f", "b", *counts).mapInArrow(hand_down, counted.schema)
+    return whole.unionByName(counted).groupBy("path", "f", "b").agg(*[F.sum(c).alias(c) for c in counts]).filter(" + ".join(counts) + " > 0")
 
 
 def grow_trees(data: TreeData, cands: DataFrame, max_depth: int, n_cands: int | None = None) -> DataFrame:
@@ -318,12 +361,20 @@ def node_table(spark, records: list) -> DataFrame:
 
 
 def grow_population(data: TreeData, cands: DataFrame, max_depth: int) -> tuple[list, Trie]:
-    """The node records of all trees and the trie of their paths."""
+    """The node records of all trees and the trie of their paths.
+
+    A level's histograms are written under the checkpoint folder, so that the next level's
+    plan does not hold this one's, and dropped at the end."""
+    with Scratch(data.rows.sparkSession) as tables:
+        return _grow(data, cands, max_depth, tables)
+
+
+def _grow(data: TreeData, cands: DataFrame, max_depth: int, tables: Scratch) -> tuple[list, Trie]:
     L, n_features = data.n_classes, len(data.features)
     n_bins = 1 + max((len(s) - 2 for s in data.splits.values()), default=0)
     feats = {r["cand"]: sorted(r["feats"]) for r in cands.select("cand", "feats").collect() if r["feats"]}  # population-sized
     train = data.rows.filter("is_train")
-    trie, records, cached = Trie(), [], []
+    trie, records = Trie(), []
     open_ = [(c, 1, 0) for c in feats]            # (cand, heap node, path) still to be split
     totals: dict[int, list] = {}                  # class counts of a path
     pairs: list | None = None                     # children by (parent, small, large, features)
@@ -338,30 +389,26 @@ def grow_population(data: TreeData, cands: DataFrame, max_depth: int) -> tuple[l
         if pairs is None:
             hist = path_histogram(train, trie, needed_list, n_features, n_bins, L)
         else:
-            counted = {small: fs for _, small, _, fs in pairs}
-            small = path_histogram(train, trie, counted, n_features, n_bins, L)
-            small = small.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(small)
-            hist = small.unionByName(_siblings(hist, small, pairs, L))
+            hist = child_histograms(hist, train, trie, pairs, n_features, n_bins, L)
         if level + 1 < max_depth:
-            hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(hist)
+            hist = tables.cut(hist, "hist")
         best: dict[int, dict] = {}
-        for r in best_thresholds(hist, L).collect():  # at most paths x features rows
+        for r in best_thresholds(hist, L).toArrow().to_pylist():  # at most paths x features rows
             best.setdefault(r["path"], {})[r["f"]] = r
         nxt, children = [], {}
         open_ = [x for x in open_ if x[2] in best]  # without train rows there is no root either
         for c, node, path in open_:
             found = [best[path][f] for f in feats[c]]
             r = min(found, key=lambda r: (not r["valid"], -r["gain"], r["f"], r["b"]))
-            counts = totals[path] = list(r["counts"])
+            counts = totals[path] = [r[f"t{i}"] for i in range(L)]
             split = r["valid"] and r["gain"] > 0
             records.append((c, node, level, sum(counts), counts, r["f"] if split else None, r["b"] if split else None,
                             r["gain"] if split else None, _py_argmax(counts), path))
             if not split:
                 continue
             left, right = trie.split(path, r["f"], r["b"])
-            for child, kid, cnt in ((2 * node, left, list(r["left_counts"])), (2 * node + 1, right, list(r["right_counts"]))):
+            low = [r[f"l{i}"] for i in range(L)]
+            for child, kid, cnt in ((2 * node, left, low), (2 * node + 1, right, [t - x for t, x in zip(counts, low, strict=True)])):
                 totals[kid] = cnt
                 if level + 1 == max_depth or sum(x > 0 for x in cnt) < 2:  # as deep as allowed, or one class only
                     records.append((c, child, level + 1, sum(cnt), cnt, None, None, None, _py_argmax(cnt), kid))
@@ -375,8 +422,6 @@ def grow_population(data: TreeData, cands: DataFrame, max_depth: int) -> tuple[l
                 small, large = (left, right) if sum(totals[left]) <= sum(totals[right]) else (right, left)
                 pairs.append((path, small, large, sorted(fs)))
         open_ = nxt
-    for df in cached:
-        df.unpersist()
     return records, trie
 
 
@@ -391,28 +436,25 @@ def best_thresholds(hist: DataFrame, L: int) -> DataFrame:
     n, nl = sum(tot[1:], tot[0]), sum(left[1:], left[0])
     nr = n - nl
     gain = _entropy(tot, n) - (nl / n) * _entropy(left, nl) - (nr / n) * _entropy(right, nr)
-    h = h.select("path", "f", "b", F.array(*tot).alias("counts"), F.array(*left).alias("left_counts"),
-                 F.array(*right).alias("right_counts"), F.round(gain, GAIN_DIGITS).alias("gain"),
-                 ((nl >= 1) & (nr >= 1)).alias("valid"))
+    h = h.select("*", F.round(gain, GAIN_DIGITS).alias("gain"), ((nl >= 1) & (nr >= 1)).alias("valid"))
     best = w.orderBy(F.desc("valid"), F.desc("gain"), F.asc("b"))
     return h.withColumn("rk", F.row_number().over(best)).filter("rk = 1").drop("rk")
 
 
-def leaf_labels(rows: DataFrame, records: list, trie: Trie, n_features: int) -> DataFrame:
+def leaf_labels(rows: DataFrame, records: list, trie: Trie, n_features: int, n_classes: int) -> DataFrame:
     """(path, label, n): how many rows of each label end in each leaf path."""
-    leaves = {r[9] for r in records if r[5] is None}
+    route = trie.route({r[9] for r in records if r[5] is None})
 
     def run(it):
-        total: dict[tuple, int] = {}
+        total: np.ndarray | int = 0
         for batch in it:
             bins, labels = _batch(batch, n_features)
-            for path, at in trie.walk(bins, leaves):
-                for label, n in enumerate(np.bincount(labels[at])):
-                    total[path, label] = total.get((path, label), 0) + int(n)
-        got = [(p, label, n) for (p, label), n in total.items() if n]
-        if got:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(got, columns=["path", "label", "n"]).astype(
-                {"path": "int32", "label": "int32", "n": "int64"}), preserve_index=False)
+            row, path = route.walk(bins)
+            total = total + np.bincount(path * n_classes + labels[row], minlength=len(route.target) * n_classes)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"path": (at // n_classes).astype(np.int32), "label": (at % n_classes).astype(np.int32),
+                                              "n": total[at].astype(np.int64)})
 
     return rows.select("packed", "label").mapInArrow(run, "path int, label int, n long").groupBy("path", "label").agg(F.sum("n").alias("n"))
 
@@ -420,7 +462,7 @@ def leaf_labels(rows: DataFrame, records: list, trie: Trie, n_features: int) ->
 def population_confusion(data: TreeData, records: list, trie: Trie, which: str = "test") -> DataFrame:
     """(cand, label, prediction, count) of every candidate, from label counts per leaf path."""
     rows = data.rows.filter(F.col("is_train") if which == "train" else ~F.col("is_train"))
-    counts = leaf_labels(rows, records, trie, len(data.features))
+    counts = leaf_labels(rows, records, trie, len(data.features), data.n_classes)
     leaves = data.rows.sparkSession.createDataFrame([(r[0], r[9], float(r[8])) for r in records if r[5] is None],
                                                     "cand int, path int, prediction double")
     return leaves.join(counts, "path").groupBy("cand", F.col("label").cast("double").alias("label"), "prediction") \

@@ -55,6 +55,32 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Written tables that are dropped together when their last reader is done.
+
+    ``with Scratch(spark) as tables: df = tables.cut(df)`` — like :func:`cut_lineage`, for
+    tables that no returned frame reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def maybe_broadcast(df: DataFrame, row_bound: int, limit: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven ≤ ``limit``.
 

@@ -51,8 +51,9 @@ def test_larger_sibling_by_subtraction_equals_a_count(spark, documents):
 
     def hist(path):
         return TR.path_histogram(train, trie, {path: every}, 11, 33, 3)
-    large = TR._siblings(hist(0), hist(left), [(0, left, right, every)], 3)
-    assert sorted(large.collect()) == sorted(hist(right).select(large.columns).collect())
+    both = TR.child_histograms(hist(0), train, trie, [(0, left, right, every)], 11, 33, 3)
+    assert sorted(both.filter(F.col("path") == right).collect()) == sorted(hist(right).select(both.columns).collect())
+    assert sorted(both.filter(F.col("path") == left).collect()) == sorted(hist(left).select(both.columns).collect())
     n = {r[9]: r[3] for r in records}
     assert n[0] == n[left] + n[right] == train.count()
 
