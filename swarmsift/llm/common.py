@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, scratch_path, shuffle_partitions
 
 __all__ = ["cut_lineage", "scratch_path", "shuffle_partitions", "table", "groups_for", "batches",
-           "spread", "mix64", "gather_ranges"]
+           "slices", "mix64", "gather_ranges"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -26,11 +26,6 @@ def groups_for(spark: SparkSession, rows: int, per_group: int) -> int:
     return max(shuffle_partitions(spark), -(-rows // per_group))
 
 
-def spread(df: DataFrame, n: int, *keys) -> DataFrame:
-    """Hash-partition by ``keys`` into ``n`` partitions."""
-    return df.repartition(n, *keys)
-
-
 def batches(it: Iterator, max_rows: int, max_chars: int, text: str) -> Iterator:
     """Cut pandas batches by rows and by total text length, so that one batch
     holds at most ``max_chars`` characters or a single longer row."""
@@ -48,6 +43,21 @@ def batches(it: Iterator, max_rows: int, max_chars: int, text: str) -> Iterator:
         yield pdf.iloc[lo:]
 
 
+def slices(batch, text: int, max_rows: int, max_bytes: int) -> Iterator:
+    """Cut an Arrow batch by rows and by the bytes of column ``text``; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    lo = total = 0
+    for i, s in enumerate(size):
+        if i > lo and (total + s > max_bytes or i - lo >= max_rows):
+            yield batch.slice(lo, i - lo)
+            lo, total = i, 0
+        total += int(s)
+    if batch.num_rows:
+        yield batch.slice(lo)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -27,6 +27,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +41,7 @@ from .common import batches, gather_ranges, mix64
 PERCENT = 80          # least similarity, 1 - distance / words of the item
 SAMPLES, RECALL, TRIALS = 4, 0.99, 1000
 BLOCK_WORDS = 1_000_000
+TABLE_WORDS = 500_000  # words whose hash a process remembers
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 GRAM = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.uint64(0)
@@ -48,12 +51,24 @@ def allowed(n: int, percent: int = PERCENT) -> int:
     return n * (100 - percent) // 100
 
 
+class WordTable(dict):
+    """Hash of each word met, 0 if it is of punctuation only; forgets all when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= TABLE_WORDS:
+            self.clear()
+        bare = word.strip(PUNCT)
+        got = self[word] = xxhash.xxh3_64_intdigest(bare) | 1 if bare else 0
+        return got
+
+
+WORDS = WordTable()  # one in each process
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words one after another, and how many each text has."""
     split = [t.lower().split() for t in texts]
-    codes, uniq = pd.factorize(np.array([w for ws in split for w in ws] + [b""], object))
-    bare = [w.strip(PUNCT) for w in uniq]
-    words = np.array([xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in bare], np.uint64)[codes[:-1]]
+    words = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(split)), np.uint64, sum(map(len, split)))
     total = np.concatenate([[0], np.cumsum(words != 0)])  # words of punctuation only do not count
     edge = np.cumsum([0, *map(len, split)])
     return words[words != 0], np.diff(total[edge])
@@ -68,12 +83,16 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
 
 def walk(words: np.ndarray, start: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Pointer offset before each step (step x window)."""
-    at = np.zeros(len(start), np.int32)
     out = np.empty((len(factors), len(start)), np.int16 if len(factors) < 1 << 15 else np.int32)
     last = len(words) - 1
+    near_end = start.max(initial=0) + len(factors) > last
+    place = start.astype(np.int64)
     for j, f in enumerate(factors):
-        out[j] = at
-        at += (words[np.minimum(start + at, last)] * f >> np.uint64(63)).astype(np.int32)
+        np.subtract(place, start, out=out[j], casting="unsafe")
+        here = words[np.minimum(place, last) if near_end else place]
+        here *= f
+        here >>= np.uint64(63)
+        place += here.view(np.int64)
     return out
 
 
@@ -129,6 +148,14 @@ class Index:
                 keys = sample_keys(flat, start, walk(flat, start, self.factors[r][:3 * n])[self._steps(r, n)], n)
                 order = np.argsort(keys, kind="stable")
                 self.keys[n, r] = keys[order], order
+        # Per repetition, the keys of all lengths that take part in it, sorted, with length and item.
+        self.tables = []
+        for r in range(len(self.factors)):
+            mine = [n for n in self.items if r < self.repeats[n]]
+            keys, order = (np.concatenate([self.keys[n, r][i] for n in mine]) for i in (0, 1))
+            length = np.repeat(mine, [len(self.keys[n, r][0]) for n in mine])
+            by = np.argsort(keys, kind="stable")
+            self.tables.append((keys[by], length[by], order[by]))
         self.filters = {}
         for n, (_, w) in self.items.items():
             for q, _ in self._shared(n):
@@ -242,7 +269,7 @@ class Index:
         flat, counts = words_of(texts)
         gap = self.longest + allowed(self.longest, self.percent) + 1
         first = np.cumsum(counts + gap) - (counts + gap)  # padding, so that no window reaches the next text
-        words = np.zeros(int((counts + gap).sum()), np.uint64)
+        words = np.zeros(int((counts + gap).sum()) + 3 * self.longest + 1, np.uint64)  # walks end inside
         words[gather_ranges(first, counts)] = flat
         found = []
         running = self.hits(words)
@@ -260,26 +287,31 @@ class Index:
         size = max(1, 3_600_000 // max(1, 3 * self.longest))
         for lo in range(0, len(every), size):
             part = every[lo:lo + size]
-            own = {n: np.searchsorted(part, s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")])
-                   for n, s in starts.items()}
-            own = {n: mine for n, mine in own.items() if len(mine)}
-            now: list[int] = []
-            for r in range(max(self.repeats[n] for n in own)):
-                still = [n for n in own if r < self.repeats[n]]
-                if still != now:  # lengths that have had their repetitions drop out
-                    now = still
-                    rows = np.unique(np.concatenate([own[n] for n in now]))
-                    at = {n: np.searchsorted(rows, own[n]) for n in now}
-                offs = walk(words, part[rows], self.factors[r][:3 * max(now)])
-                for n in now:
-                    mine = own[n]
-                    keys, order = self.keys[n, r]
-                    mykeys = sample_keys(words, part[mine], [offs[s][at[n]] for s in self._steps(r, n)], n)
-                    a, b = np.searchsorted(keys, mykeys, "left"), np.searchsorted(keys, mykeys, "right")
-                    hit = b > a
-                    if hit.any():
-                        who = np.repeat(part[mine][hit], (b - a)[hit])
-                        pairs[n].append(np.stack([who, order[gather_ranges(a[hit], (b - a)[hit])]], axis=1))
+            own = [(n, np.searchsorted(part, s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]))
+                   for n, s in sorted(starts.items(), key=lambda x: -self.repeats[x[0]])]
+            # Windows with the lengths they are tried for; those with most repetitions first.
+            window = np.concatenate([w for _, w in own])
+            length = np.repeat([n for n, _ in own], [len(w) for _, w in own])
+            last = np.repeat([self.repeats[n] for n, _ in own], [len(w) for _, w in own])
+            now = -1
+            for r in range(int(last.max(initial=0))):
+                active = int(np.searchsorted(-last, -r))
+                if active != now:  # lengths that have had their repetitions drop out
+                    now = active
+                    rows, at = np.unique(window[:now], return_inverse=True)
+                    start, n = part[window[:now]], length[:now]
+                steps = (self.places[r][:, None] * (3 * n)).astype(np.int64)
+                offs = walk(words, part[rows], self.factors[r][:int(steps.max()) + 1])
+                mykeys = sample_keys(words, start, offs[steps, at], n)
+                keys, lengths, order = self.tables[r]
+                a, b = np.searchsorted(keys, mykeys, "left"), np.searchsorted(keys, mykeys, "right")
+                hit = np.flatnonzero(b > a)
+                if len(hit):
+                    who = np.repeat(hit, (b - a)[hit])
+                    which = gather_ranges(a[hit], (b - a)[hit])
+                    for n_hit in np.unique(lengths[which]).tolist():
+                        same = (lengths[which] == n_hit) & (n[who] == n_hit)
+                        pairs[n_hit].append(np.stack([start[who[same]], order[which[same]]], axis=1))
         for n, parts in pairs.items():
             if not parts:
                 continue
@@ -307,12 +339,17 @@ def item_blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id",
     for r in rows.toLocalIterator():
         n = len(bytes(r.t).split())
         if block and size + n > block_words:
-            yield block
+            yield _sorted(block)
             block, size = [], 0
         block.append((r.k, bytes(r.t)))
         size += n
     if block:
-        yield sorted(block, key=lambda x: (x[0] is None, x[0], x[1]))
+        yield _sorted(block)
+
+
+def _sorted(block: list) -> list:
+    """In an order that does not depend on how the rows were read: the trial's copies follow it."""
+    return sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id",
@@ -347,8 +384,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, te
 
         def keep(it, index=index):
             for batch in it:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
+                for part in slices(batch, at, 500, 2_000_000):
                     bad = set(index.value.find([(t or "").encode() for t in part.column(at).to_pylist()])["text"].tolist())
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
         out = out.mapInArrow(keep, schema)
