@@ -82,7 +82,11 @@ def field_paths(payload: Column) -> Column:
                               F.array().cast("array<string>"))
             return F.transform(keys, lambda c: F.concat(key, F.lit(sep), c))
         path = F.concat(F.lit("$['"), key, F.lit("']"))
-        return F.concat(F.array(key), inner(path, "."), inner(F.concat(path, F.lit("[0]")), "[]."))
+        value = F.call_function("get_json_object", payload, path)
+        items = F.when(F.substring(F.ltrim(value), 1, 1) == "[", F.from_json(value, "array<map<string,string>>"))
+        fields = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda x: x.isNotNull()), F.map_keys)))
+        return F.concat(F.array(key), inner(path, "."),
+                        F.coalesce(F.transform(fields, lambda c: F.concat(key, F.lit("[]."), c)), F.array().cast("array<string>")))
     return F.flatten(F.transform(F.json_object_keys(payload), below))
 
 
@@ -144,16 +148,16 @@ def format_turns(df: DataFrame, key: str, order: list[str], turns: str = "turns"
     """One row per conversation: ``key``, ``formatted`` and ``loss_spans``
     (code-point start and length of each assistant text in ``formatted``)."""
     rows = df.select(F.col(key), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
-                     F.posexplode(turns).alias("__at", "__turn"))
+                     F.posexplode_outer(turns).alias("__at", "__turn"))
     sort = [*[F.col(f"__o{i}") for i in range(len(order))], F.col("__at")]
     rows = rows.select(
         key, F.struct(*sort, "__turn.role", "__turn.text").alias("__s"),
         escape(F.col("__turn.role")).alias("__r"), escape(F.col("__turn.text")).alias("__t"))
     grouped = rows.groupBy(key).agg(F.array_sort(
-        F.collect_list(F.struct(F.struct(
+        F.collect_list(F.when(F.col("__r").isNotNull(), F.struct(F.struct(
             *[F.col(f"__s.{c}").isNull().alias(f"n{i}") for i, c in enumerate([f"__o{j}" for j in range(len(order))])],
             F.col("__s").alias("s")).alias("k"), "__r", "__t",
-            (F.col("__s.role") == "assistant").alias("__a")))).alias("__all"))
+            (F.col("__s.role") == "assistant").alias("__a"))))).alias("__all"))
     piece = lambda x: F.concat(F.lit(TURN), x["__r"], F.lit(TEXT), x["__t"], F.lit(END))
     head = len(TURN) + len(TEXT)
     grouped = grouped.withColumn("formatted", F.array_join(F.transform("__all", piece), ""))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, gather_ranges, mix64
+from .common import batches, gather_ranges, mix64, slices
 
 PERCENT = 80          # least similarity, 1 - distance / words of the item
 SAMPLES, RECALL, TRIALS = 4, 0.99, 1000

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_by_hot_key
+from .common import cut_lineage, join_by_hot_key, with_row_id
 from .components import components
 
 TABLES, LEAST_DIMS, CELL = 2, 4, 2
@@ -152,11 +152,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     rows = cut_lineage(rows.withColumn("h1", F.xxhash64("label", "embedding"))
                        .withColumn("h2", F.xxhash64(F.lit(7), "embedding", "label")), "vectors")
     good = rows.filter("fine")
-    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut_lineage(classes, "vector_classes")
-    # One row per class; an id whose rows hold different vectors stands for each of them in turn.
-    reps = good.withColumnRenamed("vec_id", "rep").join(classes, ["h1", "h2", "rep"]) \
-        .dropDuplicates(["h1", "h2"]).dropDuplicates(["rep"])
+    # A class is known by a number of its own: an id whose rows hold different vectors is in several.
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = cut_lineage(with_row_id(classes, "rep"), "vector_classes")
+    reps = good.join(classes, ["h1", "h2", "vec_id"]).dropDuplicates(["rep"])
     reps = cut_lineage(reps.select("rep", "copies", "label", "embedding"), "vector_reps")
 
     n = reps.count()
@@ -199,10 +198,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     found = dealt.groupBy(*cell, "bq", "bc").applyInPandas(run, "a long, b long, n long")
     found = cut_lineage(found, "vector_links")
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comp = components(found.filter("b is not null").select("a", "b").distinct()).withColumnRenamed("id", "rep")
-    by_class = classes.join(links, "rep", "left").join(comp, "rep", "left").select(
-        "h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component_id", "rep").alias("component_id"))
+    comp = components(found.filter("b is not null").select("a", "b").distinct()) \
+        .select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
+    in_comp = cut_lineage(classes.join(links, "rep", "left").join(comp, "rep", "left")
+                          .withColumn("comp", F.coalesce("comp", "rep")), "class_components")
+    least = in_comp.groupBy("comp").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("members"))
+    by_class = join_by_hot_key(in_comp, cut_lineage(least, "component_ids"), ["comp"], "members", n).select(
+        "h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     joined = join_by_hot_key(good.select("vec_id", "h1", "h2"), by_class, ["h1", "h2"], "copies", rows.count()) \
         .select("vec_id", "n_links", "component_id")
     bad = rows.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"),

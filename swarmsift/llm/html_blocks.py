@@ -40,7 +40,7 @@ BLOCK_TAGS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe svg math object".split())
+RAW_TAGS = frozenset("script style noscript template iframe svg".split())
 HIDDEN_TAGS = frozenset("head title".split())
 HEAD_TAGS = frozenset("head title base basefont bgsound link meta script style noscript template".split())  # may stand in a head
 # Names that pages give to clutter and to the article.
@@ -138,7 +138,7 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         names = [tag]
         for k in NAMES.finditer(m[4]):
             value = next(v for v in k.groups()[1:] + ("",) if v is not None)
-            names += ["." + w for w in SPLIT.split(value.lower()) if w][:8]
+            names += ["." + w for w in SPLIT.split(value.lower()) if w]
         if tag == "a":
             in_link += 1
         stack.append((tag, tuple(names)))
@@ -366,10 +366,12 @@ def labelled(page: str):
     return [(t.replace("\x01", "") or " ", path, link) for t, path, link in blocks], [int("\x01" in t) for t, _, _ in blocks]
 
 
-def fit(pages: DataFrame, text: str = "html", sample_pages: int = 300, made: int = 900, seed: int = 3):
-    """Train on a bounded sample; None if there is nothing to learn from."""
+def fit(pages: DataFrame, text: str = "html", sample_pages: int = 300, made: int = 900, seed: int = 3,
+        sample_chars: int = 200_000):
+    """Train on a bounded sample: ``sample_pages`` pages chosen by hash, of each the first
+    ``sample_chars`` characters; None if there is nothing to learn from."""
     # Hashes are sampled first, so that only the chosen pages travel, and each of many copies once.
-    able = pages.filter(F.length(text) < 200_000).select(F.xxhash64(text).alias("__h"), F.col(text).alias("__t"))
+    able = pages.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__h"), F.substring(text, 1, sample_chars).alias("__t"))
     low = [r[0] for r in able.select("__h").distinct().orderBy("__h").limit(sample_pages).collect()]
     rows = able.filter(F.col("__h").isin(low)).groupBy("__h").agg(F.min("__t").alias("__t")) \
         .orderBy("__h").select("__t").collect() if low else []

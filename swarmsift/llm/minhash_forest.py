@@ -291,7 +291,11 @@ def _between(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text",
                     key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+
+    ``percent`` may be 80 to 100: trees and sketch thresholds are dimensioned for 80."""
+    if not 80 <= percent <= 100:
+        raise ValueError("signatures are dimensioned for similarities of 80 % or more")
     feats = cut_lineage(features(docs, width, text, key), "minhash_features")
     classes = cut_lineage(feats.filter("doc_id is not null").groupBy("h1", "h2")
                           .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"),

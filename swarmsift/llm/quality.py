@@ -148,7 +148,7 @@ _SHAPE = re.compile(rb"(.)\1+", re.S)
 
 def shape(word: bytes) -> bytes:
     """Letters, digits and case folded to classes; runs shortened to two."""
-    return _SHAPE.sub(rb"\1\1", word.translate(_TABLE))[:24]
+    return _SHAPE.sub(rb"\1\1", word.translate(_TABLE))
 
 
 def _bucket(x: bytes) -> int:

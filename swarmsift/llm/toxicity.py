@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, slices
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS = 18, 16
@@ -344,8 +344,7 @@ def keep_clean(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def keep(it):
         for batch in it:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, at, 500, 4_000_000):
                 got = score_texts(shared.value, [(t or "").encode() for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(got < THRESHOLD))
 

@@ -62,3 +62,15 @@ def test_nulls_ties_and_empty(spark):
     assert [(t.role, t.text) for t in out[1].t] == [("user", "a"), ("user", "a"), ("user", "b"), ("assistant", "z")]
     assert [(t.role, t.text) for t in out[None].t] == [("", "")]
     assert chat.digest(chat.format_turns(chat.canonical_turns(df.limit(0)), "id", ["turn"]), "id").count() == 0
+
+
+def test_conversations_without_turns_stay(spark):
+    df = spark.createDataFrame([(1, [("user", "a")]), (2, []), (3, None)], "id int, turns array<struct<role:string,text:string>>")
+    out = {r.id: r for r in chat.digest(chat.format_turns(df, "id", []), "id").collect()}
+    assert {i: (r.n_turns, r.formatted_chars, r.loss_chars) for i, r in out.items()} == {1: (1, out[1].formatted_chars, 0), 2: (0, 0, 0), 3: (0, 0, 0)}
+
+
+def test_fields_of_later_messages_count(spark):
+    record = {"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
+    got = chat.canonical_turns(spark.createDataFrame([(json.dumps(record),)], "payload string")).first()
+    assert [(t.role, t.text) for t in got.turns] == [("system", ""), ("user", "q"), ("assistant", "a")]

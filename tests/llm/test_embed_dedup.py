@@ -76,3 +76,11 @@ def test_edges(spark, write_tables):
 def test_calibration():
     assert E.needed(8, 0.9973) == 7 or E.needed(8, 0.9973) == 6
     assert E.dims_for(10) == E.LEAST_DIMS and E.dims_for(10 ** 9) > 15
+
+
+def test_an_id_with_two_vectors_links_for_both(spark):
+    rng = np.random.default_rng(21)
+    a, b = rng.standard_normal((2, 16))
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, (a * 1.001).tolist(), 0), (3, (b + 1e-4).tolist(), 0), (9, (-a).tolist(), 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]

@@ -97,3 +97,18 @@ def test_edges(spark, write_tables):
     assert by[None] == [("x " * 100_000 + "&").strip()]
     empty = spark.createDataFrame([], PAGES)
     assert H.fit(empty) is None and H.extract(empty, None).count() == 0
+
+
+def test_every_class_name_and_formula_text_is_read():
+    names = " ".join(f"a{i}" for i in range(12)) + " sidebar"
+    path = H.leaves(f'<article><div class="{names}">x</div></article>')[0][1]
+    assert ".sidebar" in path and ".a11" in path
+    text = " ".join(b[0] for b in H.leaves("<p>Energy <math><mi>E</mi></math> and <object>fallback</object> end</p>"))
+    assert text == "Energy E and fallback end"
+
+
+def test_long_pages_train_too(spark):
+    body = "<p>plain words of the article go on and on.</p>" * 6000
+    page = f"<html><body><nav><a href=x>Home</a></nav><article>{body}</article></body></html>"
+    model = H.fit(spark.createDataFrame([(1, "u", page)], PAGES), made=20)
+    assert model is not None

@@ -120,3 +120,8 @@ def test_components_of_chains_and_stars(spark):
     linked = {i for a, b in edges if a != b for i in (a, b)}
     assert got == {i: want[i] for i in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similarities_below_the_dimensioned_ones_are_refused(spark):
+    with pytest.raises(ValueError):
+        M.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=60)

@@ -63,3 +63,12 @@ def test_empty(spark, write_tables):
     sf = write_tables(documents=([], DOCS), labels=([], "doc_id long, quality int, toxic int"),
                       benchmark=([], "item_id long, text string"))
     assert P.run(spark, sf).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """The same text once; different texts of one id both stay."""
+    rows = [(1, "one two three four five six", "en", "s", 1), (1, "one two three four five six", "en", "s", 1),
+            (1, "another text that differs in every word", "en", "s", 1), (2, "one two three four five six", "en", "s", 1),
+            (None, "x y", "en", "s", 1), (None, "x y z", "en", "s", 1)]
+    got = sorted((r.doc_id or 0, r.text) for r in P.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    assert got == [(0, "x y"), (0, "x y z"), (1, "another text that differs in every word"), (1, "one two three four five six")]
