@@ -23,12 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    An id goes if none of its rows stays.  Rows that repeat an id and its text are one document;
+    rows of one id with different texts all stay with their id, as do rows without an id."""
     found = minhash_forest.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # Rows of one id are copies of one document; rows without an id are not.
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows")).filter("doc_id is not null")
+    ids = cut_lineage(ids.filter("not stays or rows > 1"), "near_duplicate_ids")
+    rest = docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.select(*COLUMNS).join(ids.filter("stays").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return rest.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
