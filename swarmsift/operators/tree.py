@@ -21,6 +21,9 @@ Per level:
    MLlib's best split per node does), where each candidate takes the best of its own
    features: gain descending, feature, bin.
 
+A level of up to ``LOCAL_CELLS`` cells, a bound on the model whatever the rows, takes steps 2
+(subtraction) and 3 on the driver, which saves their jobs; the results are the same.
+
 A node splits when both sides are non-empty and the (9-decimal rounded) gain is positive.
 Leaves predict the most frequent class (lowest index on ties).  Importance = sum of gain x n
 per feature, normalised per tree.  Scoring counts labels per leaf path over the test rows and
@@ -193,6 +196,10 @@ def _py_argmax(counts) -> int:
 NODE_SCHEMA = ("cand int, node int, depth int, n long, counts array<long>, f int, b int, "
                "gain double, pred int, path int")
 
+#: A level of at most so many (path, feature, bin) cells is kept by the driver (some 70 MB); larger
+#: ones stay tables.  The bound is on the model, not on the rows.
+LOCAL_CELLS = 1_500_000
+
 #: Histogram cells that a task holds before it hands them on.
 HELD_CELLS = 2_000_000
 
@@ -386,14 +393,22 @@ def _grow(data: TreeData, cands: DataFrame, max_depth: int, tables: Scratch) ->
         for c, _, path in open_:
             needed.setdefault(path, set()).update(feats[c])
         needed_list = {p: sorted(f) for p, f in needed.items()}
+        cells = n_bins * max(sum(map(len, needed_list.values())), 2 * sum(len(fs) for *_, fs in pairs or ()))
+        local = cells <= LOCAL_CELLS and (pairs is None or isinstance(hist, LocalHistogram))
+        if not local and isinstance(hist, LocalHistogram):
+            hist = hist.table(data.rows.sparkSession)
         if pairs is None:
             hist = path_histogram(train, trie, needed_list, n_features, n_bins, L)
+            hist = LocalHistogram.of(hist, n_features, n_bins, L) if local else hist
+        elif local:
+            counted = path_histogram(train, trie, {small: fs for _, small, _, fs in pairs}, n_features, n_bins, L)
+            hist = hist.children(counted, pairs)
         else:
             hist = child_histograms(hist, train, trie, pairs, n_features, n_bins, L)
-        if level + 1 < max_depth:
+        if level + 1 < max_depth and not local:
             hist = tables.cut(hist, "hist")
         best: dict[int, dict] = {}
-        for r in best_thresholds(hist, L).toArrow().to_pylist():  # at most paths x features rows
+        for r in hist.best() if local else best_thresholds(hist, L).toArrow().to_pylist():  # at most paths x features rows
             best.setdefault(r["path"], {})[r["f"]] = r
         nxt, children = [], {}
         open_ = [x for x in open_ if x[2] in best]  # without train rows there is no root either
@@ -425,6 +440,76 @@ def _grow(data: TreeData, cands: DataFrame, max_depth: int, tables: Scratch) ->
     return records, trie
 
 
+class LocalHistogram:
+    """A level's histogram of at most ``LOCAL_CELLS`` cells, held by the driver: the same steps as
+    the tables take, without their jobs.  Cells are sorted by (path, f, b)."""
+
+    def __init__(self, path, f, b, counts, n_features: int, n_bins: int):
+        self.n_features, self.n_bins = n_features, n_bins
+        key = (path.astype(np.int64) * n_features + f) * n_bins + b
+        key, at = np.unique(key, return_inverse=True)
+        added = np.stack([np.bincount(at, c, len(key)) for c in counts]).astype(np.int64)  # whole numbers below 2^53
+        keep = added.sum(axis=0) > 0
+        self.key, self.counts = key[keep], added[:, keep]
+        self.group, self.b = self.key // n_bins, self.key % n_bins
+
+    @classmethod
+    def of(cls, hist: DataFrame, n_features: int, n_bins: int, n_classes: int) -> LocalHistogram:
+        return cls(*_arrays(hist, n_classes), n_features, n_bins)
+
+    def children(self, counted: DataFrame, pairs: list) -> LocalHistogram:
+        """Of both children of each split, from the smaller children's counts."""
+        path, f, b, counts = _arrays(counted, len(self.counts))
+        to_large = {small: large for _, small, large, _ in pairs}
+        large = np.array([to_large[p] for p in path.tolist()], np.int64)
+        want = np.array(sorted((parent * self.n_features + i, big) for parent, _, big, fs in pairs for i in fs), np.int64).reshape(-1, 2)
+        lo, hi = (np.searchsorted(self.group, want[:, 0], side) for side in ("left", "right"))
+        at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+        return LocalHistogram(np.concatenate([path, large, np.repeat(want[:, 1], hi - lo)]), np.concatenate([f, f, self.group[at] % self.n_features]),
+                              np.concatenate([b, b, self.b[at]]), np.concatenate([counts, -counts, self.counts[:, at]], axis=1),
+                              self.n_features, self.n_bins)
+
+    def table(self, spark) -> DataFrame:
+        cols = {"path": self.group // self.n_features, "f": self.group % self.n_features, "b": self.b}
+        return spark.createDataFrame(pa.table({k: v.astype(np.int32) for k, v in cols.items()}
+                                              | {f"c{i}": c for i, c in enumerate(self.counts)}))
+
+    def best(self) -> list[dict]:
+        """As :func:`best_thresholds`."""
+        if not len(self.key):
+            return []
+        first = np.flatnonzero(np.r_[True, np.diff(self.group) > 0])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(self.key)]))
+        run = np.cumsum(self.counts, axis=1)
+        left = run - (run[:, first] - self.counts[:, first])[:, of]
+        total = np.add.reduceat(self.counts, first, axis=1)[:, of]
+        n, nl = total.sum(axis=0), left.sum(axis=0)
+        nr = n - nl
+
+        def entropy(c, size):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = c / size
+                terms = np.where(c > 0, -share * np.log2(share), 0.0)
+            out = terms[0]
+            for t in terms[1:]:
+                out = out + t
+            return np.where(size > 0, out, 0.0)
+        gain = entropy(total, n) - (nl / n) * entropy(left, nl) - (nr / n) * entropy(total - left, nr)
+        scale = 10.0 ** GAIN_DIGITS
+        gain = np.floor(gain * scale + 0.5) / scale
+        valid = (nl >= 1) & (nr >= 1)
+        by = np.lexsort((self.b, -gain, ~valid, of))
+        top = by[first]
+        return [{"path": int(self.group[i] // self.n_features), "f": int(self.group[i] % self.n_features), "b": int(self.b[i]),
+                 "valid": bool(valid[i]), "gain": float(gain[i]) + 0.0} | {f"l{k}": int(x) for k, x in enumerate(left[:, i])}
+                | {f"t{k}": int(x) for k, x in enumerate(total[:, i])} for i in top.tolist()]
+
+
+def _arrays(hist: DataFrame, n_classes: int):
+    t = hist.toArrow()
+    return (*[t.column(c).to_numpy() for c in ("path", "f", "b")], np.stack([t.column(f"c{i}").to_numpy() for i in range(n_classes)]))
+
+
 def best_thresholds(hist: DataFrame, L: int) -> DataFrame:
     """Best bin per (path, f): windows over at most ``max_bins`` rows, one shuffle."""
     w = Window.partitionBy("path", "f")

@@ -66,6 +66,15 @@ def test_scores_do_not_depend_on_partitions_or_flushes(spark, documents, monkeyp
     assert sorted(FT.population_fitness(pop, other, 3).collect()) == want
 
 
+@pytest.mark.parametrize("cells", [0, 3000])
+def test_tables_and_driver_take_the_same_splits(spark, documents, monkeypatch, cells):
+    cands = spark.createDataFrame([(c, list(range(c, c + 5))) for c in range(3)], "cand int, feats array<int>")
+    want, _ = TR.grow_population(documents, cands, 4)
+    monkeypatch.setattr(TR, "LOCAL_CELLS", cells)
+    got, _ = TR.grow_population(documents, cands, 4)
+    assert sorted(r[:9] for r in got) == sorted(r[:9] for r in want)
+
+
 def test_empty_mask_and_empty_train(spark):
     df = spark.range(40).select("id", (F.col("id") % 5).cast("double").alias("x"), F.when(F.col("id") % 5 > 2, "a").otherwise("b").alias("y"))
     pop = spark.createDataFrame([(0, [0]), (1, [1])], "member int, mask array<int>")
