@@ -339,6 +339,21 @@ def q_population_fitness_d3(spark, sf):
     return FT.population_fitness(pop, data, max_depth=3, lam=ST.LAM).select("member", "k", "f1", "accuracy", "macro_f1", "obj")
 
 
+@register("subset_entropy", "WITH " + ST.base_ctes() + ",\n" + ST.pop_ctes() + """,
+cell AS (SELECT c.member, r.label, list_transform(c.feats, lambda f: r.bins[f + 1] // 8) AS cell, count(*) AS n
+  FROM rows r JOIN cands c ON TRUE WHERE r.is_train GROUP BY ALL),
+given AS (SELECT member, label, n, -n * log2(n / sum(n) OVER (PARTITION BY member, cell)) AS bits FROM cell),
+per AS (SELECT member, label, sum(n) AS n, sum(bits) AS bits FROM given GROUP BY ALL),
+own AS (SELECT member, bits, -n * log2(n / sum(n) OVER (PARTITION BY member)) AS alone FROM per)
+SELECT member, round(1 - sum(bits) / sum(alone), 6) + 0.0 AS score FROM own GROUP BY member""")
+def q_subset_entropy(spark, sf):
+    """Closed-form score of the hashed population's masks: what share of the label's entropy they explain."""
+    from ..operators import fitness as FT
+    rows = M.random_masks(spark, ST.POP, ST.N, ST.P_INIT, ST.SEED).collect()  # population-sized
+    scores = FT.entropy_scores(spark, [tuple(r["mask"]) for r in rows], d_tree(spark, sf)[0])
+    return spark.createDataFrame([(r["member"], scores[tuple(r["mask"])]) for r in rows], "member int, score double")
+
+
 @register("majority_baseline", "WITH " + ST.base_ctes() + """,
 conf AS (SELECT CAST(label AS DOUBLE) AS label, 0.0 AS prediction, count(*) AS count FROM rows WHERE NOT is_train GROUP BY 1),
 act AS (SELECT label AS cls, sum(count) AS support, sum(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp FROM conf GROUP BY 1),
