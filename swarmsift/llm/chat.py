@@ -17,8 +17,10 @@ Defined results: null role or text: empty string; null or malformed JSON, or
 one that is no object: null turns; rows of one conversation with equal turn
 are ordered by role, then text; null turn sorts last; a repeated row is a turn
 of its own; null conversation ids form one conversation; an empty table gives
-an empty result.  One conversation is one output string, so its turns meet in
-one row; its size is the size of that string.
+an empty result; extra columns, whatever their names, are not read by
+``format_turns``.  One conversation is one output string, so its turns meet in
+one row; its size is the size of that string, and positions and cuts are made
+in blocks of turns, so that work does not grow with the square of the turns.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks, let, running
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = r"\\|<(?=\||/?s>)|\[(?=/?INST\])"
 
@@ -161,17 +165,15 @@ def format_turns(df: DataFrame, key: str, order: list[str], turns: str = "turns"
     piece = lambda x: F.concat(F.lit(TURN), x["__r"], F.lit(TEXT), x["__t"], F.lit(END))
     head = len(TURN) + len(TEXT)
     grouped = grouped.withColumn("formatted", F.array_join(F.transform("__all", piece), ""))
-    zero = F.struct(F.lit(0).cast("long").alias("pos"),
-                    F.array().cast("array<struct<start:bigint,n:bigint>>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + head + F.length(x["__r"])
-        n = F.length(x["__t"]).cast("long")
-        span = F.struct(start.cast("long").alias("start"), n.alias("n"))
-        return F.struct((start + n + len(END)).cast("long").alias("pos"),
-                        F.when(x["__a"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(every: Column) -> Column:
+        sizes = F.transform(every, lambda x: (head + F.length(x["__r"]) + F.length(x["__t"]) + len(END)).cast("bigint"))
+        placed = F.zip_with(every, running(sizes, lambda p, q: p + q), lambda x, at: F.struct(
+            x["__a"].alias("a"), F.struct((at + head + F.length(x["__r"])).alias("start"),
+                                          F.length(x["__t"]).cast("bigint").alias("n")).alias("span")))
+        return F.transform(F.filter(placed, lambda x: x["a"]), lambda x: x["span"])
 
-    return grouped.withColumn("loss_spans", F.aggregate("__all", zero, step)["spans"]).drop("__all")
+    return grouped.withColumn("loss_spans", let(F.col("__all"), spans)).drop("__all")
 
 
 def read_back(formatted: Column) -> Column:
@@ -184,9 +186,16 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(
-        F.substring(formatted, (s["start"] + 1).cast("int"), s["n"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    Spans are cut from the part of the string that a block of them covers."""
+    def block(part: Column) -> Column:
+        low, last = F.get(part, 0)["start"], F.element_at(part, -1)
+        body = F.substring(formatted, (low + 1).cast("int"), (last["start"] + last["n"] - low).cast("int"))
+        return let(body, lambda b: F.array_join(F.transform(part, lambda s: unescape(
+            F.substring(b, (s["start"] - low + 1).cast("int"), s["n"].cast("int")))), ""))
+
+    return F.array_join(F.transform(blocks(spans, 128), block), "")
 
 
 def digest(df: DataFrame, key: str) -> DataFrame:

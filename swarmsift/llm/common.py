@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, shuffle_partitions
 
 __all__ = ["cut_lineage", "scratch_path", "shuffle_partitions", "table", "groups_for", "batches",
-           "slices", "mix64", "gather_ranges"]
+           "slices", "mix64", "gather_ranges", "let", "blocks", "running"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -21,6 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def blocks(values: Column, size: int) -> Column:
+    """The array cut into arrays of ``size`` elements, the last one shorter; an empty array has none."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size))) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(values, at, size))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], size: int = 128) -> Column:
+    """For each element of an array of longs, ``add`` over all elements before it, from 0.
+
+    A fold that appends to an array copies it at every step.  Here folds run inside blocks of
+    ``size`` elements and over one total a block, so that n elements copy about size * n +
+    (n / size)^2 values instead of n^2."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("before"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(add(acc["total"], x).alias("total"),
+                        F.concat(acc["before"], F.array(acc["total"])).alias("before"))
+
+    def spread(folded: Column) -> Column:
+        totals = F.aggregate(F.transform(folded, lambda b: b["total"]), zero, step)["before"]
+        return F.flatten(F.zip_with(folded, totals, lambda b, t: F.transform(b["before"], lambda v: add(v, t))))
+
+    return let(values, lambda v: let(F.transform(blocks(v, size), lambda b: F.aggregate(b, zero, step)), spread))
+
+
 def groups_for(spark: SparkSession, rows: int, per_group: int) -> int:
     """Number of hash groups such that one holds about ``per_group`` rows; grows with the data."""
     return max(shuffle_partitions(spark), -(-rows // per_group))

@@ -5,24 +5,30 @@ non-overlapping per kind.  On top of them the method looks at every long mixed
 token, hashes the values of all candidates and counts over the whole corpus in
 how many repositories and by how many owners each value occurs:
 
-* ``example``: a value that at least ``example_owners`` owners carry, that is
-  a widely copied sample key;
-* ``live``: a value with a single owner, that is owner-specific;
+* ``example``: a value that at least ``example_owners`` owners or at least
+  ``example_repos`` repositories carry, that is a widely copied sample key,
+  also where a single owner copied it;
+* ``live``: a value with a single owner and at most ``live_repos``
+  repositories, that is owner-specific;
 * ``shared``: all values between.
 
 Base spans always stay; a mixed token outside every base span becomes a span
 of kind ``owned`` only if its value is live.
 
 Positions are code points, end exclusive.  They come from the lengths of the
-matches and of the gaps between them, so the text itself is never exploded,
+matches and of the gaps between them, added up in blocks (no fold appends to an
+array of all matches), so the text itself is never exploded,
 shuffled or copied: one pass reads it, writes the spans of each row to a small
 table, and the counts and joins work on that table.  Values occurring so often
 that one task could not take them (more than 1/200 of all candidates; there
 can be at most 200 of these) are matched by a broadcast, the rest by hash.
 
 Defined results: null or empty text: no spans; null owner: an owner of its
-own; repeated rows count once per row and each keep a result row; an empty
-table gives an empty result.
+own; null repository: a repository of its own for each owner; repeated rows are
+one repository and each keep a result row; very long texts and texts of many
+matches are read whole; spans that start alike are ordered by kind; extra
+columns, whatever their names, are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, with_row_id
+from .common import blocks, cut_lineage, let, running, with_row_id
 
 # The base patterns and least lengths of the contract.
 ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
@@ -40,25 +46,27 @@ HEX = "[0-9a-f]{24,}"  # maximal runs, so the same as [0-9a-f]+ of 24 or more
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "owned")
 MIXED = "[A-Za-z0-9+/_=-]{20,}"
+FAR = 1 << 40  # past every position in a text
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:bigint,keep:boolean>>"
 
 
 def _matches(text: Column, pattern: str, kind: int, keep, value) -> Column:
     """Spans of all matches of ``pattern``; ``keep`` and ``value`` map a matched string."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPAN).alias("out"))
+    def spans(pairs: Column) -> Column:
+        both = F.transform(pairs, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("bigint"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
-                        F.xxhash64(value(x["hit"])).alias("value"), F.lit(True).alias("keep"))
-        return F.struct(end.alias("pos"),
-                        F.when(keep(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        def span(x: Column, before: Column) -> Column:
+            start = before + F.length(x["gap"])
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["hit"])).alias("end"),
+                            F.xxhash64(value(x["hit"])).alias("value"), keep(x["hit"]).alias("keep"))
+        return F.filter(F.zip_with(pairs, running(both, lambda p, q: p + q), span), lambda s: s["keep"])
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    def pairs(hits: Column) -> Column:
+        return F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                lambda hits: F.when(F.size(hits) > 0, let(pairs(hits), spans)).otherwise(F.array().cast(SPAN)))
+    return found.cast(SPAN)
 
 
 def _secret_of(hit: Column) -> Column:
@@ -77,6 +85,17 @@ def base_spans(text: Column) -> Column:
         _matches(text, HEX, 2, lambda h: F.lit(True), lambda h: h))
 
 
+def _apart(spans: Column) -> Column:
+    """Of spans sorted by start and kind: the base ones, and the mixed ones that meet no base span.
+    Bases that start before a span or with it are judged by their greatest end, later ones by the next start."""
+    ends = F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0))
+    starts = F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 3, FAR - s["start"]).otherwise(0))
+    last, following = (running(x, lambda p, q: F.greatest(p, q)) for x in (ends, starts))
+    both = F.arrays_zip(spans.alias("s"), last.alias("last"), F.reverse(following).alias("next"))
+    met = lambda x: (x["last"] > x["s"]["start"]) | (FAR - x["next"] < x["s"]["end"])
+    return F.transform(F.filter(both, lambda x: (x["s"]["kind"] < 3) | ~met(x)), lambda x: x["s"])
+
+
 def ownership(cands: DataFrame) -> DataFrame:
     """Per value: ``repos``, ``owners`` and ``times`` over the whole corpus.
     Rows of one value and owner are summed before values meet."""
@@ -87,7 +106,8 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id",
-         carry: tuple[str, ...] = ("doc_id",), example_owners: int = 3) -> DataFrame:
+         carry: tuple[str, ...] = ("doc_id",), example_owners: int = 3, example_repos: int = 20,
+         live_repos: int = 5) -> DataFrame:
     """``carry`` columns, ``spans`` array<struct<start, kind, end, value, keep,
     status>> sorted by start and kind, one row per input row."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -96,17 +116,15 @@ def scan(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "
                      F.col(repo).cast("string").alias("repo"),
                      base_spans(body).alias("base"),
                      _matches(body, MIXED, 3, _mixed, lambda h: h).alias("mixed"))
-    inside = lambda m: F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    rows = rows.withColumn("mixed", F.filter("mixed", lambda m: ~inside(m)))
     rows = cut_lineage(with_row_id(rows.select(
         *[f"c{i}" for i in range(len(carry))], "owner", "repo",
-        F.concat("base", "mixed").alias("found")), "row"), "secret_spans")
+        let(F.array_sort(F.concat("base", "mixed")), _apart).alias("found")), "row"), "secret_spans")
 
     cands = rows.select("row", "owner", "repo", F.explode("found").alias("s")) \
         .select("row", "owner", "repo", "s", F.col("s.value").alias("value"))
     freq = cut_lineage(ownership(cands).withColumn(
-        "status", F.when(F.col("owners") >= example_owners, "example")
-        .when(F.col("owners") == 1, "live").otherwise("shared")), "secret_freq")
+        "status", F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example")
+        .when((F.col("owners") == 1) & (F.col("repos") <= live_repos), "live").otherwise("shared")), "secret_freq")
     total = freq.agg(F.sum("times")).first()[0] or 0
     heavy = freq.filter(F.col("times") * 200 > total)  # 200 rows at most
     marked = cands.select("row", "s", "value").join(
@@ -144,15 +162,25 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each union of overlapping spans replaced by ``mark``."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["pos"], F.concat(
-            F.substring(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit(mark))) \
-            .otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
-
-    done = F.aggregate(spans, zero, step)
-    tail = F.substring(text, (done["pos"] + 1).cast("int"), F.length(text).cast("int"))
-    return F.when(F.size(spans) > 0, F.concat(done["out"], tail)).otherwise(text)
+    """The text with each union of overlapping spans replaced by ``mark``.
+
+    A piece is the gap before a span and the mark; pieces are cut from the part of the text that a
+    block of spans covers, so that a text is passed once a block and not once a span."""
+    def cut(body: Column, at: Column, n: Column) -> Column:
+        return F.substring(body, (at + 1).cast("int"), n.cast("int"))
+
+    def block(part: Column) -> Column:
+        low = F.get(part, 0)["done"]
+        high = F.greatest(F.element_at(part, -1)["start"], low)
+        return let(cut(text, low, high - low), lambda body: F.array_join(F.transform(part, lambda x: F.when(
+            x["start"] >= x["done"], F.concat(cut(body, x["done"] - low, x["start"] - x["done"]), F.lit(mark)))
+            .otherwise(F.lit(""))), ""))
+
+    def whole(found: Column) -> Column:
+        done = running(F.transform(found, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
+        pieces = F.zip_with(found, done, lambda s, d: F.struct(s["start"].alias("start"), d.alias("done")))
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(blocks(pieces, 128), block), ""),
+                        cut(text, last, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(spans, whole)).otherwise(text)

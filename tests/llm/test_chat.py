@@ -74,3 +74,16 @@ def test_fields_of_later_messages_count(spark):
     record = {"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
     got = chat.canonical_turns(spark.createDataFrame([(json.dumps(record),)], "payload string")).first()
     assert [(t.role, t.text) for t in got.turns] == [("system", ""), ("user", "q"), ("assistant", "a")]
+
+
+def test_many_turns_in_one_conversation(spark):
+    """More turns than a block holds: spans and the text under the mask, each text once and in order."""
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i} \\ <|x [INST] \U0001f600" * (i % 4)) for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string") \
+        .withColumn("turns", F.array(F.struct("role", "text")))
+    out = chat.format_turns(df, "conv_id", ["turn"])
+    r = out.select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert r.l == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert len(r.loss_spans) == 350
+    for s, x in zip(r.loss_spans, [x for x in rows if x[2] == "assistant"], strict=True):
+        assert r.formatted[s.start:s.start + s.n].replace("\\", "") == x[3].replace("\\", "")

@@ -58,6 +58,58 @@ def test_ownership(spark):
     assert secret_scan.digest(secret_scan.scan(spark.createDataFrame([], "doc_id int, text string, source string"))).count() == 0
 
 
+def test_status_from_repositories_and_owners(spark):
+    """Against a count by hand: one owner is not enough to be live, nor are few owners to be no example."""
+    def key(i):
+        return f"AKIA{i:04d}QWERTYUIOPASDF"
+    # (owner, repositories) of each key
+    carried = [[("a", 1)], [("a", 5)], [("a", 6)], [("a", 25)], [("a", 1), ("b", 1)], [("a", 19), ("b", 1)],
+               [("a", 1), ("b", 1), ("c", 1)], [(None, 2)]]
+    rows, want = [], {}
+    for i, owners in enumerate(carried):
+        for owner, repos in owners:
+            rows += [(f"{i}-{owner}-{r}", f"key {key(i)} end", owner) for r in range(repos)]
+        repos = sum(n for _, n in owners)
+        want[key(i)] = ("example" if len(owners) >= 3 or repos >= 20 else
+                        "live" if len(owners) == 1 and repos <= 5 else "shared")
+    rows += rows[:1] * 30  # a repeated row is still one repository
+    rows += [(None, f"key {key(99)} end", "z")] * 2
+    want[key(99)] = "live"
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    out = secret_scan.scan(docs, carry=("doc_id", "text")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert [s.status for s in r.spans if s.kind == 1] == [want[r.text[4:26]]], r
+
+
+def test_many_spans_in_one_text(spark):
+    """Positions and redaction of more spans than a block holds, next to each other, overlapping and apart."""
+    import random
+    rnd = random.Random(3)
+    parts = ["token=abcdef ", "AKIA" + "Q7" * 10, "deadbeef" * 4, "secret=" + "deadbeef" * 4 + " ", " Zm9vYmFyMTIzNDU2Nzg5cXdlcnR5 ",
+             "é😀 ", "plain words ", " "]
+    text = "".join(rnd.choice(parts) for _ in range(1500))
+    docs = spark.createDataFrame([(1, text, "o"), (2, "token=abcdef" * 1, "o"), (3, None, None)],
+                                 "doc_id int, text string, source string")
+    found = secret_scan.scan(docs, carry=("doc_id", "text"))
+    rows = {r.doc_id: r for r in found.select("doc_id", "spans", secret_scan.redact(F.col("text"), F.col("spans")).alias("t"))
+            .collect()}
+    spans = rows[1].spans
+    base = brute(text)
+    assert [(s.start, s.kind, s.end) for s in spans if s.kind < 3] == base and len(spans) > 800
+    owned = [m.span() for m in re.finditer(secret_scan.MIXED, text)
+             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 12
+             and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert owned and [(s.start, s.end) for s in spans if s.kind == 3] == owned
+    want, pos = "", 0
+    for s in spans:
+        if s.start >= pos:
+            want += text[pos:s.start] + "[REDACTED]"
+        pos = max(pos, s.end)
+    assert rows[1].t == want + text[pos:]
+    assert rows[2].t == "[REDACTED]" and rows[3].t is None
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdef b AKIA" + "X" * 16 + "!", "o")], "doc_id int, text string, source string")
     got = df.join(secret_scan.scan(df), "doc_id").select(secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).first().t
