@@ -180,7 +180,7 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
         done = running(F.transform(found, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
         pieces = F.zip_with(found, done, lambda s, d: F.struct(s["start"].alias("start"), d.alias("done")))
         last = F.array_max(F.transform(found, lambda s: s["end"]))
-        return F.concat(F.array_join(F.transform(blocks(pieces, 128), block), ""),
+        return F.concat(let(pieces, lambda every: F.array_join(F.transform(blocks(every, 128), block), "")),
                         cut(text, last, F.length(text)))
 
     return F.when(F.size(spans) > 0, let(spans, whole)).otherwise(text)
