@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.rng import uniform
@@ -24,6 +24,7 @@ class ACOParams:
     max_evals: int = 300
     patience: int = 6
     p0: float | None = None     # inclusion probability of the strongest feature; None: k_max/n
+    heuristic: bool = False     # eta from information gain instead of 1.0 (matters when beta is not 0)
     reference_start: bool = False  # the reference's rule: p0 = 1 and patience counted per ant
 
 
@@ -31,6 +32,28 @@ def init_pheromone(features: DataFrame, tau0: float = 1.0, eta: float = 1.0) ->
     return features.select("feature_idx", F.lit(float(tau0)).alias("tau"), F.lit(float(eta)).alias("eta"))
 
 
+def information_gain(rows: DataFrame) -> DataFrame:
+    """(feature_idx, eta): what knowing a feature's bin takes off the entropy of the label, in bits
+    a row, rounded to 6 decimals.  ``rows`` has bins array<int> and label.
+
+    One count by (feature, bin, label), merged map-side; what follows has at most features x bins x
+    labels rows."""
+    n = rows.select("label", F.posexplode("bins").alias("feature_idx", "bin")) \
+        .groupBy("feature_idx", "bin", "label").agg(F.count("*").alias("n"))
+    given = -F.col("n") * F.log2(F.col("n") / F.sum("n").over(Window.partitionBy("feature_idx", "bin")))
+    per = n.withColumn("given", given).groupBy("feature_idx", "label").agg(
+        F.sum("n").alias("n"), F.sum("given").alias("given"))
+    alone = -F.col("n") * F.log2(F.col("n") / F.sum("n").over(Window.partitionBy("feature_idx")))
+    return per.withColumn("alone", alone).groupBy("feature_idx").agg(
+        (F.round((F.sum("alone") - F.sum("given")) / F.sum("n"), 6) + F.lit(0.0)).alias("eta"))
+
+
+def heuristic_pheromone(features: DataFrame, gain: DataFrame, tau0: float = 1.0) -> DataFrame:
+    """Starting pheromone with eta from ``gain``; 0.0 for a feature without rows."""
+    return features.select("feature_idx").join(gain, "feature_idx", "left").select(
+        "feature_idx", F.lit(float(tau0)).alias("tau"), F.coalesce("eta", F.lit(0.0)).alias("eta"))
+
+
 def probabilities(pher: DataFrame, alpha: float, beta: float, p0: float = 1.0) -> DataFrame:
     """p = p0 · clip(τ^α·η^β, 1e-12) / max, clipped to [1e-6, 1 − 1e-6].
     The max is one aggregate over the feature table.  With p0 = 1 (the

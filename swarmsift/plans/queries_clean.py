@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import col
 from ..operators import clean as C
 from ..operators import split as S
 from ..session import cut_lineage, scratch_path, shuffle_partitions
@@ -232,11 +233,14 @@ def q_feature_table(spark, sf):
     return S.feature_table(X.doc_features(spark, sf), exclude=("Label", "Target", "doc_id"))
 
 
-@register("csv_folder_scan",
-          DL_CTE + "SELECT nullif(COLUMNS(*), '') FROM (SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
-          + ", ".join(_d(n) for n in X.DL_ONLY_B) + ") FROM dl WHERE __file = 'a' AND \"Label\" != 'Label') "
-          "UNION ALL BY NAME SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
-          + ", ".join(_d(n) for n in X.DL_ONLY_A) + ") FROM dl WHERE __file = 'b' AND \"Label\" != 'Label'))")
+_FOLDER_SQL = (
+    DL_CTE + "SELECT nullif(COLUMNS(*), '') FROM (SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
+    + ", ".join(_d(n) for n in X.DL_ONLY_B) + ") FROM dl WHERE __file = 'a' AND \"Label\" != 'Label') "
+    "UNION ALL BY NAME SELECT * EXCLUDE (__file) FROM (SELECT * EXCLUDE ("
+    + ", ".join(_d(n) for n in X.DL_ONLY_A) + ") FROM dl WHERE __file = 'b' AND \"Label\" != 'Label'))")
+
+
+@register("csv_folder_scan", _FOLDER_SQL)
 def q_csv_folder_scan(spark, sf):
     """The same two files, found by listing their folder."""
     base = scratch_path(spark, "dl_folder")
@@ -244,6 +248,24 @@ def q_csv_folder_scan(spark, sf):
     return csvio.read_flow_csvs(spark, csvio.list_csv_files(spark, base))
 
 
+@register("csv_header_groups", _FOLDER_SQL)
+def q_csv_header_groups(spark, sf):
+    """The same rows in 24 files of three layouts (half of file a's rows in reversed column order):
+    one scan for each layout."""
+    base = scratch_path(spark, "dl_layouts")
+    df = cut_lineage(dl(spark, sf), "dl_layouts")
+    half = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(2)) == 0
+    cols = [c for c in df.columns if c != "__file"]
+    a_cols = [c for c in cols if c not in X.DL_ONLY_B]
+    b_cols = [c for c in cols if c not in X.DL_ONLY_A]
+    layouts = {"a1": (df.filter((col("__file") == "a") & half), a_cols),
+               "a2": (df.filter((col("__file") == "a") & ~half), a_cols[::-1]),
+               "b": (df.filter(col("__file") == "b"), b_cols[::-1])}
+    for name, (part, order) in layouts.items():
+        csvio.write_csv(part.select(*[col(c).alias(f" {c} ") for c in order]).repartition(8), f"{base}/{name}.csv")
+    return csvio.read_flow_csvs(spark, csvio.list_csv_files(spark, base))
+
+
 @register("csv_sink_8_files", "SELECT * FROM customer")
 def q_csv_sink_8_files(spark, sf):
     """The reference's eight-file form of the CSV sink, read back."""

@@ -354,6 +354,38 @@ def q_subset_entropy(spark, sf):
     return spark.createDataFrame([(r["member"], scores[tuple(r["mask"])]) for r in rows], "member int, score double")
 
 
+_GAIN = "WITH " + ST.base_ctes() + f""",
+cell AS (SELECT feature_idx, bin, label, count(*) AS n FROM (SELECT unnest(bins) AS bin, label,
+  unnest(list_transform(range({ST.N}), lambda i: CAST(i AS INTEGER))) AS feature_idx FROM rows WHERE is_train) GROUP BY ALL),
+given AS (SELECT feature_idx, label, n, -n * log2(n / sum(n) OVER (PARTITION BY feature_idx, bin)) AS bits FROM cell),
+per AS (SELECT feature_idx, label, sum(n) AS n, sum(bits) AS bits FROM given GROUP BY ALL),
+own AS (SELECT feature_idx, n, bits, -n * log2(n / sum(n) OVER (PARTITION BY feature_idx)) AS alone FROM per),
+gain AS (SELECT feature_idx, round((sum(alone) - sum(bits)) / sum(n), 6) + 0.0 AS eta FROM own GROUP BY feature_idx)
+"""
+
+
+def d_gain(spark, sf):
+    from ..operators.search import aco as ACO
+    return ACO.information_gain(d_tree(spark, sf)[0].rows.filter("is_train"))
+
+
+@register("aco_heuristic", _GAIN + "SELECT feature_idx, eta FROM gain")
+def q_aco_heuristic(spark, sf):
+    """Information gain of every feature over the train rows."""
+    return d_gain(spark, sf)
+
+
+@register("aco_probabilities_beta", _GAIN + """,
+sc AS (SELECT feature_idx, greatest(pow(1.0 + feature_idx / 8.0, 1.0) * pow(eta, 0.5), 1e-12) AS score FROM gain)
+SELECT feature_idx, least(greatest(0.6 * (score / (SELECT max(score) FROM sc)), 1e-6), 1 - 1e-6) AS p FROM sc""")
+def q_aco_probabilities_beta(spark, sf):
+    """Inclusion probabilities where pheromone, heuristic (beta 0.5) and the strongest feature's share all count."""
+    from ..operators.search import aco as ACO
+    gain = d_gain(spark, sf)
+    pher = ACO.heuristic_pheromone(gain, gain).withColumn("tau", 1.0 + F.col("feature_idx") / 8.0)
+    return ACO.probabilities(pher, 1.0, 0.5, 0.6)
+
+
 @register("majority_baseline", "WITH " + ST.base_ctes() + """,
 conf AS (SELECT CAST(label AS DOUBLE) AS label, 0.0 AS prediction, count(*) AS count FROM rows WHERE NOT is_train GROUP BY 1),
 act AS (SELECT label AS cls, sum(count) AS support, sum(CASE WHEN label = prediction THEN count ELSE 0 END) AS tp FROM conf GROUP BY 1),

@@ -234,28 +234,40 @@ def q_fpa_start(spark, sf):
     return R.repair_by_priority(m, e_order(spark, sf), 5, 9)
 
 
-@register("fpa_generation")
-def q_fpa_generation(spark, sf):
+def _fpa_generation(spark, sf, budget):
     pop = p_pop(spark, sf).select("member", "mask", "obj", "k")
     n_pop = pop.count()
     prm = FPA.FPAParams(pop_size=n_pop, elitism=1)
-    off = FPA.propose(pop, _gbest(spark, sf), prm, GEN, None)
+    off = FPA.propose(pop, _gbest(spark, sf), prm, GEN, budget(n_pop))
     off = off.withColumn("mask", R.repair_expr(F.col("mask"), e_order(spark, sf), 5, 9))
     sc = pseudo_scorer(SEED, "fpa.obj", GEN)(off.select(F.col("slot").alias("member"), "mask"))
     scored = off.join(sc.select(F.col("member").alias("slot"), "obj", "k"), "slot")
     return FPA.accept(FPA.elites(pop, 1), scored)
 
 
+@register("fpa_generation")
+def q_fpa_generation(spark, sf):
+    return _fpa_generation(spark, sf, lambda n: None)
+
+
+@register("fpa_generation_budget")
+def q_fpa_generation_budget(spark, sf):
+    """A generation whose budget ends half way: the slots past it copy members."""
+    return _fpa_generation(spark, sf, lambda n: n // 2)
+
+
 # ------------------------------------------------------------------ PSO
 
 PSO_PRM = PSO.PSOParams(swarm_size=3, iters=6, w=0.7, c1=1.4, c2=1.4, vmax=4.0, seed=SEED, restarts=6)
 
 
 def p_swarm(spark, sf):
-    p = p_pop(spark, sf)
-    s = PSO.start(spark, 0, N, SEED, 0, members=p)
-    return s.join(p.select("member", "obj", "k"), "member") \
-        .withColumn("pbest", F.col("mask")).withColumn("pbest_obj", F.col("obj")).withColumn("pbest_k", F.col("k"))
+    """Particles at hashed positions with hashed scores; their bests are the fixture's members, elsewhere."""
+    best = p_pop(spark, sf).select("member", F.col("mask").alias("pbest"), F.col("obj").alias("pbest_obj"),
+                                   F.col("k").alias("pbest_k"))
+    s = PSO.start(spark, 0, N, SEED, 0, members=best)
+    return s.join(best, "member").withColumn("obj", F.round(uniform(SEED, "pso.pos", F.col("member")), 6)) \
+        .withColumn("k", M.mask_size(F.col("mask")))
 
 
 @register("pso_start")
@@ -281,16 +293,26 @@ def q_pso_binarize(spark, sf):
     return moved.select("member", "cand")
 
 
-@register("pso_best_update")
-def q_pso_best_update(spark, sf):
+def _pso_update(spark, sf, greedy):
     sw = p_swarm(spark, sf)
     moved = PSO.step(sw, _pso_gbest(sw), N, PSO_PRM, GEN)
     sc = pseudo_scorer(SEED, "pso.obj", GEN)(moved.select("member", F.col("cand").alias("mask")))
     sc = sc.select("member", F.col("obj").alias("cand_obj"), F.col("k").alias("cand_k"))
-    return PSO.accept(moved.join(sc, "member"), greedy=False).select(
+    return PSO.accept(moved.join(sc, "member"), greedy=greedy).select(
         "member", "mask", "obj", "k", "pbest", "pbest_obj", "pbest_k")
 
 
+@register("pso_best_update")
+def q_pso_best_update(spark, sf):
+    return _pso_update(spark, sf, greedy=False)
+
+
+@register("pso_greedy_update")
+def q_pso_greedy_update(spark, sf):
+    """The move-only-if-better rule."""
+    return _pso_update(spark, sf, greedy=True)
+
+
 # ------------------------------------------------------------------ full runs on documents
 
 from . import runs  # noqa: E402,F401

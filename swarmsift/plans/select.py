@@ -141,6 +141,8 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
     t0 = time.time()
     feats = spark.createDataFrame([(i,) for i in range(n)], "feature_idx int")
     pher = ACO.init_pheromone(feats)
+    if prm.heuristic:
+        pher = cut_lineage(ACO.heuristic_pheromone(feats, ACO.information_gain(data.rows.filter("is_train"))))
     if init_mask is not None:
         start = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>")
     else:

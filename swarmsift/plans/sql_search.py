@@ -167,12 +167,13 @@ add("abc_roulette",
     "GROUP BY onlooker")
 
 _SW = (P_CTE + ", M AS " + masks_sql("P", 0.3, "pso.init", ("'0'",))
-       + f", SW AS (SELECT 0 AS restart, M.member, M.mask, P.obj, P.k, list_transform(range({N}), "
+       + f", SW AS (SELECT 0 AS restart, M.member, M.mask, P.mask AS pbest, P.obj AS pbest_obj, P.k AS pbest_k, "
+       f"round({U('pso.pos', 'M.member')}, 6) AS obj, CAST(list_sum(M.mask) AS INTEGER) AS k, list_transform(range({N}), "
        f"lambda j: {U('pso.vel', chr(39) + '0' + chr(39), 'M.member', 'j')} * 2.0 - 1.0) AS vel "
        "FROM M JOIN P USING (member)), "
-       "GB AS (SELECT mask AS gb FROM SW ORDER BY obj DESC, k ASC, member ASC LIMIT 1), "
+       "GB AS (SELECT pbest AS gb FROM SW ORDER BY pbest_obj DESC, pbest_k ASC, member ASC LIMIT 1), "
        f"VEL AS (SELECT SW.member, list_transform(range({N}), lambda d: least(greatest(0.7 * vel[d + 1] "
-       f"+ 1.4 * {U('pso.r1', 'restart', G, 'member', 'd')} * (mask[d + 1] - mask[d + 1]) "
+       f"+ 1.4 * {U('pso.r1', 'restart', G, 'member', 'd')} * (pbest[d + 1] - mask[d + 1]) "
        f"+ 1.4 * {U('pso.r2', 'restart', G, 'member', 'd')} * (gb[d + 1] - mask[d + 1]), -4.0), 4.0)) AS vel, "
        "restart FROM SW, GB)")
 add("pso_velocity", _SW + " SELECT member, vel FROM VEL")
@@ -215,15 +216,25 @@ add("fpa_start",
     "M2 AS (SELECT *, CAST(list_sum(mask) AS INTEGER) AS k FROM M), " + PO
     + f" SELECT member, {repair_sql(5, 9)} AS mask FROM M2, O")
 
-add("pso_best_update",
+_PSO_AC = (
     _SQL["pso_binarize"].replace(" SELECT member, CASE WHEN list_sum(raw) = 0", ", CD AS (SELECT member, CASE WHEN list_sum(raw) = 0", 1)
     + ")"
     + f", SC AS (SELECT CD.member, CD.cand, round({U('pso.obj', G, 'CD.member')}, 6) AS cand_obj, "
     "CAST(list_sum(CD.cand) AS INTEGER) AS cand_k FROM CD), "
-    "AC AS (SELECT SW.member, SW.mask AS pbest, SW.obj AS pbest_obj, SW.k AS pbest_k, SC.cand, SC.cand_obj, SC.cand_k, "
-    "(SC.cand_obj > SW.obj) OR (abs(SC.cand_obj - SW.obj) < 1e-12 AND SC.cand_k < SW.k) AS pb FROM SW JOIN SC USING (member)) "
-    "SELECT member, cand AS mask, cand_obj AS obj, cand_k AS k, CASE WHEN pb THEN cand ELSE pbest END AS pbest, "
-    "CASE WHEN pb THEN cand_obj ELSE pbest_obj END AS pbest_obj, CASE WHEN pb THEN cand_k ELSE pbest_k END AS pbest_k FROM AC")
+    "AC AS (SELECT SW.*, SC.cand, SC.cand_obj, SC.cand_k, "
+    "(cand_obj > obj) OR (abs(cand_obj - obj) < 1e-12 AND cand_k < k) AS better, "
+    "(cand_obj > pbest_obj) OR (abs(cand_obj - pbest_obj) < 1e-12 AND cand_k < pbest_k) AS pb FROM SW JOIN SC USING (member)) ")
+
+
+def _pso_new(move: str, best: str) -> str:
+    pick = ", ".join(f"CASE WHEN {when} THEN {new} ELSE {old} END AS {old}" for when, new, old in (
+        (move, "cand", "mask"), (move, "cand_obj", "obj"), (move, "cand_k", "k"),
+        (best, "cand", "pbest"), (best, "cand_obj", "pbest_obj"), (best, "cand_k", "pbest_k")))
+    return _PSO_AC + f"SELECT member, {pick} FROM AC"
+
+
+add("pso_best_update", _pso_new("TRUE", "pb"))
+add("pso_greedy_update", _pso_new("better", "better AND pb"))
 
 # ---------------------------------------------------------------- onlooker phase
 
@@ -291,3 +302,10 @@ add("fpa_generation",
 add("selected_features_text",
     P_CTE + ", B AS (SELECT mask FROM P ORDER BY obj DESC, member ASC LIMIT 1) "
     "SELECT printf('f%02d', i - 1) AS name FROM (SELECT unnest(mask) AS bit, unnest(range(1, 65)) AS i FROM B) WHERE bit = 1")
+
+# Slots from half the population on are past the budget: they copy member slot mod np and are never scored better.
+_PARENT = f"CAST(floor({U('fpa.parent', G, 'range')} * np) AS INTEGER) AS parent"
+add("fpa_generation_budget",
+    _SQL["fpa_generation"].replace(
+        _PARENT, "CAST(CASE WHEN range - 1 >= np // 2 THEN range % np ELSE " + _PARENT.removesuffix(" AS parent") + " END AS INTEGER) AS parent")
+    .replace("WHEN obj > parent_obj", "WHEN slot - 1 < (SELECT np FROM NP) // 2 AND obj > parent_obj"))
