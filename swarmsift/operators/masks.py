@@ -65,3 +65,10 @@ def hardcap_objective(f1: Column, k: Column, lam: float = 0.03, k_cap: int = 9,
 def greedy_accept(new_obj: Column, old_obj: Column, new_k: Column, old_k: Column) -> Column:
     """Better, or equal within 1e-12 with fewer bits."""
     return (new_obj > old_obj) | ((F.abs(new_obj - old_obj) < F.lit(1e-12)) & (new_k < old_k))
+
+
+def mask_key(mask):
+    """The bits of a mask packed into longs, 62 a long: a join key of a fraction of its size."""
+    starts = F.when(F.size(mask) > 0, F.sequence(F.lit(1), F.size(mask), F.lit(62))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.aggregate(
+        F.slice(mask, at, 62), F.lit(0).cast("bigint"), lambda key, bit: key * F.lit(2).cast("bigint") + bit))

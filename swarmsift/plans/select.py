@@ -2,7 +2,9 @@
 
 Each generation is: propose all candidates → score them together (memoised by mask) →
 accept → write the population as a parquet table under the checkpoint folder, so the loop
-survives executor loss and lineage stays one generation deep.  Only a 1-row state (best
+survives executor loss and lineage stays one generation deep.  With ``resume`` (a folder on
+shared storage) generations and scored masks are kept there, and a search goes on after the
+last complete generation it finds.  Only a 1-row state (best
 mask/objective, counters) and per-generation scalars come back to the driver.
 """
 
@@ -24,6 +26,7 @@ from ..operators.search import fpa as FPA
 from ..operators.search import pso as PSO
 from ..operators.search.common import dense
 from ..session import cut_lineage
+from .state import Generations, ScoreTable
 
 
 EVALUATORS = ("tree", "mllib", "entropy")
@@ -36,11 +39,12 @@ class Scorer:
     (F1 − λ·k − big·max(0, k − cap)).  ``evaluations`` counts every
     candidate handed in (the reference's budget unit), ``fits`` only the
     distinct new masks actually scored.  The memo maps mask → score; it is
-    bounded by the number of evaluations (population-sized per call)."""
+    bounded by the number of evaluations (population-sized per call).  With
+    ``resume`` it is a table in that folder instead, also of earlier searches."""
 
     def __init__(self, data: TR.TreeData, max_depth: int, lam: float = 0.01,
                  objective: str = "penalised", k_cap: int = 9, big_penalty: float = 0.10,
-                 metric: str = "f1", evaluator: str = "tree", parallelism: int = 8):
+                 metric: str = "f1", evaluator: str = "tree", parallelism: int = 8, resume: str | None = None):
         self.data, self.depth, self.lam = data, max_depth, lam
         # "tree": path-keyed trees of the whole population together; "mllib": a fit per mask;
         # "entropy": the closed-form score, without trees.
@@ -50,11 +54,23 @@ class Scorer:
         self.objective, self.k_cap, self.big = objective, k_cap, big_penalty
         self.metric = metric
         self.memo: dict = {}
+        self.table = None
+        if resume:
+            run = f"{evaluator}/{metric}/{max_depth}/{','.join(data.features)}"
+            self.table = ScoreTable(data.rows.sparkSession, f"{resume.rstrip('/')}/scores", run)
         self.evaluations = 0
         self.fits = 0
 
     def __call__(self, cands: DataFrame) -> DataFrame:
         spark = cands.sparkSession
+        if self.table:
+            cands = cut_lineage(cands, "candidates")
+            self.evaluations += cands.count()
+            new = sorted(tuple(r["mask"]) for r in self.table.unscored(cands).collect())  # population-sized
+            if new:
+                self.fits += len(new)
+                self.table.append(self._score(spark, new))
+            return self.table.join(cands).withColumnRenamed("score", "f1").withColumn("obj", self._objective())
         rows = cands.select("member", "mask").collect()  # population-sized
         self.evaluations += len(rows)
         new = sorted({tuple(r["mask"]) for r in rows} - set(self.memo))
@@ -91,17 +107,34 @@ def _best(pop: DataFrame) -> dict:
     return {"mask": list(r["mask"]), "obj": float(r["obj"]), "k": int(r["k"])}
 
 
-def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4) -> dict:
+def _kept(resume: str | None, data: TR.TreeData, algo: str, prm, iters: str, **more) -> Generations | None:
+    """The generations folder of a resumable search; the number of iterations may change."""
+    if not resume:
+        return None
+    settings = {"algo": algo, "features": list(data.features), **asdict(prm), **more}
+    del settings[iters]
+    return Generations(data.rows.sparkSession, f"{resume.rstrip('/')}/{algo}", settings)
+
+
+def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4, evaluator: str = "tree",
+               resume: str | None = None) -> dict:
     spark = data.rows.sparkSession
     n = len(data.features)
-    score = Scorer(data, max_depth, prm.lam)
+    score = Scorer(data, max_depth, prm.lam, evaluator=evaluator, resume=resume)
+    kept = _kept(resume, data, "abc", prm, "max_iters", max_depth=max_depth, evaluator=evaluator)
     t0 = time.time()
-    pop = M.random_masks(spark, prm.num_bees, n, prm.init_p, prm.seed, "abc.init")
-    pop = score(pop).select("member", "mask", "obj", "k", F.lit(0).alias("trials"))
-    pop = cut_lineage(dense(pop))
-    best = _best(pop)
-    history = [{"iter": 0, "best_obj": best["obj"], "best_k": best["k"]}]
-    for it in range(1, prm.max_iters + 1):
+    done = 0
+    if kept and (saved := kept.latest(prm.max_iters)):
+        done, pop, state = saved
+        best, history = state["best"], state["history"]
+        score.evaluations, score.fits = state["evaluations"], state["fits"]
+    else:
+        pop = M.random_masks(spark, prm.num_bees, n, prm.init_p, prm.seed, "abc.init")
+        pop = score(pop).select("member", "mask", "obj", "k", F.lit(0).alias("trials"))
+        pop = cut_lineage(dense(pop))
+        best = _best(pop)
+        history = [{"iter": 0, "best_obj": best["obj"], "best_k": best["k"]}]
+    for it in range(done + 1, prm.max_iters + 1):
         nb = ABC.neighbours(pop, n, prm.seed, it)
         sc = score(nb.select("member", F.col("cand").alias("mask"))).select(
             "member", F.col("mask").alias("cand"), F.col("obj").alias("cand_obj"), F.col("k").alias("cand_k"))
@@ -123,6 +156,8 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4) -> dic
         if b["obj"] > best["obj"]:
             best = b
         history.append({"iter": it, "best_obj": best["obj"], "best_k": best["k"]})
+        if kept:
+            pop = kept.save(it, pop, {"best": best, "history": history, "evaluations": score.evaluations, "fits": score.fits})
     return {"algo": "abc", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
             "evaluations": score.evaluations, "fits": score.fits, "iters": prm.max_iters, "lambda": prm.lam,
             "elapsed_search_sec": time.time() - t0, "params": asdict(prm)}
@@ -130,27 +165,37 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4) -> dic
 
 def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: float = 0.01,
                ordv: list | None = None, k_min: int = 5, k_max: int = 10,
-               init_mask: list | None = None) -> dict:
+               init_mask: list | None = None, evaluator: str = "tree", resume: str | None = None) -> dict:
     if not data.features:
         raise ValueError("ACO needs at least one feature")
     spark = data.rows.sparkSession
     n = len(data.features)
     ordv = ordv or list(range(n))
     p0 = 1.0 if prm.reference_start else (min(1.0, k_max / n) if prm.p0 is None else prm.p0)
-    score = Scorer(data, max_depth, lam)
+    score = Scorer(data, max_depth, lam, evaluator=evaluator, resume=resume)
+    kept = _kept(resume, data, "aco", prm, "iters", max_depth=max_depth, lam=lam, ordv=ordv, k_min=k_min, k_max=k_max,
+                 init_mask=init_mask, evaluator=evaluator)
     t0 = time.time()
-    feats = spark.createDataFrame([(i,) for i in range(n)], "feature_idx int")
-    pher = ACO.init_pheromone(feats)
-    if prm.heuristic:
-        pher = cut_lineage(ACO.heuristic_pheromone(feats, ACO.information_gain(data.rows.filter("is_train"))))
-    if init_mask is not None:
-        start = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>")
+    done = 0
+    if kept and (saved := kept.latest(prm.iters)):
+        done, pher, state = saved
+        best, evals, no_improve, history = (state[x] for x in ("best", "evals", "no_improve", "history"))
+        score.fits = state["fits"]
     else:
-        start = ACO.start_mask(spark, n, k_min, prm.seed).select(F.lit(0).alias("member"), "mask")
-    start = R.repair_by_priority(start, ordv, k_min, k_max)
-    best = _best(score(start))
-    evals, no_improve, history = 1, 0, [best["obj"]]
-    for it in range(prm.iters):
+        feats = spark.createDataFrame([(i,) for i in range(n)], "feature_idx int")
+        pher = ACO.init_pheromone(feats)
+        if prm.heuristic:
+            pher = cut_lineage(ACO.heuristic_pheromone(feats, ACO.information_gain(data.rows.filter("is_train"))))
+        if init_mask is not None:
+            start = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>")
+        else:
+            start = ACO.start_mask(spark, n, k_min, prm.seed).select(F.lit(0).alias("member"), "mask")
+        start = R.repair_by_priority(start, ordv, k_min, k_max)
+        best = _best(score(start))
+        evals, no_improve, history = 1, 0, [best["obj"]]
+    for it in range(done, prm.iters):
+        if it and (evals >= prm.max_evals or no_improve >= prm.patience):
+            break
         probs = ACO.probabilities(pher, prm.alpha, prm.beta, p0)
         ants = ACO.ants(spark, probs, prm.num_ants, prm.seed, it)
         left = prm.max_evals - evals
@@ -169,8 +214,9 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
             no_improve = 0 if best["obj"] > before else no_improve + 1
         pher = cut_lineage(ACO.update(pher, scored, best["mask"], best["obj"], prm.rho, prm.q))
         history.append(best["obj"])
-        if evals >= prm.max_evals or no_improve >= prm.patience:
-            break
+        if kept:
+            pher = kept.save(it + 1, pher, {"best": best, "evals": evals, "no_improve": no_improve, "history": history,
+                                            "fits": score.fits})
     return {"algo": "aco", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
             "evaluations": evals, "fits": score.fits, "iters": prm.iters, "lambda": lam,
             "elapsed_search_sec": time.time() - t0, "params": asdict(prm)}
@@ -178,21 +224,31 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
 
 def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam: float = 0.01,
                ordv: list | None = None, k_min: int = 5, k_max: int = 9,
-               init_mask: list | None = None) -> dict:
+               init_mask: list | None = None, evaluator: str = "tree", resume: str | None = None) -> dict:
     spark = data.rows.sparkSession
     n = len(data.features)
     ordv = ordv or list(range(n))
-    score = Scorer(data, max_depth, lam)
+    score = Scorer(data, max_depth, lam, evaluator=evaluator, resume=resume)
+    kept = _kept(resume, data, "fpa", prm, "iters", max_depth=max_depth, lam=lam, ordv=ordv, k_min=k_min, k_max=k_max,
+                 init_mask=init_mask, evaluator=evaluator)
     t0 = time.time()
-    n_rand = prm.pop_size - (1 if init_mask is not None else 0)
-    pop = FPA.init_masks(spark, n_rand, n, prm.init_k, prm.seed, 1 if init_mask is not None else 0)
-    if init_mask is not None:
-        pop = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>").unionByName(pop)
-    pop = R.repair_by_priority(pop, ordv, k_min, k_max)
-    pop = cut_lineage(score(pop).select("member", "mask", "obj", "k"))
-    best = _best(pop)
-    n_eval, no_improve, history, stopped = prm.pop_size, 0, [best["obj"]], False
-    for it in range(prm.iters):
+    done = 0
+    if kept and (saved := kept.latest(prm.iters)):
+        done, pop, state = saved
+        best, n_eval, no_improve, history = (state[x] for x in ("best", "n_eval", "no_improve", "history"))
+        score.fits = state["fits"]
+    else:
+        n_rand = prm.pop_size - (1 if init_mask is not None else 0)
+        pop = FPA.init_masks(spark, n_rand, n, prm.init_k, prm.seed, 1 if init_mask is not None else 0)
+        if init_mask is not None:
+            pop = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>").unionByName(pop)
+        pop = R.repair_by_priority(pop, ordv, k_min, k_max)
+        pop = cut_lineage(score(pop).select("member", "mask", "obj", "k"))
+        best = _best(pop)
+        n_eval, no_improve, history = prm.pop_size, 0, [best["obj"]]
+    for it in range(done, prm.iters):
+        if it and prm.patience is not None and no_improve >= prm.patience:
+            break
         if prm.max_evals is not None and n_eval >= prm.max_evals:
             break
         el = FPA.elites(pop, prm.elitism)
@@ -213,8 +269,9 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
         else:
             no_improve += 1
         history.append(best["obj"])
-        if prm.patience is not None and no_improve >= prm.patience:
-            break
+        if kept:
+            pop = kept.save(it + 1, pop, {"best": best, "n_eval": n_eval, "no_improve": no_improve, "history": history,
+                                          "fits": score.fits})
     stopped = (prm.patience is not None and no_improve >= prm.patience) or \
         (prm.max_evals is not None and n_eval >= prm.max_evals)
     return {"algo": "fpa", "best_mask": best["mask"], "best_obj": best["obj"], "history": history,
@@ -224,27 +281,37 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
 
 def select_pso(data: TR.TreeData, prm: PSO.PSOParams, max_depth: int = 2, lam: float = 0.03,
                rank_ordv: list | None = None, k_cap: int = 9, big_penalty: float = 0.10,
-               legacy_objective: bool = False) -> dict:
+               legacy_objective: bool = False, evaluator: str = "tree", resume: str | None = None) -> dict:
     """All restarts are one population keyed by (restart, member).
     ``legacy_objective=True`` reproduces the reference's k − 0.03·k score."""
     spark = data.rows.sparkSession
     n = len(data.features)
     rank_ordv = rank_ordv or list(range(n))
-    score = Scorer(data, max_depth, lam, "legacy_hardcap" if legacy_objective else "hardcap", k_cap, big_penalty)
+    score = Scorer(data, max_depth, lam, "legacy_hardcap" if legacy_objective else "hardcap", k_cap, big_penalty,
+                   evaluator=evaluator, resume=resume)
+    kept = _kept(resume, data, "pso", prm, "iters", max_depth=max_depth, lam=lam, rank_ordv=rank_ordv, k_cap=k_cap,
+                 big_penalty=big_penalty, legacy_objective=legacy_objective, evaluator=evaluator)
     t0 = time.time()
-    sw = None
-    for r in range(prm.restarts):
-        s = PSO.start(spark, prm.swarm_size, n, prm.seed, r)
-        sw = s if sw is None else sw.unionByName(s)
-    sw = sw.withColumn("mask", R.repair_cap_expr(F.col("mask"), rank_ordv, k_cap))
-    sw = sw.withColumn("pid", F.col("restart") * F.lit(prm.swarm_size) + F.col("member"))
-    sc = score(sw.select(F.col("pid").alias("member"), "mask")).select(F.col("member").alias("pid"), "obj", "k")
-    sw = sw.join(sc, "pid").withColumn("pbest", F.col("mask")).withColumn("pbest_obj", F.col("obj")) \
-        .withColumn("pbest_k", F.col("k"))
-    sw = cut_lineage(sw)
-    gb = cut_lineage(PSO.gbest_of(sw))
-    history = [{"iter": 0, "best_obj": float(gb.agg(F.max("gbest_obj")).first()[0])}]
-    for it in range(1, prm.iters + 1):
+    done = 0
+    if kept and (saved := kept.latest(prm.iters)):
+        done, sw, state = saved
+        history = state["history"]
+        score.evaluations, score.fits = state["evaluations"], state["fits"]
+        gb = cut_lineage(PSO.gbest_of(sw))
+    else:
+        sw = None
+        for r in range(prm.restarts):
+            s = PSO.start(spark, prm.swarm_size, n, prm.seed, r)
+            sw = s if sw is None else sw.unionByName(s)
+        sw = sw.withColumn("mask", R.repair_cap_expr(F.col("mask"), rank_ordv, k_cap))
+        sw = sw.withColumn("pid", F.col("restart") * F.lit(prm.swarm_size) + F.col("member"))
+        sc = score(sw.select(F.col("pid").alias("member"), "mask")).select(F.col("member").alias("pid"), "obj", "k")
+        sw = sw.join(sc, "pid").withColumn("pbest", F.col("mask")).withColumn("pbest_obj", F.col("obj")) \
+            .withColumn("pbest_k", F.col("k"))
+        sw = cut_lineage(sw)
+        gb = cut_lineage(PSO.gbest_of(sw))
+        history = [{"iter": 0, "best_obj": float(gb.agg(F.max("gbest_obj")).first()[0])}]
+    for it in range(done + 1, prm.iters + 1):
         moved = PSO.step(sw, gb, n, prm, it)
         moved = moved.withColumn("cand", R.repair_cap_expr(F.col("cand"), rank_ordv, k_cap))
         moved = cut_lineage(moved)
@@ -254,6 +321,8 @@ def select_pso(data: TR.TreeData, prm: PSO.PSOParams, max_depth: int = 2, lam: f
         sw = cut_lineage(sw.withColumn("pid", F.col("restart") * F.lit(prm.swarm_size) + F.col("member")))
         gb = cut_lineage(PSO.gbest_of(sw))
         history.append({"iter": it, "best_obj": float(gb.agg(F.max("gbest_obj")).first()[0])})
+        if kept:
+            sw = kept.save(it, sw, {"history": history, "evaluations": score.evaluations, "fits": score.fits})
     # best over restarts, strict > in restart order
     rows = gb.orderBy("restart").collect()  # one row per restart
     best = None
