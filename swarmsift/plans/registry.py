@@ -50,4 +50,4 @@ def _load():
     global _loaded
     if not _loaded:
         _loaded = True
-        from . import queries_clean, queries_model, queries_search, sql_search  # noqa: F401
+        from . import queries_clean, queries_model, queries_search, queries_two_gen, sql_search  # noqa: F401

@@ -130,20 +130,20 @@ PO = (FE + ", po AS (SELECT fe.feature_idx, CAST(row_number() OVER (ORDER BY pr.
       "O AS (SELECT list(ord ORDER BY feature_idx) AS o FROM po)")
 
 
-def _rank(bit):
-    return (f"len(list_filter(range({N}), lambda j: mask[j + 1] = {bit} AND o[j + 1] < o[i + 1]))")
+def _rank(bit, n=N):
+    return (f"len(list_filter(range({n}), lambda j: mask[j + 1] = {bit} AND o[j + 1] < o[i + 1]))")
 
 
-def repair_sql(kmin, kmax):
+def repair_sql(kmin, kmax, n=N):
     tmin = max(1, kmin)
-    return (f"CASE WHEN k > {kmax} THEN list_transform(range({N}), lambda i: CAST(mask[i + 1] = 1 AND "
-            f"{_rank(1)} < {kmax} AS INTEGER)) WHEN k < {tmin} THEN list_transform(range({N}), lambda i: "
-            f"CAST(mask[i + 1] = 1 OR {_rank(0)} < ({tmin} - k) AS INTEGER)) ELSE mask END")
+    return (f"CASE WHEN k > {kmax} THEN list_transform(range({n}), lambda i: CAST(mask[i + 1] = 1 AND "
+            f"{_rank(1, n)} < {kmax} AS INTEGER)) WHEN k < {tmin} THEN list_transform(range({n}), lambda i: "
+            f"CAST(mask[i + 1] = 1 OR {_rank(0, n)} < ({tmin} - k) AS INTEGER)) ELSE mask END")
 
 
-def cap_sql(cap):
-    return (f"CASE WHEN k = 0 THEN list_transform(range({N}), lambda i: CAST({_rank(0)} < {cap} AS INTEGER)) "
-            f"WHEN k > {cap} THEN list_transform(range({N}), lambda i: CAST(mask[i + 1] = 1 AND {_rank(1)} < {cap} "
+def cap_sql(cap, n=N):
+    return (f"CASE WHEN k = 0 THEN list_transform(range({n}), lambda i: CAST({_rank(0, n)} < {cap} AS INTEGER)) "
+            f"WHEN k > {cap} THEN list_transform(range({n}), lambda i: CAST(mask[i + 1] = 1 AND {_rank(1, n)} < {cap} "
             "AS INTEGER)) ELSE mask END")
 
 
@@ -239,17 +239,17 @@ add("pso_greedy_update", _pso_new("better", "better AND pb"))
 # ---------------------------------------------------------------- onlooker phase
 
 
-def _nb_ctes(src: str, keys: tuple, sfx: str) -> str:
+def _nb_ctes(src: str, keys: tuple, sfx: str, n: int = N) -> str:
     """ABC neighbour move over ``src`` (columns x, y + keys) as CTEs."""
-    j = f"CAST(floor({U('abc.nb.j', *keys)} * {N}) AS INTEGER)"
-    k2 = f"CAST(floor({U('abc.nb.k', *keys)} * {N}) AS INTEGER)"
-    fix = f"CAST(floor({U('abc.nb.fix', *keys)} * {N}) AS INTEGER)"
-    return (f"A{sfx} AS (SELECT *, list_transform(range({N}), lambda i: CASE WHEN i = {j} THEN "
+    j = f"CAST(floor({U('abc.nb.j', *keys)} * {n}) AS INTEGER)"
+    k2 = f"CAST(floor({U('abc.nb.k', *keys)} * {n}) AS INTEGER)"
+    fix = f"CAST(floor({U('abc.nb.fix', *keys)} * {n}) AS INTEGER)"
+    return (f"A{sfx} AS (SELECT *, list_transform(range({n}), lambda i: CASE WHEN i = {j} THEN "
             f"(CASE WHEN {U('abc.nb.c', *keys)} < 0.5 THEN y[i + 1] ELSE 1 - x[i + 1] END) ELSE x[i + 1] END) AS v1 "
             f"FROM {src}), "
-            f"B{sfx} AS (SELECT *, CASE WHEN {U('abc.nb.p', *keys)} < 0.1 THEN list_transform(range({N}), "
+            f"B{sfx} AS (SELECT *, CASE WHEN {U('abc.nb.p', *keys)} < 0.1 THEN list_transform(range({n}), "
             f"lambda i: CASE WHEN i = {k2} THEN 1 - v1[i + 1] ELSE v1[i + 1] END) ELSE v1 END AS v2 FROM A{sfx}), "
-            f"C{sfx} AS (SELECT *, CASE WHEN list_sum(v2) = 0 THEN list_transform(range({N}), lambda i: CASE WHEN "
+            f"C{sfx} AS (SELECT *, CASE WHEN list_sum(v2) = 0 THEN list_transform(range({n}), lambda i: CASE WHEN "
             f"i = {fix} THEN 1 ELSE v2[i + 1] END) ELSE v2 END AS cand FROM B{sfx})")
 
 
