@@ -84,3 +84,26 @@ def test_an_id_with_two_vectors_links_for_both(spark):
     rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, (a * 1.001).tolist(), 0), (3, (b + 1e-4).tolist(), 0), (9, (-a).tolist(), 0)]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]
+
+
+@pytest.mark.parametrize("dims", [4, 8, 18])
+def test_recall_of_tables_and_count_at_the_threshold(dims):
+    """Pairs at cosine 0.98 exactly: they share a cell of some table, and collide often enough."""
+    rng = np.random.default_rng(dims)
+    tables, half = E.tables_for(dims), E.SIGMAS * 0.2
+    least = E.needed(E.COUNTED, 0.9973)
+    met = enough = 0
+    for _ in range(10):
+        a = rng.standard_normal((1000, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((1000, 64))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        p, q = (E._project(x.tolist(), tables, dims) for x in (a, b))
+        met += (E._cells(p, tables, dims, half) == E._cells(q, tables, dims, half)).any(1).sum()
+        enough += ((np.abs(p - q)[:, :E.COUNTED] <= half).sum(1) >= least).sum()
+    assert met >= 9990 and enough >= 9990
+
+
+def test_cells_per_vector_are_the_tables():
+    assert [E.tables_for(E.dims_for(n)) for n in (64_000, 10 ** 6, 10 ** 9)] == [7, 11, 27]
