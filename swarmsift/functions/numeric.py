@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +21,19 @@ def col(name: str) -> Column:
     return F.col(q(name))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.  Chains of casts and filters stay as long as they
+    read, where Spark would put a copy of the value at every mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tolerant_double_typed(c: Column, is_double: bool) -> Column:
     """:func:`tolerant_double` specialised by input type.  On a double the
     string form matches an infinity spelling exactly when the value is ±∞
     (NaN prints as "nan", finite values never match), so the string
     round-trip is replaced by two comparisons — same result, far cheaper."""
     if is_double:
-        return F.when(c.isin(float("inf"), float("-inf")), F.lit(None).cast("double")).otherwise(c)
+        return let(c, lambda v: F.when(v.isin(float("inf"), float("-inf")), F.lit(None).cast("double")).otherwise(v))
     return tolerant_double(c)
 
 
@@ -37,7 +45,7 @@ def tolerant_double(c: Column) -> Column:
     NULL and keeps NaN — exactly what running the reference's helper twice
     does.
     """
-    blanked = F.when(F.lower(c).isin(*INFINITY_SPELLINGS), F.lit(None)).otherwise(c)
+    blanked = let(c, lambda v: F.when(F.lower(v).isin(*INFINITY_SPELLINGS), F.lit(None)).otherwise(v))
     return blanked.try_cast("double")
 
 

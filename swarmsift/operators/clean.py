@@ -60,21 +60,21 @@ def filter_nonneg(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
         return df
     df = try_cast_double(df, name)
-    return df.filter(col(name).isNull() | (col(name) >= 0))
+    return df.filter(F.coalesce(col(name) >= 0, F.lit(True)))
 
 
 def filter_nonzero(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
         return df
     df = try_cast_double(df, name)
-    return df.filter(col(name).isNull() | (col(name) != 0))
+    return df.filter(F.coalesce(col(name) != 0, F.lit(True)))
 
 
 def filter_not_nan(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
         return df
     df = try_cast_double(df, name)
-    return df.filter(col(name).isNull() | ~F.isnan(col(name)))
+    return df.filter(~F.isnan(col(name)))  # isnan of NULL is false
 
 
 def drop_null_critical(df: DataFrame, names=None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col
 from ..operators import clean as C
 from ..operators import split as S
-from ..session import cut_lineage, scratch_path, shuffle_partitions
+from ..session import cut_lineage, scratch_path
 from ..sources import csvio
 from ..sources import fixtures as X
 from ..sources.sqlgen import qi
@@ -64,11 +64,11 @@ def session_key(spark):
 
 def dl(spark, sf):
     """The dirty string view stands in for a raw CSV scan: it is written
-    once per session (parquet under the checkpoint folder, spread over the
-    shuffle width) so the cleaning plans run over a plain scan."""
+    once per session (parquet under the checkpoint folder, a file for each
+    task of the scan: no shuffle) so the cleaning plans run over a plain scan."""
     key = (session_key(spark), sf)
     if key not in _DL:
-        _DL[key] = cut_lineage(X.dirty_lineitem(spark, sf).repartition(shuffle_partitions(spark)), "dl")
+        _DL[key] = cut_lineage(X.dirty_lineitem(spark, sf), "dl")
     return _DL[key]
 
 
@@ -250,10 +250,12 @@ def q_csv_folder_scan(spark, sf):
 
 @register("csv_header_groups", _FOLDER_SQL)
 def q_csv_header_groups(spark, sf):
-    """The same rows in 24 files of three layouts (half of file a's rows in reversed column order):
-    one scan for each layout."""
+    """The same rows in 24 files or more of three layouts (half of file a's rows in reversed column
+    order): one scan for each layout.  Each task writes its own files; only a table read in fewer
+    than eight tasks is dealt to eight."""
     base = scratch_path(spark, "dl_layouts")
-    df = cut_lineage(dl(spark, sf), "dl_layouts")
+    df = dl(spark, sf)
+    spread = df.rdd.getNumPartitions() < 8
     half = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(2)) == 0
     cols = [c for c in df.columns if c != "__file"]
     a_cols = [c for c in cols if c not in X.DL_ONLY_B]
@@ -262,7 +264,8 @@ def q_csv_header_groups(spark, sf):
                "a2": (df.filter((col("__file") == "a") & ~half), a_cols[::-1]),
                "b": (df.filter(col("__file") == "b"), b_cols[::-1])}
     for name, (part, order) in layouts.items():
-        csvio.write_csv(part.select(*[col(c).alias(f" {c} ") for c in order]).repartition(8), f"{base}/{name}.csv")
+        part = part.select(*[col(c).alias(f" {c} ") for c in order])
+        csvio.write_csv(part.repartition(8) if spread else part, f"{base}/{name}.csv")
     return csvio.read_flow_csvs(spark, csvio.list_csv_files(spark, base))
 
 

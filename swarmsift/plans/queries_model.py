@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform
 from ..operators import discretize as Z
 from ..operators import split as S
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as X
 from ..sources import sqlgen as g
 from .registry import register
@@ -124,9 +124,10 @@ def _dirty(where="TRUE"):
 
 
 def dirty_frame(spark, sf):
-    """All-string columns with NaN, ∞, blanks, words and NULLs, and a column of NULLs."""
-    return X.dirty_lineitem(spark, sf).select(*[F.col(f"`{c}`") for c in DIRTY_DISC],
-                                              F.lit(None).cast("string").alias("nothing"))
+    """All-string columns with NaN, ∞, blanks, words and NULLs, and a column of NULLs; written
+    once, as fitting cuts reads them several times."""
+    return cut_lineage(X.dirty_lineitem(spark, sf).select(*[F.col(f"`{c}`") for c in DIRTY_DISC],
+                                                          F.lit(None).cast("string").alias("nothing")), "dirty")
 
 
 DIRTY_ALL = [*DIRTY_DISC, "nothing"]
@@ -167,7 +168,6 @@ def q_clean_split_discretize(spark, sf):
     """The whole path on the dirty table: clean, binarize, split, fit cuts on the
     train rows, bucketize both splits, project."""
     from ..operators import clean as C
-    from ..session import cut_lineage
     from .queries_clean import dl_clean_input
     df = S.binarize_target(C.clean_pipeline(dl_clean_input(spark, sf)))
     df = df.withColumn("is_train", uniform(13, "csd.split", *[F.col(f"`{c}`") for c in CSD_KEYS]) < F.lit(0.8))

@@ -9,9 +9,11 @@ fixture does not depend on partitioning.  Fixtures grow with the tables.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sqlgen as g
 
@@ -226,9 +228,36 @@ def sql_select(exprs: list, source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {g.qi(n, 'duckdb')}" for n, e in exprs) + f" FROM {source}"
 
 
+def _below(digits: str, rate: float) -> str:
+    """Whether the uniform of eight hex digits is below ``rate``, without making the number."""
+    least = math.ceil(rate * 2 ** 32 - 0.5)  # (n + 0.5) / 2^32 is exact
+    return f"{digits} < '{least:08x}'"
+
+
 def dirty_lineitem(spark, sf_dir) -> DataFrame:
-    stage1 = _render(spark, read(spark, sf_dir, "lineitem"), dirty_lineitem_exprs("spark", 1))
-    return _render(spark, stage1, dirty_lineitem_exprs("spark", 2))
+    """The rows of :func:`dirty_lineitem_sql`.  Each digest is made once a row; a number is made
+    of its digits only for the rows that get a token."""
+    keys = ", ".join(f"CAST({k} AS STRING)" for k in LINEITEM_KEY)
+    tags = ["dl.meta"] + [f"dl.dirt{i}" for i in range(-(-len(DL_NUMERIC) // 4))]
+    rows = read(spark, sf_dir, "lineitem").select("*", *[
+        F.expr(f"md5(concat_ws(':', '7', '{t}', {keys}))").alias(f"__{t}") for t in tags])
+
+    def digits(tag, chunk):
+        return f"substring(`__{tag}`, {1 + 8 * chunk}, 8)"
+    header = digits("dl.meta", 0)
+    out = [("Label", f"CASE WHEN {_below(header, 0.004)} THEN 'Label' WHEN {_below(header, 0.008)} THEN NULL "
+                     "WHEN l_returnflag = 'N' THEN 'Benign' WHEN l_returnflag = 'R' THEN 'DoS' ELSE 'Bot' END")]
+    # One lambda for all values: as thirteen expressions they were one method too long for the JVM to compile.
+    number = "((CAST(conv(d, 16, 10) AS DOUBLE) + 0.5) / 4294967296.0)"
+    token = f"get(array({', '.join(DIRT_TOKENS)}), CAST(floor({number} / {DIRT_RATE} * {len(DIRT_TOKENS)}) AS INT))"
+    drawn = ", ".join(digits(f"dl.dirt{i // 4}", i % 4) for i in range(len(DL_NUMERIC)))
+    plain = ", ".join(f"CAST({base} AS STRING)" for _, base in DL_NUMERIC)
+    rows = rows.select("*", F.expr(
+        f"zip_with(array({drawn}), array({plain}), (d, x) -> CASE WHEN {_below('d', DIRT_RATE)} THEN {token} ELSE x END)").alias("__values"))
+    out += [(name, f"get(__values, {i})") for i, (name, _) in enumerate(DL_NUMERIC)]
+    out += [(name, base.format(S="STRING")) for name, base in DL_DROPPED]
+    out.append(("__file", f"CASE WHEN {_below(digits('dl.meta', 1), 0.5)} THEN 'a' ELSE 'b' END"))
+    return _render(spark, rows, out)
 
 
 def dirty_lineitem_sql() -> str:
