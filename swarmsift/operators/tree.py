@@ -87,15 +87,16 @@ class TreeData:
 
 
 def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Column,
-                      max_bins: int = 32, checkpoint: bool = True, exact_bins: bool = True) -> TreeData:
+                      max_bins: int = 32, checkpoint: bool = True, exact_bins: bool = True, written: bool = False) -> TreeData:
     """Impute, index the label on train, fit ``max_bins`` quantile bins on train, and keep
     only (is_train, label, bins).  ``exact_bins=False`` fits the bins in one pass with
-    relative error 0.001, for wide tables."""
+    relative error 0.001, for wide tables.  ``written``: df is read from a written table, of which
+    no second copy is made."""
     if max_bins > MOST_BINS:
         raise ValueError(f"at most {MOST_BINS} bins")
     base = (PR.impute_zero(df, features).withColumn("__is_train", is_train)
             .select(*[col(c) for c in features], col(label), "__is_train"))
-    if checkpoint:
+    if checkpoint and not written:
         base = cut_lineage(base)  # several passes below; read it once
     train = base.filter(F.col("__is_train"))
     labels = PR.label_index(train, label)
