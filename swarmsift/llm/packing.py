@@ -15,8 +15,11 @@ by those two numbers and not by the data.
 
 Words are tokenized once per worker process: a document's ids are the ids of
 its white-space separated words in order, since the tokenizer drops white
-space and never joins across it.  The word table is emptied at ``max_words``;
-that costs time only.
+space and never joins across it.  Arrow splits the texts of a batch and numbers
+their words, so that Python meets each distinct word of a batch, not each word.
+Words of ASCII and Latin-1 letters are cut as the tokenizer's own pattern cuts
+them (letters, single digits, signs), and each distinct piece is tokenized once.
+The word table is emptied at ``max_words``; that costs time only.
 
 Defined results: null or empty text: the end id alone; repeated rows are
 packed as rows of their own; an empty table gives an empty result.
@@ -25,14 +28,18 @@ packed as rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
+import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut_lineage, gather_ranges, groups_for
+from .common import cut_lineage, gather_ranges, groups_for, slices
 
 CAPACITY = 2048
 SLACK = 0.03
@@ -56,6 +63,56 @@ def piece_lengths(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> lis
     return out
 
 
+_LETTERS = "a-zß-öø-ÿ"
+#: What the tokenizer does with a text before it looks words up; with any other setup words stay whole.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def piece_tokenizer(tokenizer_json: str):
+    """A tokenizer for lower-cased, normalized pieces between spaces; None if the setup is not the known one."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer_json)
+    bytes_of = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    if spec["normalizer"] != {"type": "Sequence", "normalizers": _NORMALIZERS} \
+            or spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [split, bytes_of]}:
+        return None
+    spaces = split | {"pattern": {"String": " "}, "invert": False}
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, bytes_of]}}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+class Ids:
+    """The ids of each key, one after another in a pool; key number 0 has none."""
+
+    def __init__(self, empty: bytes | str):
+        self.at = {empty: 0}
+        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+
+    def store(self, keys: list, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        n = len(self.at)
+        while n + len(keys) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.starts[n:n + len(keys)] = starts + self.used
+        self.lens[n:n + len(keys)] = lens
+        self.used += len(ids)
+
+    def numbers(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+
+    def read(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these keys, and how many come before each key and after the last."""
+        lens = self.lens[numbers]
+        return self.pool[gather_ranges(self.starts[numbers], lens)], np.concatenate([[0], np.cumsum(lens)])
+
+
 class WordIds:
     """Ids of white-space separated words, each tokenized once."""
 
@@ -67,65 +124,78 @@ class WordIds:
         # Added tokens that the tokenizer looks for in the text as it is, before it lower-cases.
         self.exact = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values() if not t.normalized]
         self.mark = self.tok.encode("0", add_special_tokens=False).ids
-        self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.small = piece_tokenizer(tokenizer_json)
+        self.plain = re.compile(f"[\x21-\x7eÀ-ÖØ-Þ{_LETTERS}]*")
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]| |[^ {_LETTERS}0-9]+").findall
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.starts, self.lens, self.pool, self.used = [], [], np.empty(1 << 20, np.uint32), 0
+        self.words, self.pieces = Ids(b""), Ids(" ")  # Arrow splits white space at either end from an empty word
 
     def _add(self, words: list[bytes]) -> None:
-        """Words joined by a digit that stands alone, then split at its id;
-        words that hold the digit themselves go one by one."""
-        plain = [w for w in words if b"0" not in w]
-        odd = [w for w in words if b"0" in w]
+        """Words of known letters by their pieces, the others whole."""
+        if not self.small or not words:
+            return self._tokenize(self.tok, words, self.words)
+        whole = [w for w in words if any(x in w for x in self.exact)] if any(x in b" ".join(words) for x in self.exact) else []
+        text = [w.decode() for w in words]
+        if whole or not self.plain.fullmatch("".join(text)):
+            fits = [bool(self.plain.fullmatch(t)) and w not in whole for t, w in zip(text, words, strict=True)]
+            self._tokenize(self.tok, [w for w, f in zip(words, fits, strict=True) if not f], self.words)
+            words, text = ([x for x, f in zip(xs, fits, strict=True) if f] for xs in (words, text))
+        if not words:
+            return None
+        pieces = self.cut(" ".join(text).lower())
+        self._tokenize(self.small, [p for p in dict.fromkeys(pieces) if p not in self.pieces.at], self.pieces)
+        numbers = self.pieces.numbers(pieces)
+        ids, before = self.pieces.read(numbers)
+        ends = before[np.append(np.flatnonzero(numbers == 0), len(numbers))]
+        starts = np.concatenate([[0], ends[:-1]])
+        return self.words.store(words, ids, starts, ends - starts)
+
+    def _tokenize(self, tok, keys: list, out: Ids) -> None:
+        """Keys joined by a digit that stands alone, then split at its id;
+        keys that hold the digit themselves go one by one."""
+        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        text = [k if isinstance(k, str) else k.decode() for k in keys]
+        plain = [i for i, t in enumerate(text) if "0" not in t]
+        odd = [i for i, t in enumerate(text) if "0" in t]
         if len(self.mark) != 1:
-            plain, odd = [], words
+            plain, odd = [], list(range(len(text)))
         for lo in range(0, len(plain), 1000):
             part = plain[lo:lo + 1000]
-            ids = np.array(self.encode([b" 0 ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(encode([" 0 ".join([text[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             if len(ends) != len(part):
                 odd += part
                 continue
             starts = np.concatenate([[0], ends[:-1] + 1])
-            self._store(part, ids, starts, ends - starts)
+            out.store([keys[i] for i in part], ids, starts, ends - starts)
         for lo in range(0, len(odd), 1000):
             part = odd[lo:lo + 1000]
-            ids = [e.ids for e in self.encode([w.decode() for w in part], add_special_tokens=False)]
+            ids = [e.ids for e in encode([text[i] for i in part], add_special_tokens=False)]
             lens = np.array([len(x) for x in ids], np.int64)
-            self._store(part, np.array([i for x in ids for i in x], np.uint32), np.cumsum(lens) - lens, lens)
-
-    def _store(self, words, ids, starts, lens) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used:self.used + len(ids)] = ids
-        n = len(self.starts)
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts.extend((starts + self.used).tolist())
-        self.lens.extend(lens.tolist())
-        self.used += len(ids)
+            out.store([keys[i] for i in part], np.array([i for x in ids for i in x], np.uint32), np.cumsum(lens) - lens, lens)
 
-    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        if len(self.at) > self.max_words:
+        if len(self.words.at) > self.max_words:
             self.clear()
-        low = [t.lower() for t in texts]
-        split = [(t if any(x in s for x in self.exact) else s).split() for t, s in zip(texts, low, strict=True)]
+        texts = texts.cast(pa.binary()) if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        texts = texts.view(pa.string())
+        low = pc.ascii_lower(texts)
+        held = [pc.match_substring(low, x.decode()) for x in self.exact]
+        if any(pc.any(h).as_py() for h in held):
+            low = pc.if_else(functools.reduce(pc.or_, held), texts, low)
+        split = pc.ascii_split_whitespace(low)
         del low
-        n_words = np.array([len(w) for w in split], np.int64)
-        words = np.array([w for ws in split for w in ws] or [b""], object)
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
         del split
-        codes, uniq = pd.factorize(words)
-        if not n_words.sum():
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        self._add([w for w in uniq if w not in self.at])
-        slot = np.array([self.at[w] for w in uniq], np.int64)
-        starts = np.array([self.starts[i] for i in slot], np.int64)[codes]
-        lens = np.array([self.lens[i] for i in slot], np.int64)[codes]
-        total = np.concatenate([[0], np.cumsum(lens)])
+        codes, uniq = coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_pylist()
+        self._add([w for w in uniq if w not in self.words.at])
+        ids, before = self.words.read(self.words.numbers(uniq)[codes])
         edge = np.concatenate([[0], np.cumsum(n_words)])
-        return self.pool[gather_ranges(starts, lens)], total[edge[1:]] - total[edge[:-1]]
+        return ids, before[edge[1:]] - before[edge[:-1]]
 
 
 _LOADED: dict[int, WordIds] = {}
@@ -150,11 +220,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
 
     def cut(it):
         enc = _word_ids(model.value)
-        for pdf in batches(it, 2000, 4_000_000, "text"):
-            texts = pdf["text"].tolist()
-            ids, counts = enc.encode_all(texts)
+        for part in (p for batch in it for p in slices(batch, "text", 2000, 4_000_000)):
+            ids, counts = enc.encode_all(part.column("text"))
             out, at = [], 0
-            for doc, n in zip(pdf["doc_id"].tolist(), counts.tolist(), strict=True):
+            for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                 own = np.append(ids[at:at + n], np.uint32(end_id)).astype("<u4")
                 at += n
                 start = 0
@@ -162,13 +231,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
                     crc = zlib.crc32(own[start:start + size].tobytes())
                     out.append((doc, start, size, crc, n + 1, capacity // size))
                     start += size
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
+            columns[-1] = columns[-1].cast(pa.int32())
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(cut, PIECES)
+    return rows.mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

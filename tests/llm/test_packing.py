@@ -61,6 +61,34 @@ def test_control_strings_in_any_case():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_arrow_texts_and_pieces_of_words():
+    """Texts come as Arrow arrays; a piece that many words share reaches the tokenizer once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path()) as f:
+        model = f.read()
+    enc, met = packing.WordIds(model), []
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **kw):
+            met.extend(w for t in texts for w in t.split())
+            return self.tok.encode_batch_fast(texts, **kw)
+
+        encode_batch = encode_batch_fast
+
+    enc.tok, enc.small = Counted(enc.tok), Counted(enc.small)
+    texts = ["", " \x0b", None, "\t It's 'S 're ''ll \u212a\u212b É1à2 \x1c \u0085x ", "qzword, (qzword) qzword. QZWORD's x<|endoftext|>Y",
+             "1007 a\u0301b é\u0301 × ÷ µ ª ﬁ ẞ 中文x"]
+    ids, counts = enc.encode_all(pa.array([(t or "").encode() for t in texts], pa.binary()))
+    want = [Tokenizer.from_str(model).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum("qzword" in w.lower() for w in met) == 1
+
+
 def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     path = queries.tokenizer_path()
