@@ -319,14 +319,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     if not tested.filter("not linked").isEmpty():
         # Components that candidates joined, though none confirmed that they are linked.
-        parts = components(first).withColumnsRenamed({"id": "doc_id", "component_id": "cc"}) \
+        stars = comp.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        parts = components(stars.unionByName(tested.filter("not linked").select("a", "b"))).withColumnsRenamed({"id": "doc_id", "component_id": "cc"}) \
             .join(comp.withColumnRenamed("component_id", "comp"), "doc_id", "left") \
             .withColumn("comp", F.coalesce("comp", "doc_id"))
         parts = cut_lineage(parts, "candidate_parts")
         open_ = parts.groupBy("cc").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("cc")
         more = cut_lineage(_between(parts.join(open_, "cc", "left_semi"), texts, width, percent), "more_links")
         if not more.isEmpty():
-            comp = cut_lineage(components(links.unionByName(more)).withColumnRenamed("id", "doc_id"), "components")
+            comp = cut_lineage(components(stars.unionByName(more)).withColumnRenamed("id", "doc_id"), "components")
 
     # From representatives to every member of their class.
     by_class = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left") \

@@ -122,6 +122,34 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds_have_tasks_for_their_edges(spark, monkeypatch):
+    """A few hundred edges are not written as a file for each shuffle partition; stars need no round."""
+    from swarmsift.llm import components as C
+
+    files, write = {}, C.cut_lineage
+
+    def counted(df, name="t"):
+        out = write(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "cut_lineage", counted)
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+        assert {r.component_id for r in components(chain).collect()} == {0}
+        assert files["small_star"] and max(files["large_star"] + files["small_star"]) <= C.LEAST_TASKS
+        files.clear()
+        stars = spark.createDataFrame([(i // 10 * 10, i) for i in range(300)], "a long, b long")
+        assert components(stars).count() == 300 and "large_star" not in files
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_similarities_below_the_dimensioned_ones_are_refused(spark):
     with pytest.raises(ValueError):
         M.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=60)
