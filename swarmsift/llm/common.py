@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path, shuffle_partitions
 
 __all__ = ["cut_lineage", "scratch_path", "shuffle_partitions", "table", "groups_for", "batches",
-           "slices", "mix64", "gather_ranges", "let", "blocks", "running"]
+           "slices", "tidy", "mix64", "gather_ranges", "let", "blocks", "running"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -89,6 +92,33 @@ def slices(batch, text: int, max_rows: int, max_bytes: int) -> Iterator:
         yield batch.slice(lo)
 
 
+def give_back() -> None:
+    """Hands the free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have no such call
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition, handing free memory back between batches and at the end, where ``forget``
+    empties what it remembers.  Spark uses its Python workers again: what Arrow and malloc keep
+    of one stage counts in the executor's memory during the next ones."""
+    def whole(it):
+        def each():
+            for batch in it:
+                yield batch
+                del batch
+                give_back()
+
+        yield from run(each())
+        forget()
+        give_back()
+
+    return whole
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, gather_ranges, mix64, slices
+from .common import batches, gather_ranges, mix64, slices, tidy
 
 PERCENT = 80          # least similarity, 1 - distance / words of the item
 SAMPLES, RECALL, TRIALS = 4, 0.99, 1000
 BLOCK_WORDS = 1_000_000
-TABLE_WORDS = 500_000  # words whose hash a process remembers
+TABLE_WORDS = 200_000  # words whose hash a process remembers
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 GRAM = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.uint64(0)
@@ -62,7 +62,11 @@ class WordTable(dict):
         return got
 
 
-WORDS = WordTable()  # one in each process
+WORDS = WordTable()  # one in each process, emptied when a partition ends
+
+
+def forget_words() -> None:
+    WORDS.clear()
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -368,7 +372,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text: s
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy()[got["text"].to_numpy(np.int64)],
                                     "item_id": got["item"].astype("Int64"), "distance": got["distance"].astype("int32"),
                                     "position": got["position"].astype("int64")})
-        out = out.unionByName(rows.mapInPandas(run, schema))
+        out = out.unionByName(rows.mapInPandas(tidy(run, forget_words), schema))
     return out
 
 
@@ -384,9 +388,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, te
 
         def keep(it, index=index):
             for batch in it:
-                for part in slices(batch, at, 500, 2_000_000):
+                for part in slices(batch, at, 500, 1_000_000):
                     bad = set(index.value.find([(t or "").encode() for t in part.column(at).to_pylist()])["text"].tolist())
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
-        out = out.mapInArrow(keep, schema)
+        out = out.mapInArrow(tidy(keep, forget_words), schema)
     return out.toDF(*docs.columns)
 

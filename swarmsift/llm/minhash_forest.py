@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut_lineage, join_by_hot_key, mix64
+from .common import batches, cut_lineage, join_by_hot_key, mix64, tidy
 from .components import components
 
 TREES, DEPTH, LEAST = 14, 8, 3
@@ -99,7 +99,7 @@ FEATURES = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 def features(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     def run(it):
-        for pdf in batches(it, 5000, 4_000_000, "text"):
+        for pdf in batches(it, 5000, 1_000_000, "text"):
             sets = shingle_sets(pdf["text"].tolist(), width)
             sig = signatures(sets)
             with np.errstate(over="ignore"):
@@ -110,7 +110,7 @@ def features(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(run, FEATURES)
+    return rows.mapInPandas(tidy(run), FEATURES)
 
 
 def _regions(reps: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
                 yield pd.DataFrame({"a": part["a"], "b": part["b"], "linked": ok})
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "ta", "tb").mapInPandas(tidy(run), "a long, b long, linked boolean")
 
 
 def _between(parts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

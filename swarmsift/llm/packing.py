@@ -13,13 +13,13 @@ whose number grows with the pieces.  What is left over (fewer than j pieces
 per worker and class) is put best-fit into bins per 64 workers, a set bounded
 by those two numbers and not by the data.
 
-Words are tokenized once per worker process: a document's ids are the ids of
-its white-space separated words in order, since the tokenizer drops white
-space and never joins across it.  Arrow splits the texts of a batch and numbers
-their words, so that Python meets each distinct word of a batch, not each word.
-Words of ASCII and Latin-1 letters are cut as the tokenizer's own pattern cuts
-them (letters, single digits, signs), and each distinct piece is tokenized once.
-The word table is emptied at ``max_words``; that costs time only.
+A document's ids are the ids of its white-space separated words in order, since the
+tokenizer drops white space and never joins across it.  Arrow splits the texts of a
+batch and numbers their words, so that Python meets each distinct word of a batch,
+not each word.  Words of ASCII and Latin-1 letters are cut as the tokenizer's own
+pattern cuts them (letters, single digits, signs); each distinct piece, and each
+other word, is tokenized once per partition.  The tables of both are emptied at
+``max_words`` entries and at the end of a partition; that costs time only.
 
 Defined results: null or empty text: the end id alone; repeated rows are
 packed as rows of their own; an empty table gives an empty result.
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, gather_ranges, groups_for, slices
+from .common import cut_lineage, gather_ranges, groups_for, slices, tidy
 
 CAPACITY = 2048
 SLACK = 0.03
@@ -114,7 +114,7 @@ class Ids:
 
 
 class WordIds:
-    """Ids of white-space separated words, each tokenized once."""
+    """Ids of white-space separated words; each piece of one, or the whole word, is tokenized once."""
 
     def __init__(self, tokenizer_json: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
@@ -132,25 +132,37 @@ class WordIds:
     def clear(self) -> None:
         self.words, self.pieces = Ids(b""), Ids(" ")  # Arrow splits white space at either end from an empty word
 
-    def _add(self, words: list[bytes]) -> None:
-        """Words of known letters by their pieces, the others whole."""
+    def _read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word start and how many they are: of known letters by pieces, the others whole."""
         if not self.small or not words:
-            return self._tokenize(self.tok, words, self.words)
+            return self._whole(words)
         whole = [w for w in words if any(x in w for x in self.exact)] if any(x in b" ".join(words) for x in self.exact) else []
         text = [w.decode() for w in words]
         if whole or not self.plain.fullmatch("".join(text)):
-            fits = [bool(self.plain.fullmatch(t)) and w not in whole for t, w in zip(text, words, strict=True)]
-            self._tokenize(self.tok, [w for w, f in zip(words, fits, strict=True) if not f], self.words)
-            words, text = ([x for x, f in zip(xs, fits, strict=True) if f] for xs in (words, text))
-        if not words:
-            return None
+            fits = np.array([w not in self.words.at and bool(self.plain.fullmatch(t)) and w not in whole for t, w in zip(text, words, strict=True)])
+            ids, starts, lens = self._whole([w for w, f in zip(words, fits.tolist(), strict=True) if not f])
+            text = [t for t, f in zip(text, fits.tolist(), strict=True) if f]
+            if not text:
+                return ids, starts, lens
+            more, s, n = self._by_pieces(text)
+            every = np.empty((2, len(words)), np.int64)
+            every[:, ~fits], every[:, fits] = (starts, lens), (s + len(ids), n)
+            return np.concatenate([ids, more]), *every
+        return self._by_pieces(text)
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._tokenize(self.tok, [w for w in words if w not in self.words.at], self.words)
+        ids, before = self.words.read(self.words.numbers(words))
+        return ids, before[:-1], np.diff(before)
+
+    def _by_pieces(self, text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pieces = self.cut(" ".join(text).lower())
         self._tokenize(self.small, [p for p in dict.fromkeys(pieces) if p not in self.pieces.at], self.pieces)
         numbers = self.pieces.numbers(pieces)
         ids, before = self.pieces.read(numbers)
         ends = before[np.append(np.flatnonzero(numbers == 0), len(numbers))]
         starts = np.concatenate([[0], ends[:-1]])
-        return self.words.store(words, ids, starts, ends - starts)
+        return ids, starts, ends - starts
 
     def _tokenize(self, tok, keys: list, out: Ids) -> None:
         """Keys joined by a digit that stands alone, then split at its id;
@@ -178,7 +190,7 @@ class WordIds:
 
     def encode_all(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        if len(self.words.at) > self.max_words:
+        if len(self.words.at) + len(self.pieces.at) > self.max_words:
             self.clear()
         texts = texts.cast(pa.binary()) if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
         texts = texts.view(pa.string())
@@ -192,8 +204,10 @@ class WordIds:
         coded = split.flatten().dictionary_encode()
         del split
         codes, uniq = coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_pylist()
-        self._add([w for w in uniq if w not in self.words.at])
-        ids, before = self.words.read(self.words.numbers(uniq)[codes])
+        ids, starts, lens = self._read(uniq)
+        lens = lens[codes]
+        ids = ids[gather_ranges(starts[codes], lens)]
+        before = np.concatenate([[0], np.cumsum(lens)])
         edge = np.concatenate([[0], np.cumsum(n_words)])
         return ids, before[edge[1:]] - before[edge[:-1]]
 
@@ -208,6 +222,12 @@ def _word_ids(tokenizer_json: str) -> WordIds:
     return _LOADED[key]
 
 
+def forget_words() -> None:
+    """The tokenizers stay loaded; their word tables, which grow with the texts, go."""
+    for enc in _LOADED.values():
+        enc.clear()
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
@@ -220,7 +240,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
 
     def cut(it):
         enc = _word_ids(model.value)
-        for part in (p for batch in it for p in slices(batch, "text", 2000, 4_000_000)):
+        for part in (p for batch in it for p in slices(batch, "text", 2000, 2_000_000)):
             ids, counts = enc.encode_all(part.column("text"))
             out, at = [], 0
             for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
@@ -237,7 +257,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(tidy(cut, forget_words), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

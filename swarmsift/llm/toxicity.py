@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, slices
+from .common import batches, slices, tidy
 
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS = 18, 16
@@ -344,9 +344,9 @@ def keep_clean(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     def keep(it):
         for batch in it:
-            for part in slices(batch, at, 500, 4_000_000):
+            for part in slices(batch, at, 500, 1_000_000):
                 got = score_texts(shared.value, [(t or "").encode() for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(got < THRESHOLD))
 
     renamed = docs.toDF(*names)
-    return renamed.mapInArrow(keep, renamed.schema).toDF(*docs.columns)
+    return renamed.mapInArrow(tidy(keep), renamed.schema).toDF(*docs.columns)
