@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col, finite_or_zero
 from ..session import Scratch, cut_lineage
+from . import blocks as B
 from . import discretize as Z
 from . import prepare as PR
 
@@ -78,6 +79,12 @@ class TreeData:
             self.held.append(self._ml)
         return self._ml
 
+    def blocks(self) -> DataFrame:
+        """The rows as blocks of columns; made when first asked for."""
+        if not hasattr(self, "_blocks"):
+            self._blocks = B.of_packed(self.rows, len(self.features), self.n_classes)
+        return self._blocks
+
     def release(self) -> None:
         """Drop what is persisted; the written tables stay under the checkpoint folder."""
         while self.held:
@@ -87,11 +94,10 @@ class TreeData:
 
 
 def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Column,
-                      max_bins: int = 32, checkpoint: bool = True, exact_bins: bool = True, written: bool = False) -> TreeData:
-    """Impute, index the label on train, fit ``max_bins`` quantile bins on train, and keep
-    only (is_train, label, bins).  ``exact_bins=False`` fits the bins in one pass with
-    relative error 0.001, for wide tables.  ``written``: df is read from a written table, of which
-    no second copy is made."""
+                      max_bins: int = 32, checkpoint: bool = True, written: bool = False) -> TreeData:
+    """Impute, index the label on train, fit ``max_bins`` exact quantile bins on train, and keep
+    only (is_train, label, bins).  ``written``: df is read from a written table, of which no second
+    copy is made: its numbers are counted and binned column by column, and written as blocks."""
     if max_bins > MOST_BINS:
         raise ValueError(f"at most {MOST_BINS} bins")
     base = (PR.impute_zero(df, features).withColumn("__is_train", is_train)
@@ -103,14 +109,25 @@ def prepare_tree_data(df: DataFrame, features: list, label: str, is_train: Colum
     if checkpoint:
         labels = cut_lineage(labels, "labels")
     n_labels = labels.count()
-    splits = Z.fit_splits(train, features, num_buckets=max_bins, exact=exact_bins)
+    in_blocks = written and n_labels < B.MOST_CLASSES
+    if in_blocks:
+        numbers = [col(c).try_cast("double") for c in features]
+        given = df.withColumn("__is_train", is_train)
+        splits = dict(zip(features, B.exact_splits(given.filter(F.col("__is_train")), numbers, max_bins), strict=True))
+    else:
+        splits = Z.fit_splits(train, features, num_buckets=max_bins)
     indexed = PR.apply_label_index(base, label, labels, "__lab")
     binned = indexed.select(F.col("__is_train").alias("is_train"), F.col("__lab").cast("int").alias("label"),
                             F.array(*[tree_bin(col(c), splits[c]) for c in features]).alias("bins"))
     rows = binned.withColumn("packed", pack_bins(F.col("bins")))
-    if checkpoint:
+    if checkpoint and not in_blocks:
         rows = cut_lineage(rows, "tree_rows")
-    return TreeData(rows, n_labels, list(features), splits, labels, indexed)
+    data = TreeData(rows, n_labels, list(features), splits, labels, indexed)
+    if in_blocks:
+        given = PR.apply_label_index(given.select(*[x.alias(f"__x{i}") for i, x in enumerate(numbers)], col(label), "__is_train"), label, labels, "__lab")
+        data._blocks = B.of_numbers(given.withColumnsRenamed({"__is_train": "is_train"}).withColumn("label", F.col("__lab").cast("int")),
+                                    [F.col(f"__x{i}") for i in range(len(features))], list(splits.values()), data.n_classes)
+    return data
 
 
 def pack_bins(bins: Column) -> Column:

@@ -9,11 +9,15 @@ survive the loss of the executor that wrote it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 # Broadcast only tables whose size we can bound from their shape.
 DEFAULT_BROADCAST_ROWS = 2_000_000
@@ -55,6 +59,29 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def brief_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, whose jobs' shuffle files go when the job has ended."""
+    own = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes"):
+        if (v := spark.conf.get(k, None)) is not None:
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as one partition that no job has to make."""
+    names = [c.strip().split()[0].split(":")[0] for c in re.split(r",(?![^<]*>)", schema)]
+    columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+    return spark.createDataFrame(pa.Table.from_pydict(columns, shape), schema).coalesce(1)
+
+
+def local_rows(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a table of a population's size: its rows are held by the driver."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema).coalesce(1)
+
+
 class Scratch:
     """Written tables that are dropped together when their last reader is done.
 
