@@ -13,6 +13,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import local_table
+from . import blocks as B
+from . import growth as G
 from . import masks as M
 from . import metrics as ME
 from . import tree as TR
@@ -34,15 +37,23 @@ def population_fitness(pop: DataFrame, data: TR.TreeData, max_depth: int, lam: f
     return pop.join(F.broadcast(sc.withColumn("obj", obj)), "member")
 
 
-def score_masks(spark, masks: list, data: TR.TreeData, max_depth: int, metric: str = "f1") -> dict:
-    """{mask: (k, metric, accuracy, macro_f1)} of the distinct masks; 0.0 for an empty one."""
+def score_masks(spark, masks: list, data: TR.TreeData, max_depth: int, metric: str = "f1",
+                growth: G.Growth | None = None) -> dict:
+    """{mask: (k, metric, accuracy, macro_f1)} of the distinct masks; 0.0 for an empty one.
+    ``growth`` keeps what was counted for a search's next call."""
     distinct = sorted(set(masks))
     feats = [[j for j, b in enumerate(m) if b == 1] for m in distinct]
-    cands = spark.createDataFrame(list(enumerate(feats)), "cand int, feats array<int>")
-    records, trie = TR.grow_population(data, cands, max_depth)
+    if data.n_classes <= B.MOST_CLASSES:
+        _, found = (growth or G.Growth(data)).grow(dict(enumerate(feats)), max_depth)
+        confusion = local_table(spark, [(c, float(y), float(p), n) for c, y, p, n in found],
+                                "cand int, label double, prediction double, count long")
+        records = found
+    else:
+        cands = spark.createDataFrame(list(enumerate(feats)), "cand int, feats array<int>")
+        records, trie = TR.grow_population(data, cands, max_depth)
+        confusion = TR.population_confusion(data, records, trie) if records else None
     by = {}
     if records:
-        confusion = TR.population_confusion(data, records, trie)
         by = {r["cand"]: r for r in ME.metrics_from_confusion(confusion, ["cand"]).collect()}  # a row per candidate
     out = {}
     for i, m in enumerate(distinct):

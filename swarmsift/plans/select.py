@@ -1,11 +1,10 @@
 """End-to-end subset searches (ABC, ACO, FPA, PSO) and the final retrain.
 
 Each generation is: propose all candidates → score them together (memoised by mask) →
-accept → write the population as a parquet table under the checkpoint folder, so the loop
+accept → take the population (members × feature bits) to the driver, so the loop
 survives executor loss and lineage stays one generation deep.  With ``resume`` (a folder on
 shared storage) generations and scored masks are kept there, and a search goes on after the
-last complete generation it finds.  Only a 1-row state (best
-mask/objective, counters) and per-generation scalars come back to the driver.
+last complete generation it finds.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import fitness as FT
+from ..operators import growth as G
 from ..operators import masks as M
 from ..operators import repair as R
 from ..operators import tree as TR
@@ -25,7 +26,7 @@ from ..operators.search import aco as ACO
 from ..operators.search import fpa as FPA
 from ..operators.search import pso as PSO
 from ..operators.search.common import dense
-from ..session import cut_lineage
+from ..session import cut_lineage, local_rows, local_table
 from .state import Generations, ScoreTable
 
 
@@ -60,6 +61,7 @@ class Scorer:
             self.table = ScoreTable(data.rows.sparkSession, f"{resume.rstrip('/')}/scores", run)
         self.evaluations = 0
         self.fits = 0
+        self.growth: G.Growth | None = None  # what the trees of earlier calls counted
 
     def __call__(self, cands: DataFrame) -> DataFrame:
         spark = cands.sparkSession
@@ -71,6 +73,7 @@ class Scorer:
                 self.fits += len(new)
                 self.table.append(self._score(spark, new))
             return self.table.join(cands).withColumnRenamed("score", "f1").withColumn("obj", self._objective())
+        cands = local_rows(cands)
         rows = cands.select("member", "mask").collect()  # population-sized
         self.evaluations += len(rows)
         new = sorted({tuple(r["mask"]) for r in rows} - set(self.memo))
@@ -78,8 +81,8 @@ class Scorer:
             self.fits += len(new)
             self.memo |= self._score(spark, new)
         out = [(r["member"], *self.memo[tuple(r["mask"])]) for r in rows]
-        sc = spark.createDataFrame(out, "member int, f1 double, k int")
-        return cands.join(F.broadcast(sc.withColumn("obj", self._objective())), "member")
+        sc = local_table(spark, out, "member int, f1 double, k int")
+        return cands.join(sc.withColumn("obj", self._objective()), "member")
 
     def _score(self, spark, masks: list) -> dict:
         """{mask: (score, size)}"""
@@ -89,7 +92,10 @@ class Scorer:
             return {masks[i]: (float(f1), int(k)) for i, k, f1, _ in res}
         if self.evaluator == "entropy":
             return {m: (s, sum(m)) for m, s in FT.entropy_scores(spark, masks, self.data).items()}
-        return {m: (f1, k) for m, (k, f1, *_) in FT.score_masks(spark, masks, self.data, self.depth, self.metric).items()}
+        if self.growth is None and self.data.n_classes <= B.MOST_CLASSES:
+            self.growth = G.Growth(self.data)
+        scored = FT.score_masks(spark, masks, self.data, self.depth, self.metric, self.growth)
+        return {m: (f1, k) for m, (k, f1, *_) in scored.items()}
 
     def _objective(self):
         f1, k = F.col("f1"), F.col("k")
@@ -131,19 +137,19 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4, evalua
     else:
         pop = M.random_masks(spark, prm.num_bees, n, prm.init_p, prm.seed, "abc.init")
         pop = score(pop).select("member", "mask", "obj", "k", F.lit(0).alias("trials"))
-        pop = cut_lineage(dense(pop))
+        pop = local_rows(dense(pop))
         best = _best(pop)
         history = [{"iter": 0, "best_obj": best["obj"], "best_k": best["k"]}]
     for it in range(done + 1, prm.max_iters + 1):
         nb = ABC.neighbours(pop, n, prm.seed, it)
         sc = score(nb.select("member", F.col("cand").alias("mask"))).select(
             "member", F.col("mask").alias("cand"), F.col("obj").alias("cand_obj"), F.col("k").alias("cand_k"))
-        pop = cut_lineage(ABC.employed_accept(nb.drop("cand").join(sc, "member")))
+        pop = local_rows(ABC.employed_accept(nb.drop("cand").join(sc, "member")))
         picks = ABC.roulette(pop, prm.num_bees, prm.seed, it)
-        oc = cut_lineage(ABC.onlooker_candidates(pop, picks, n, prm.seed, it))
+        oc = local_rows(ABC.onlooker_candidates(pop, picks, n, prm.seed, it))
         osc = score(oc.select(F.col("onlooker").alias("member"), F.col("cand").alias("mask"))).select(
             F.col("member").alias("onlooker"), F.col("obj").alias("cand_obj"), F.col("k").alias("cand_k"))
-        pop = cut_lineage(ABC.onlooker_accept(pop, oc.join(osc, "onlooker")))
+        pop = local_rows(ABC.onlooker_accept(pop, oc.join(osc, "onlooker")))
         sc_pop = ABC.scouts(pop, n, prm.limit, prm.scout_p, prm.seed, it)
         scouts = sc_pop.filter("scout")
         if scouts.limit(1).count():
@@ -151,7 +157,7 @@ def select_abc(data: TR.TreeData, prm: ABC.ABCParams, max_depth: int = 4, evalua
                                                                F.col("k").alias("s_k"))
             sc_pop = sc_pop.join(rs, "member", "left").withColumn(
                 "obj", F.coalesce("s_obj", "obj")).withColumn("k", F.coalesce("s_k", "k")).drop("s_obj", "s_k")
-        pop = cut_lineage(sc_pop.drop("scout"))
+        pop = local_rows(sc_pop.drop("scout"))
         b = _best(pop)
         if b["obj"] > best["obj"]:
             best = b
@@ -185,7 +191,7 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
         feats = spark.createDataFrame([(i,) for i in range(n)], "feature_idx int")
         pher = ACO.init_pheromone(feats)
         if prm.heuristic:
-            pher = cut_lineage(ACO.heuristic_pheromone(feats, ACO.information_gain(data.rows.filter("is_train"))))
+            pher = local_rows(ACO.heuristic_pheromone(feats, ACO.information_gain(data.rows.filter("is_train"))))
         if init_mask is not None:
             start = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>")
         else:
@@ -201,7 +207,7 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
         left = prm.max_evals - evals
         ants = ants.filter(F.col("member") < F.lit(max(1, left)))
         ants = R.repair_by_priority(ants, ordv, k_min, k_max)
-        scored = cut_lineage(score(ants).select("member", "mask", "obj", "k"))
+        scored = local_rows(score(ants).select("member", "mask", "obj", "k"))
         before = best["obj"]
         for r in scored.orderBy("member").select("member", "obj", "k", "mask").collect():  # ≤ num_ants rows
             evals += 1
@@ -212,7 +218,7 @@ def select_aco(data: TR.TreeData, prm: ACO.ACOParams, max_depth: int = 6, lam: f
                 no_improve += 1
         if not prm.reference_start:
             no_improve = 0 if best["obj"] > before else no_improve + 1
-        pher = cut_lineage(ACO.update(pher, scored, best["mask"], best["obj"], prm.rho, prm.q))
+        pher = local_rows(ACO.update(pher, scored, best["mask"], best["obj"], prm.rho, prm.q))
         history.append(best["obj"])
         if kept:
             pher = kept.save(it + 1, pher, {"best": best, "evals": evals, "no_improve": no_improve, "history": history,
@@ -243,7 +249,7 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
         if init_mask is not None:
             pop = spark.createDataFrame([(0, init_mask)], "member int, mask array<int>").unionByName(pop)
         pop = R.repair_by_priority(pop, ordv, k_min, k_max)
-        pop = cut_lineage(score(pop).select("member", "mask", "obj", "k"))
+        pop = local_rows(score(pop).select("member", "mask", "obj", "k"))
         best = _best(pop)
         n_eval, no_improve, history = prm.pop_size, 0, [best["obj"]]
     for it in range(done, prm.iters):
@@ -254,7 +260,7 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
         el = FPA.elites(pop, prm.elitism)
         left = None if prm.max_evals is None else prm.max_evals - n_eval
         off = FPA.propose(pop, best["mask"], prm, it, left)
-        off = cut_lineage(off.withColumn("mask", F.when(F.col("is_copy"), F.col("mask")).otherwise(
+        off = local_rows(off.withColumn("mask", F.when(F.col("is_copy"), F.col("mask")).otherwise(
             R.repair_expr(F.col("mask"), ordv, k_min, k_max))))
         real = off.filter(~F.col("is_copy"))
         n_real = real.count()
@@ -262,7 +268,7 @@ def select_fpa(data: TR.TreeData, prm: FPA.FPAParams, max_depth: int = 12, lam:
             F.col("member").alias("slot"), "obj", "k")
         scored = off.join(sc, "slot", "left")
         n_eval += n_real
-        pop = cut_lineage(FPA.accept(el, scored))
+        pop = local_rows(FPA.accept(el, scored))
         b = _best(pop)
         if b["obj"] > best["obj"]:
             best, no_improve = b, 0
@@ -297,7 +303,7 @@ def select_pso(data: TR.TreeData, prm: PSO.PSOParams, max_depth: int = 2, lam: f
         done, sw, state = saved
         history = state["history"]
         score.evaluations, score.fits = state["evaluations"], state["fits"]
-        gb = cut_lineage(PSO.gbest_of(sw))
+        gb = local_rows(PSO.gbest_of(sw))
     else:
         sw = None
         for r in range(prm.restarts):
@@ -308,18 +314,18 @@ def select_pso(data: TR.TreeData, prm: PSO.PSOParams, max_depth: int = 2, lam: f
         sc = score(sw.select(F.col("pid").alias("member"), "mask")).select(F.col("member").alias("pid"), "obj", "k")
         sw = sw.join(sc, "pid").withColumn("pbest", F.col("mask")).withColumn("pbest_obj", F.col("obj")) \
             .withColumn("pbest_k", F.col("k"))
-        sw = cut_lineage(sw)
-        gb = cut_lineage(PSO.gbest_of(sw))
+        sw = local_rows(sw)
+        gb = local_rows(PSO.gbest_of(sw))
         history = [{"iter": 0, "best_obj": float(gb.agg(F.max("gbest_obj")).first()[0])}]
     for it in range(done + 1, prm.iters + 1):
         moved = PSO.step(sw, gb, n, prm, it)
         moved = moved.withColumn("cand", R.repair_cap_expr(F.col("cand"), rank_ordv, k_cap))
-        moved = cut_lineage(moved)
+        moved = local_rows(moved)
         cs = score(moved.select(F.col("pid").alias("member"), F.col("cand").alias("mask"))).select(
             F.col("member").alias("pid"), F.col("obj").alias("cand_obj"), F.col("k").alias("cand_k"))
         sw = PSO.accept(moved.join(cs, "pid"), prm.greedy)
-        sw = cut_lineage(sw.withColumn("pid", F.col("restart") * F.lit(prm.swarm_size) + F.col("member")))
-        gb = cut_lineage(PSO.gbest_of(sw))
+        sw = local_rows(sw.withColumn("pid", F.col("restart") * F.lit(prm.swarm_size) + F.col("member")))
+        gb = local_rows(PSO.gbest_of(sw))
         history.append({"iter": it, "best_obj": float(gb.agg(F.max("gbest_obj")).first()[0])})
         if kept:
             sw = kept.save(it, sw, {"history": history, "evaluations": score.evaluations, "fits": score.fits})
